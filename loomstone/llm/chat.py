@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lengths, table, text_bytes
+from .common import lengths, map_arrow, table, text_bytes
 
 HEAD, MID, END = "### ", ":\n", "</turn>\n"
 TURN = re.compile(r"### ((?:[^\\:]|\\.)*+):\n([^\\<]*+(?:\\.[^\\<]*+)*+)</turn>\n", re.S)
@@ -106,7 +106,7 @@ def format_chat(conversations: DataFrame, fragment_bytes: int = 8 << 20) -> Data
             yield flush(joined(held))
 
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, FORMATTED)
+    return map_arrow(turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text"), run, FORMATTED)
 
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:
@@ -153,7 +153,7 @@ def digest_formatted(formatted: DataFrame) -> DataFrame:
         if state is not None:
             yield rows([state])
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_arrow(formatted, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 PROBE = "\\### Assistant: </turn> ok"

@@ -47,11 +47,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with batches of at most 512 rows and 4 MB, so that a Python worker's memory doesn't grow with the table.
+
+    Both limits are session settings read when the plan runs.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 512:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+    def lean(batches):
+        pool = pa.default_memory_pool()
+        for i, out in enumerate(run(batches)):
+            yield out
+            if i % 16 == 15:
+                pool.release_unused()
+
+    return df.mapInArrow(lean, schema)
+
+
 def lengths(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that a piece holds at most max_bytes of the column, or one row."""
     for batch in batches:
         n = batch.num_rows
@@ -105,4 +125,4 @@ def keep_rows(documents: DataFrame, test) -> DataFrame:
         for batch in slices(batches, "text"):
             yield batch.filter(pa.array(check(batch.column(0).to_pylist(), batch.column(1).to_pylist()), pa.bool_()))
 
-    return plain.mapInArrow(run, plain.schema).select(documents.columns)
+    return map_arrow(plain, run, plain.schema).select(documents.columns)

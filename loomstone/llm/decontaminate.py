@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_rows, mix, slices, table
+from .common import keep_rows, map_arrow, mix, slices, table
 
 U = np.uint64
 BASE = 0x9E3779B1
@@ -190,7 +190,7 @@ def contaminations(documents: DataFrame, benchmark: DataFrame, q: int = 8, error
                 rows = _match(block, bits, batch.column(0).to_pylist(), batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names=["doc_id", "item_id", "start", "end", "edits"])
 
-        part = documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
+        part = map_arrow(documents.select("doc_id", "text"), run, SCHEMA)
         found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], SCHEMA) if found is None else found
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_sample, keep_rows, slices, table
+from .common import in_sample, keep_rows, map_arrow, slices, table
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -122,7 +122,7 @@ def fit_language_model(documents: DataFrame, max_rows: int = 6_000, max_n: int =
                 part = items[i : i + 20_000]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([w for w, _ in part]), pa.array([k for _, k in part], pa.int64())], names=["lang", "word", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = map_arrow(sample, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     rows = [(r.lang, r.word, r.n) for r in counts.filter(F.col("n") >= min_count).toLocalIterator()]
     return LanguageModel.fit(sorted(rows), max_n, min_count)
 
@@ -133,12 +133,12 @@ def identify_language(documents: DataFrame, model: LanguageModel, id_column: str
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             got = [m.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[id_column, "lang_pred", "score"])
 
     kind = documents.schema[id_column].dataType.simpleString()
-    return documents.select(id_column, "text").mapInArrow(predict, f"`{id_column}` {kind}, lang_pred string, score double")
+    return map_arrow(documents.select(id_column, "text"), predict, f"`{id_column}` {kind}, lang_pred string, score double")
 
 
 def keep_identified(documents: DataFrame, model: LanguageModel, min_score: float) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lengths, materialise, mix, slices, table, text_bytes
+from .common import lengths, map_arrow, materialise, mix, slices, table, text_bytes
 from .graph import components
 
 U = np.uint64
@@ -172,7 +172,7 @@ def sketch(documents: DataFrame, hashes: int = 128, rows: int = 4, size: int = 5
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands[n > 0].ravel(), pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums[0]), pa.array(sums[1]), pa.array(n.astype(np.int64)), lists], names=["doc_id", "d1", "d2", "n", "bands"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, d1 long, d2 long, n long, bands array<long>")
+    return map_arrow(documents.select("doc_id", "text"), run, "doc_id long, d1 long, d2 long, n long, bands array<long>")
 
 
 def slab_sets(documents: DataFrame, size: int = 5) -> DataFrame:
@@ -184,7 +184,7 @@ def slab_sets(documents: DataFrame, size: int = 5) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array((slab >> U(32)).astype(np.uint32).view(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "slabs"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "id long, slabs array<int>")
+    return map_arrow(documents.select("doc_id", "text"), run, "id long, slabs array<int>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

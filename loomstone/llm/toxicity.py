@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_sample, mix, slices, table
+from .common import in_sample, map_arrow, mix, slices, table
 
 # Look-alikes of Latin letters (Cyrillic, then Greek), and digits and signs read as letters.
 LOOKALIKES = {
@@ -163,7 +163,7 @@ def fit_lexicon(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000,
     rows = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most about max_rows ids
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             keys, sets = [], []
             for text in batch.column(1).to_pylist():
                 found = WORD.findall(fold(text))
@@ -172,7 +172,7 @@ def fit_lexicon(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.string()))], names=["doc_id", "toxic", "k", "words"])
 
     kind = labels.schema["toxic"].dataType.simpleString()
-    each = rows.mapInArrow(words, f"doc_id long, toxic {kind}, k long, words array<string>")
+    each = map_arrow(rows, words, f"doc_id long, toxic {kind}, k long, words array<string>")
     once = each.groupBy("k").agg(F.min_by(F.struct("toxic", "words"), "doc_id").alias("r")).select("r.toxic", "r.words")
 
     def stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +186,7 @@ def fit_lexicon(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000,
             part = terms[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([counts[1][t] for t in part], pa.int64()), pa.array([counts[0][t] for t in part], pa.int64())], names=["stem", "t", "c"])
 
-    terms = once.mapInArrow(stems, "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    terms = map_arrow(once, stems, "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     found = [(r.stem, r.t, r.c) for r in terms.filter((F.col("stem") == "") | ((F.col("t") >= 4) & (F.col("t") >= 4 * F.col("c")))).collect()]  # bounded by the sample
     toxic, clean = next(((t, c) for s, t, c in found if not s), (0, 0))
     lexicon = ToxicLexicon(choose_stems([x for x in found if x[0]], toxic, clean))
@@ -196,11 +196,11 @@ def fit_lexicon(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000,
 
     def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shipped.value
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             got = [lex.mass(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64()), batch.column(2)], names=["mass", "words", "toxic"])
 
-    lexicon.fit_curve([(r.mass, r.words, int(r.toxic == 1)) for r in rows.mapInArrow(masses, f"mass double, words long, toxic {kind}").collect()])  # three numbers a sampled row
+    lexicon.fit_curve([(r.mass, r.words, int(r.toxic == 1)) for r in map_arrow(rows, masses, f"mass double, words long, toxic {kind}").collect()])  # three numbers a sampled row
     return lexicon
 
 
@@ -210,11 +210,11 @@ def score_toxicity(documents: DataFrame, lexicon: ToxicLexicon, threshold: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shipped.value
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             scores = [lex.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    out = documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    out = map_arrow(documents.select("doc_id", "text"), run, "doc_id long, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

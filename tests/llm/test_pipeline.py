@@ -14,7 +14,7 @@ def test_stages(spark, tmp_path):
     passage = body(40)
     texts = [body(60) for _ in range(40)]
     texts += [texts[0], texts[1] + " more", f"{body(30)} {passage} {body(30)}", None, "", "12 34"]
-    texts = [f"Common line\n{t}" if t and i % 2 else t for i, t in enumerate(texts)]
+    texts = [f"Common line\n{t}" if t and i % 2 and i < 43 else t for i, t in enumerate(texts)]
     spark.createDataFrame([(i, t, "en", f"s{i % 2}", len(t or "")) for i, t in enumerate(texts)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     rows = cp.run(spark, str(tmp_path)).collect()
