@@ -29,7 +29,7 @@ from .common import keep_rows, map_arrow, mix, slices, table
 
 U = np.uint64
 BASE = 0x9E3779B1
-BITS = 24
+BITS = 22
 
 
 def normalise(text: str | None) -> str:
@@ -67,7 +67,8 @@ class Block:
         self.short = [(i, t) for i, t in kept if 0 < len(t) < q]
         kept = [(i, t) for i, t in kept if len(t) >= q]
         self.ids = [i for i, _ in kept]
-        self.codes = [_codes(t) for _, t in kept]
+        self.texts = [t for _, t in kept]
+        self.codes = [_codes(t) for t in self.texts]
         self.m = np.array([len(c) for c in self.codes], np.int64)
         self.e = np.minimum((error * self.m).astype(np.int64), np.maximum(0, (self.m - q) // q))
         self.need = np.maximum(1, self.m - q + 1 - q * self.e)
@@ -104,31 +105,42 @@ class Block:
         found[:, 2] *= self.e[found[:, 1]] + 1
         return found
 
-    def align(self, codes: np.ndarray, item: int, low: int) -> tuple[int, int, int] | None:
-        """(edits, start, end) of the best alignment of the whole item to the text on diagonals low .. low + 2(e + 1)."""
-        pattern, m, e = self.codes[item], int(self.m[item]), int(self.e[item])
-        width = 2 * (e + 1) + 2 * e  # the band and what e edits can leave it by
-        left = low - e
-        big = m + width + 1
-        at = np.arange(width)
-        cost = np.where((left + at >= 0) & (left + at <= len(codes)), 0, big)
-        begin = left + at
-        padded = np.full(m + width, 0xFFFFFFFF, np.uint32)
-        a, b = max(0, left), min(len(codes), left + m + width)
-        if b > a:
-            padded[a - left : b - left] = codes[a:b]
-        for i in range(m):
-            diagonal = cost + (padded[i : i + width] != pattern[i])
-            up = np.append(cost[1:] + 1, big)
+    def align(self, texts: list[np.ndarray], items: np.ndarray, lows: np.ndarray) -> list[tuple[int, int, int] | None]:
+        """(edits, start, end) of the best alignment of each whole item to its text on diagonals low .. low + 2(e + 1), all at once."""
+        m, e = self.m[items], self.e[items]
+        own = 4 * e + 2  # the band and what e edits can leave it by
+        width, deep, n = int(own.max()), int(m.max()), len(items)
+        left = lows - e
+        big = np.int32(deep + width + 1)
+        at = np.arange(width, dtype=np.int32)
+        pattern = np.zeros((deep, n, 1), np.uint32)
+        padded = np.full((n, deep + width), 0xFFFFFFFF, np.uint32)
+        size = np.array([len(t) for t in texts])
+        for k, text in enumerate(texts):
+            pattern[: m[k], k, 0] = self.codes[items[k]]
+            a, b = max(0, left[k]), min(size[k], left[k] + deep + width)
+            if b > a:
+                padded[k, a - left[k] : b - left[k]] = text[a:b]
+        begin = left[:, None] + at
+        cost = np.where((begin >= 0) & (begin <= size[:, None]) & (at < own[:, None]), np.int32(0), big)
+        up, begin_up = np.full_like(cost, big), np.zeros_like(begin)
+        last_cost, last_begin = cost, begin
+        for i in range(deep):
+            diagonal = cost + (padded[:, i : i + width] != pattern[i])
+            up[:, :-1], begin_up[:, :-1] = cost[:, 1:] + 1, begin[:, 1:]
             best = np.minimum(diagonal, up)
-            begin = np.where(diagonal <= up, begin, np.append(begin[1:], 0))
-            run = np.minimum.accumulate(best - at) + at
-            source = np.maximum.accumulate(np.where(best == run, at, 0))
-            begin, cost = begin[source], run
-        ends = left + m + at
-        cost = np.where((ends >= 0) & (ends <= len(codes)), cost, big)
-        k = int(np.argmin(cost))
-        return (int(cost[k]), int(begin[k]), int(ends[k])) if cost[k] <= e else None
+            begin = np.where(diagonal <= up, begin, begin_up)
+            run = np.minimum.accumulate(best - at, 1) + at
+            source = np.maximum.accumulate(np.where(best == run, at, 0), 1)
+            begin, cost = np.take_along_axis(begin, source, 1), run
+            if (ends := m == i + 1).any():
+                last_cost, last_begin = np.where(ends[:, None], cost, last_cost), np.where(ends[:, None], begin, last_begin)
+        end = (left + m)[:, None] + at
+        last_cost = np.where((end >= 0) & (end <= size[:, None]) & (at < own[:, None]), last_cost, big)
+        k = last_cost.argmin(1)
+        rows = np.arange(n)
+        found = zip(last_cost[rows, k].tolist(), last_begin[rows, k].tolist(), end[rows, k].tolist(), e.tolist(), strict=True)
+        return [(c, s, t) if c <= most else None for c, s, t, most in found]
 
 
 def _match(block: Block, bits: np.ndarray, ids: list, texts: list[str | None]) -> list[tuple]:
@@ -155,10 +167,19 @@ def _match(block: Block, bits: np.ndarray, ids: list, texts: list[str | None]) -
     keep = enough[doc]
     places, hit, doc = places[keep], hit[keep], doc[keep]
     best: dict[tuple[int, int], tuple] = {}
+    todo = []
     for d, item, low in block.bands(doc, places - begin[doc], hit).tolist():
-        text = codes[begin[d] : begin[d] + sizes[d] - 1]
-        if (got := block.align(text, item, low)) and got < best.get((d, item), (1 << 60,)):
-            best[(d, item)] = got
+        if (d, item) not in best and (k := norm[d].find(block.texts[item])) >= 0:
+            best[(d, item)] = (0, k, k + len(block.texts[item]))  # no edits: nothing can be better
+        if (d, item) not in best:
+            todo.append((d, item, low))
+    todo.sort(key=lambda x: block.m[x[1]])
+    for i in range(0, len(todo), 64):
+        part = todo[i : i + 64]
+        texts = [codes[begin[d] : begin[d] + sizes[d] - 1] for d, _, _ in part]
+        for (d, item, _), got in zip(part, block.align(texts, np.array([x[1] for x in part]), np.array([x[2] for x in part])), strict=True):
+            if got and got < best.get((d, item), (1 << 60,)):
+                best[(d, item)] = got
     return out + [(ids[d], block.ids[item], s, t, e) for (d, item), (e, s, t) in best.items()]
 
 
