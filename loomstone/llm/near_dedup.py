@@ -10,9 +10,11 @@ dart at a coordinate with probability equal to their weighted Jaccard similarity
 Rows of ``rows`` coordinates make bands; documents sharing a band are candidates. Exact copies collapse to one
 representative first. Within a bucket each round compares a few pivots with all members not yet in the pivot's component,
 until every bucket is one component or all its pairs were compared: no bucket emits all its pairs because
-it is large, and no link is lost. Candidates are verified by their exact weighted Jaccard similarity.
+it is large. Candidates are verified by their exact weighted Jaccard similarity.
 
-With 32 bands of 4, a pair of similarity 0.8 misses every band with probability 5e-8.
+A bucket that stays crowded with unlike documents after the first round (they share a long passage, say) is replaced by finer ones:
+its documents meet again under 128 keys of 10 coordinates each. With 32 bands of 4, a pair of similarity 0.8 misses every
+band with probability 5e-8; one that meets only in crowded buckets misses every finer key with probability of about 1e-4.
 
 Edge cases: a text that is null, empty or white space has no shingle and is a class of its own; texts equal up to
 white space are one class; rows with null doc_id get class null; an empty table gives no rows.
@@ -153,6 +155,16 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return mix(keys + np.arange(parts.shape[1], dtype=np.uint64) * U(GOLD)).view(np.int64)
 
 
+def fine_keys(sig: np.ndarray, rows: int = 10, count: int = 128) -> np.ndarray:
+    """Keys of ``count`` fixed random choices of ``rows`` coordinates: far more selective than bands, for crowded buckets."""
+    rng = np.random.default_rng(7)
+    choice = np.stack([rng.choice(sig.shape[1], rows, replace=False) for _ in range(count)])
+    keys = np.zeros((len(sig), count), np.uint64)
+    for j in range(rows):
+        keys = mix(keys + sig[:, choice[:, j]].astype(np.uint64) * LANES[48 + j % 8] + LANES[33])
+    return mix(keys + np.arange(count, dtype=np.uint64) * U(GOLD)).view(np.int64)
+
+
 def sketch(documents: DataFrame, hashes: int = 128, rows: int = 4, size: int = 5) -> DataFrame:
     """(doc_id, d1, d2, n, bands): digest of the word sequence, weight, and band keys (null without words)."""
 
@@ -175,16 +187,18 @@ def sketch(documents: DataFrame, hashes: int = 128, rows: int = 4, size: int = 5
     return map_arrow(documents.select("doc_id", "text"), run, "doc_id long, d1 long, d2 long, n long, bands array<long>")
 
 
-def slab_sets(documents: DataFrame, size: int = 5) -> DataFrame:
-    """(id, slabs): 32-bit hashes of a document's unit slabs, whose set Jaccard is the weighted Jaccard of the shingles."""
+def slab_sets(documents: DataFrame, hashes: int = 128, size: int = 5) -> DataFrame:
+    """(id, slabs, fine): fine keys, and 32-bit hashes of a document's unit slabs, whose set Jaccard is the weighted Jaccard of the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             slab, at = slabs(*word_hashes(*text_bytes(batch.column(1))), size)
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array((slab >> U(32)).astype(np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "slabs"])
+            fine = fine_keys(signatures(slab, at, hashes))
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(fine) + 1, dtype=np.int32) * fine.shape[1]), pa.array(fine.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, keys], names=["id", "slabs", "fine"])
 
-    return map_arrow(documents.select("doc_id", "text"), run, "id long, slabs array<int>")
+    return map_arrow(documents.select("doc_id", "text"), run, "id long, slabs array<int>, fine array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -196,7 +210,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return x.filter(shared >= F.lit(threshold) * union).select("a", "b")
 
 
-def near_duplicate_classes(documents: DataFrame, threshold: float = 0.8, hashes: int = 128, rows: int = 4, size: int = 5, pivots: int = 8, broadcast_ids: int = 1_000_000) -> DataFrame:
+def near_duplicate_classes(documents: DataFrame, threshold: float = 0.8, hashes: int = 128, rows: int = 4, size: int = 5, pivots: int = 16, broadcast_ids: int = 1_000_000) -> DataFrame:
     """(doc_id, class_id, exact_id): class_id is the least doc_id of the class, exact_id that of the exact copies.
 
     Only candidates' texts are read a second time. Their ids are broadcast when they are at most ``broadcast_ids``
@@ -215,7 +229,7 @@ def near_duplicate_classes(documents: DataFrame, threshold: float = 0.8, hashes:
     n_ids = ids.count()
     ids = materialise(ids.withColumnRenamed("id", "doc_id"), "candidate_ids")
     texts = own.join(F.broadcast(ids) if n_ids <= broadcast_ids else ids, "doc_id", "left_semi")
-    sets = materialise(slab_sets(texts, size).dropDuplicates(["id"]), "slabs")
+    sets = materialise(slab_sets(texts, hashes, size).dropDuplicates(["id"]), "slabs")
 
     weights = members.select("id", "n").distinct()
     edges: DataFrame | None = None
@@ -233,6 +247,15 @@ def near_duplicate_classes(documents: DataFrame, threshold: float = 0.8, hashes:
             if tagged.isEmpty():
                 break
             left = tagged.select("bk", "id", "n")
+            crowded = F.col("size") > 2 * pivots
+            fine = None
+            if turn == 1 and not tagged.filter(crowded).isEmpty():
+                held = tagged.filter(crowded).select("id", "n").distinct()
+                each = materialise(sets.select("id", F.explode("fine").alias("bk")).join(held, "id"), "fine")
+                full = each.groupBy("bk").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bk")
+                fine = each.join(full, "bk", "left_semi").select("bk", "id", "n")
+                tagged = tagged.filter(~crowded)
+                left = tagged.select("bk", "id", "n")
             # in a bucket of few members each is a pivot, so this round ends it
             salt = F.when(F.col("size") <= 2 * pivots, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(pivots)))
             chosen = tagged.groupBy("bk", salt.alias("salt")).agg(F.min_by(F.struct("id", "label"), "id").alias("p")).select("bk", F.col("p.id").alias("a"), F.col("p.label").alias("la"))
@@ -247,6 +270,8 @@ def near_duplicate_classes(documents: DataFrame, threshold: float = 0.8, hashes:
             edges = found if edges is None else edges.unionByName(found)
             labels = materialise(components(edges, f"cc_{turn}"), f"labels_{turn}")
         left = left.select("bk", "id", "n").join(done, ["bk", "id"], "left_anti")
+        if turn == 1 and fine is not None:
+            left = left.unionByName(fine)
         turn += 1
     known = exact.select("d1", "d2", "rep").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
     final = sketched.select("doc_id", F.when(F.col("n") > 0, F.col("d1")).alias("d1"), "d2").join(known, ["d1", "d2"], "left")
