@@ -7,14 +7,17 @@ Poisson stream of darts in order of rank, each with a hashed coordinate. A docum
 whatever its size, doubled for documents that still have an empty coordinate. Two documents keep the same
 dart at a coordinate with probability equal to their weighted Jaccard similarity.
 
-Rows of ``rows`` coordinates make bands; documents sharing a band are candidates. Exact copies collapse to one
-representative first. Within a bucket each round compares a few pivots with all members not yet in the pivot's component,
-until every bucket is one component or all its pairs were compared: no bucket emits all its pairs because
-it is large. Candidates are verified by their exact weighted Jaccard similarity.
-
-A bucket that stays crowded with unlike documents after the first round (they share a long passage, say) is replaced by finer ones:
-its documents meet again under 128 keys of 10 coordinates each. With 32 bands of 4, a pair of similarity 0.8 misses every
-band with probability 5e-8; one that meets only in crowded buckets misses every finer key with probability of about 1e-4.
+A band is ``rows`` coordinates; ``bands`` of them are cut from fixed permutations of all coordinates, so each coordinate
+serves in equally many. Documents sharing a band are candidates. With 64 bands of 8, a pair of similarity 0.8 misses every
+band with probability 8e-6 (were bands independent), one of 0.5 meets with 0.22 and one of 0.3 with 0.004: documents that only
+share a long passage seldom meet. Exact copies collapse to one representative first. Within a bucket each round compares some pivots with all
+members not yet in the pivot's component, until every bucket is one component or all its pairs were compared. The
+number of pivots grows by ``growth`` each round, so rounds are logarithmic in the largest bucket and a bucket of like documents
+ends long before its pairs are listed. Candidates are verified by their exact weighted Jaccard similarity.
+
+Buckets still crowded with unlike documents after the first round (they share a long passage, say) are replaced exactly: their
+documents meet again under each slab of their prefix, the n - ceil(threshold n) + 1 slabs rarest among those
+documents, of which two documents of at least the threshold share one. A passage that many hold is common, so it is in few prefixes.
 
 Edge cases: a text that is null, empty or white space has no shingle and is a class of its own; texts equal up to
 white space are one class; rows with null doc_id get class null; an empty table gives no rows.
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import lengths, map_arrow, materialise, mix, slices, table, text_bytes
@@ -147,25 +150,17 @@ def signatures(slab: np.ndarray, offsets: np.ndarray, hashes: int) -> np.ndarray
     return np.where(best == np.iinfo(np.uint64).max, 0, best & U(0xFFFFFFFF)).astype(np.uint32).reshape(-1, hashes)
 
 
-def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
-    parts = sig.reshape(len(sig), -1, rows).astype(np.uint64)
-    keys = np.full(parts.shape[:2], 0, np.uint64)
+def band_keys(sig: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    """(documents, bands) keys; bands are consecutive groups of ``rows`` coordinates in fixed permutations of them all."""
+    rng, each = np.random.default_rng(7), sig.shape[1] // rows
+    groups = np.concatenate([rng.permutation(sig.shape[1])[: each * rows].reshape(each, rows) for _ in range(-(-bands // each))])[:bands]
+    keys = np.zeros((len(sig), bands), np.uint64)
     for j in range(rows):
-        keys = mix(keys + parts[:, :, j] * LANES[16 + j] + LANES[32])
-    return mix(keys + np.arange(parts.shape[1], dtype=np.uint64) * U(GOLD)).view(np.int64)
-
+        keys = mix(keys + sig[:, groups[:, j]].astype(np.uint64) * LANES[16 + j] + LANES[32])
+    return mix(keys + np.arange(bands, dtype=np.uint64) * U(GOLD)).view(np.int64)
 
-def fine_keys(sig: np.ndarray, rows: int = 10, count: int = 128) -> np.ndarray:
-    """Keys of ``count`` fixed random choices of ``rows`` coordinates: far more selective than bands, for crowded buckets."""
-    rng = np.random.default_rng(7)
-    choice = np.stack([rng.choice(sig.shape[1], rows, replace=False) for _ in range(count)])
-    keys = np.zeros((len(sig), count), np.uint64)
-    for j in range(rows):
-        keys = mix(keys + sig[:, choice[:, j]].astype(np.uint64) * LANES[48 + j % 8] + LANES[33])
-    return mix(keys + np.arange(count, dtype=np.uint64) * U(GOLD)).view(np.int64)
 
-
-def sketch(documents: DataFrame, hashes: int = 128, rows: int = 4, size: int = 5) -> DataFrame:
+def sketch(documents: DataFrame, hashes: int = 256, rows: int = 8, bands: int = 64, size: int = 5) -> DataFrame:
     """(doc_id, d1, d2, n, bands): digest of the word sequence, weight, and band keys (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,51 +168,75 @@ def sketch(documents: DataFrame, hashes: int = 128, rows: int = 4, size: int = 5
             words, off = word_hashes(*text_bytes(batch.column(1)))
             slab, at = slabs(words, off, size)
             n = np.diff(at)
-            bands = band_keys(signatures(slab, at, hashes), rows)
+            keys = band_keys(signatures(slab, at, hashes), rows, bands)
             place = np.arange(len(words)) - np.repeat(off[:-1], np.diff(off))
             sums = []
             for lane in (40, 41):
                 c = np.concatenate([[0], np.cumsum(mix(words * LANES[lane] + place.astype(np.uint64) * U(GOLD)))]).astype(np.uint64)
                 sums.append(mix(c[off[1:]] - c[off[:-1]] + np.diff(off).astype(np.uint64)).view(np.int64))
-            per = bands.shape[1]
-            ends = np.concatenate([[0], np.cumsum(np.where(n > 0, per, 0))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands[n > 0].ravel(), pa.int64()))
+            ends = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[n > 0].ravel(), pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums[0]), pa.array(sums[1]), pa.array(n.astype(np.int64)), lists], names=["doc_id", "d1", "d2", "n", "bands"])
 
     return map_arrow(documents.select("doc_id", "text"), run, "doc_id long, d1 long, d2 long, n long, bands array<long>")
 
 
-def slab_sets(documents: DataFrame, hashes: int = 128, size: int = 5) -> DataFrame:
-    """(id, slabs, fine): fine keys, and 32-bit hashes of a document's unit slabs, whose set Jaccard is the weighted Jaccard of the shingles."""
+def slab_sets(documents: DataFrame, size: int = 5) -> DataFrame:
+    """(id, slabs): 32-bit hashes of a document's unit slabs, whose set Jaccard is the weighted Jaccard of the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             slab, at = slabs(*word_hashes(*text_bytes(batch.column(1))), size)
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array((slab >> U(32)).astype(np.uint32).view(np.int32)))
-            fine = fine_keys(signatures(slab, at, hashes))
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(fine) + 1, dtype=np.int32) * fine.shape[1]), pa.array(fine.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, keys], names=["id", "slabs", "fine"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "slabs"])
 
-    return map_arrow(documents.select("doc_id", "text"), run, "id long, slabs array<int>, fine array<long>")
+    return map_arrow(documents.select("doc_id", "text"), run, "id long, slabs array<int>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, broadcast_ids: int, name: str) -> DataFrame:
+    """The pairs (a, b) of at least the threshold. Only sets of ids in the pairs are shuffled."""
+    pairs = materialise(pairs, f"pairs_{name}")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = F.broadcast(ids) if 2 * pairs.count() <= broadcast_ids else ids
+    sets = sets.join(ids, "id", "left_semi")
     a = sets.select(F.col("id").alias("a"), F.col("slabs").alias("sa"))
     b = sets.select(F.col("id").alias("b"), F.col("slabs").alias("sb"))
     x = pairs.join(b, "b").join(a, "a")
+    # a document's slabs are distinct but for collisions of their 32 bits
     shared = F.size(F.array_intersect("sa", "sb"))
-    union = F.size(F.array_distinct("sa")) + F.size(F.array_distinct("sb")) - shared
-    return x.filter(shared >= F.lit(threshold) * union).select("a", "b")
+    union = F.size("sa") + F.size("sb") - shared
+    return materialise(x.filter(shared >= F.lit(threshold) * union).select("a", "b"), f"edges_{name}")
+
 
+def _merged(labels: DataFrame | None, found: DataFrame, name: str) -> DataFrame:
+    """labels (id, label: least id of the component) after adding the found edges; only components are linked anew."""
+    if labels is None:
+        return materialise(components(found, f"cc_{name}"), f"labels_{name}")
+    la, lb = labels.select(F.col("id").alias("a"), F.col("label").alias("la")), labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
+    links = found.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    moved = materialise(components(links, f"cc_{name}"), f"moved_{name}").select(F.col("id").alias("label"), F.col("label").alias("to"))
+    old = labels.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+    new = moved.join(labels, moved["label"] == labels["id"], "left_anti").select(F.col("label").alias("id"), F.col("to").alias("label"))
+    return materialise(old.unionByName(new), f"labels_{name}")
 
-def near_duplicate_classes(documents: DataFrame, threshold: float = 0.8, hashes: int = 128, rows: int = 4, size: int = 5, pivots: int = 16, broadcast_ids: int = 1_000_000) -> DataFrame:
+
+def _prefix_entries(held: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(bk, id, n): a key for each slab of a document's prefix that another document of held (id, n) has too."""
+    slabs = materialise(sets.join(held, "id").select("id", "n", F.explode(F.array_distinct("slabs")).alias("s")), "crowd_slabs")
+    common = materialise(slabs.groupBy("s").agg(F.count(F.lit(1)).alias("f")), "slab_counts")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("f", "s"))
+    prefix = slabs.join(common, "s").withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1)
+    return materialise(prefix.filter("f > 1").select(F.xxhash64(F.lit("prefix"), "s").alias("bk"), "id", "n"), "prefixes")
+
+
+def near_duplicate_classes(documents: DataFrame, threshold: float = 0.8, hashes: int = 256, rows: int = 8, bands: int = 64, size: int = 5, pivots: int = 8, growth: int = 16, broadcast_ids: int = 1_000_000) -> DataFrame:
     """(doc_id, class_id, exact_id): class_id is the least doc_id of the class, exact_id that of the exact copies.
 
     Only candidates' texts are read a second time. Their ids are broadcast when they are at most ``broadcast_ids``
     (16 MB); beyond that the texts are joined by shuffle.
     """
     own = documents.select("doc_id", "text")
-    sketched = materialise(sketch(own, hashes, rows, size), "sketch")
+    sketched = materialise(sketch(own, hashes, rows, bands, size), "sketch")
     solid = sketched.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     exact = materialise(solid.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "exact")
     reps = solid.select("doc_id", "n", "bands").join(exact.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
@@ -225,20 +244,17 @@ def near_duplicate_classes(documents: DataFrame, threshold: float = 0.8, hashes:
     crowd = entries.groupBy("bk").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter(F.col("lo") < F.col("hi")).select("bk", "lo")
     members = materialise(entries.join(crowd, "bk"), "members")
 
-    ids = members.select("id").distinct()
-    n_ids = ids.count()
-    ids = materialise(ids.withColumnRenamed("id", "doc_id"), "candidate_ids")
-    texts = own.join(F.broadcast(ids) if n_ids <= broadcast_ids else ids, "doc_id", "left_semi")
-    sets = materialise(slab_sets(texts, hashes, size).dropDuplicates(["id"]), "slabs")
+    ids = materialise(members.select(F.col("id").alias("doc_id")).distinct(), "candidate_ids")
+    texts = own.join(F.broadcast(ids) if ids.count() <= broadcast_ids else ids, "doc_id", "left_semi")
+    sets = materialise(slab_sets(texts, size).dropDuplicates(["id"]), "slabs")
 
     weights = members.select("id", "n").distinct()
-    edges: DataFrame | None = None
     labels: DataFrame | None = None
     left = members.select("bk", "id", "n", "lo")
     turn = 0
     while True:
         if labels is None:
-            pairs = left.filter(F.col("id") != F.col("lo")).select(F.col("lo").alias("a"), F.col("id").alias("b"), F.col("n").alias("nb"))
+            pairs = left.filter(F.col("id") != F.col("lo")).select(F.col("lo").alias("a"), F.col("id").alias("b"))
             done = left.select("bk", F.col("lo").alias("id")).distinct()
         else:
             tagged = left.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -246,32 +262,27 @@ def near_duplicate_classes(documents: DataFrame, threshold: float = 0.8, hashes:
             tagged = materialise(tagged.join(spread, "bk"), f"open_{turn}")
             if tagged.isEmpty():
                 break
-            left = tagged.select("bk", "id", "n")
-            crowded = F.col("size") > 2 * pivots
-            fine = None
-            if turn == 1 and not tagged.filter(crowded).isEmpty():
-                held = tagged.filter(crowded).select("id", "n").distinct()
-                each = materialise(sets.select("id", F.explode("fine").alias("bk")).join(held, "id"), "fine")
-                full = each.groupBy("bk").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bk")
-                fine = each.join(full, "bk", "left_semi").select("bk", "id", "n")
+            if turn == 1:
+                crowded = F.col("size") > 2 * pivots
+                prefixes = _prefix_entries(tagged.filter(crowded).select("id", "n").distinct(), sets, threshold)
                 tagged = tagged.filter(~crowded)
-                left = tagged.select("bk", "id", "n")
+            left = tagged.select("bk", "id", "n")
             # in a bucket of few members each is a pivot, so this round ends it
             salt = F.when(F.col("size") <= 2 * pivots, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(pivots)))
             chosen = tagged.groupBy("bk", salt.alias("salt")).agg(F.min_by(F.struct("id", "label"), "id").alias("p")).select("bk", F.col("p.id").alias("a"), F.col("p.label").alias("la"))
             met = tagged.join(chosen, "bk").filter((F.col("label") != F.col("la")) & (F.col("id") != F.col("a")))
-            pairs = met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), F.lit(None).cast("long").alias("nb"))
+            pairs = met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
             done = chosen.select("bk", F.col("a").alias("id"))
+            pivots *= growth if turn > 1 else 1
         pairs = pairs.select("a", "b").distinct()
         pairs = pairs.join(weights.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(weights.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
         pairs = pairs.filter(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")).select("a", "b")
-        found = materialise(_verified(pairs, sets, threshold), f"edges_{turn}")
+        found = _verified(pairs, sets, threshold, broadcast_ids, str(turn))
         if labels is None or not found.isEmpty():
-            edges = found if edges is None else edges.unionByName(found)
-            labels = materialise(components(edges, f"cc_{turn}"), f"labels_{turn}")
+            labels = _merged(labels, found, str(turn))
         left = left.select("bk", "id", "n").join(done, ["bk", "id"], "left_anti")
-        if turn == 1 and fine is not None:
-            left = left.unionByName(fine)
+        if turn == 1:
+            left = left.unionByName(prefixes)
         turn += 1
     known = exact.select("d1", "d2", "rep").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
     final = sketched.select("doc_id", F.when(F.col("n") > 0, F.col("d1")).alias("d1"), "d2").join(known, ["d1", "d2"], "left")

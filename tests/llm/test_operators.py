@@ -221,6 +221,16 @@ def test_near_dedup_matches_brute_force(spark):
     assert near_dedup.near_duplicate_classes(docs(spark, [])).collect() == []
 
 
+def test_near_dedup_crowded_buckets_match_brute_force(spark, monkeypatch):
+    rng, crowds, plain = random.Random(11), [], near_dedup._prefix_entries
+    monkeypatch.setattr(near_dedup, "_prefix_entries", lambda held, *rest: crowds.append(held.count()) or plain(held, *rest))
+    passage = prose(rng, 80, 5000)
+    texts = [f"{passage} {prose(rng, n, 5000)}" for n in (20, 25, 30, 35) * 8]
+    texts += [t.replace(t.split()[-9], "other") for t in texts[::5]]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(docs(spark, texts), pivots=2).collect()}
+    assert [got[i] for i in range(len(texts))] == classes(texts) and crowds[0] > 20
+
+
 def test_components(spark):
     rng, n = random.Random(4), 60
     edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)]
