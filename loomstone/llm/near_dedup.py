@@ -18,6 +18,7 @@ ends long before its pairs are listed. Candidates are verified by their exact we
 Buckets still crowded with unlike documents after the first round (they share a long passage, say) are replaced exactly: their
 documents meet again under each slab of their prefix, the n - ceil(threshold n) + 1 slabs rarest among those
 documents, of which two documents of at least the threshold share one. A passage that many hold is common, so it is in few prefixes.
+A pair meets at a slab only if what either has from there on could make up the overlap it needs; at the first slab they share it must.
 
 Edge cases: a text that is null, empty or white space has no shingle and is a class of its own; texts equal up to
 white space are one class; rows with null doc_id get class null; an empty table gives no rows.
@@ -221,12 +222,13 @@ def _merged(labels: DataFrame | None, found: DataFrame, name: str) -> DataFrame:
 
 
 def _prefix_entries(held: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(bk, id, n): a key for each slab of a document's prefix that another document of held (id, n) has too."""
-    slabs = materialise(sets.join(held, "id").select("id", "n", F.explode(F.array_distinct("slabs")).alias("s")), "crowd_slabs")
+    """(bk, id, n, at): a key for each slab of a document's prefix that another document of held (id) has too, and its place from 1."""
+    own = sets.join(held, "id").select("id", F.array_distinct("slabs").alias("slabs"))
+    slabs = materialise(own.select("id", F.size("slabs").cast("long").alias("n"), F.explode("slabs").alias("s")), "crowd_slabs")
     common = materialise(slabs.groupBy("s").agg(F.count(F.lit(1)).alias("f")), "slab_counts")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("f", "s"))
-    prefix = slabs.join(common, "s").withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1)
-    return materialise(prefix.filter("f > 1").select(F.xxhash64(F.lit("prefix"), "s").alias("bk"), "id", "n"), "prefixes")
+    prefix = slabs.join(common, "s").withColumn("at", rank).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1)
+    return materialise(prefix.filter("f > 1").select(F.xxhash64(F.lit("prefix"), "s").alias("bk"), "id", "n", "at"), "prefixes")
 
 
 def near_duplicate_classes(documents: DataFrame, threshold: float = 0.8, hashes: int = 256, rows: int = 8, bands: int = 64, size: int = 5, pivots: int = 8, growth: int = 16, broadcast_ids: int = 1_000_000) -> DataFrame:
@@ -250,7 +252,7 @@ def near_duplicate_classes(documents: DataFrame, threshold: float = 0.8, hashes:
 
     weights = members.select("id", "n").distinct()
     labels: DataFrame | None = None
-    left = members.select("bk", "id", "n", "lo")
+    left = members.select("bk", "id", "n", "lo", F.lit(0).alias("at"))
     turn = 0
     while True:
         if labels is None:
@@ -264,13 +266,15 @@ def near_duplicate_classes(documents: DataFrame, threshold: float = 0.8, hashes:
                 break
             if turn == 1:
                 crowded = F.col("size") > 2 * pivots
-                prefixes = _prefix_entries(tagged.filter(crowded).select("id", "n").distinct(), sets, threshold)
+                prefixes = _prefix_entries(tagged.filter(crowded).select("id").distinct(), sets, threshold)
                 tagged = tagged.filter(~crowded)
-            left = tagged.select("bk", "id", "n")
+            left = tagged.select("bk", "id", "n", "at")
             # in a bucket of few members each is a pivot, so this round ends it
             salt = F.when(F.col("size") <= 2 * pivots, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(pivots)))
-            chosen = tagged.groupBy("bk", salt.alias("salt")).agg(F.min_by(F.struct("id", "label"), "id").alias("p")).select("bk", F.col("p.id").alias("a"), F.col("p.label").alias("la"))
-            met = tagged.join(chosen, "bk").filter((F.col("label") != F.col("la")) & (F.col("id") != F.col("a")))
+            chosen = tagged.groupBy("bk", salt.alias("salt")).agg(F.min_by(F.struct("id", "label", "n", "at"), "id").alias("p")).select("bk", F.col("p.id").alias("a"), F.col("p.label").alias("la"), F.col("p.n").alias("na"), F.col("p.at").alias("aa"))
+            need = F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("na")) - F.lit(1e-6)
+            fits = (F.col("at") == 0) | (1 + F.least(F.col("n") - F.col("at"), F.col("na") - F.col("aa")) >= need)
+            met = tagged.join(chosen, "bk").filter((F.col("label") != F.col("la")) & (F.col("id") != F.col("a")) & fits)
             pairs = met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
             done = chosen.select("bk", F.col("a").alias("id"))
             pivots *= growth if turn > 1 else 1
@@ -280,7 +284,7 @@ def near_duplicate_classes(documents: DataFrame, threshold: float = 0.8, hashes:
         found = _verified(pairs, sets, threshold, broadcast_ids, str(turn))
         if labels is None or not found.isEmpty():
             labels = _merged(labels, found, str(turn))
-        left = left.select("bk", "id", "n").join(done, ["bk", "id"], "left_anti")
+        left = left.select("bk", "id", "n", "at").join(done, ["bk", "id"], "left_anti")
         if turn == 1:
             left = left.unionByName(prefixes)
         turn += 1
