@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,36 +92,37 @@ def betweenness(pairs: DataFrame, nodes_bound: int = 50_000) -> DataFrame:
     n = nodes.count()
     if n > nodes_bound:
         raise ValueError(f"{n} nodes: exact betweenness is for at most {nodes_bound}")
-    adjacency: dict = {}
-    for r in pairs.select("a", "b").distinct().toLocalIterator():
-        adjacency.setdefault(r.a, []).append(r.b)
-        adjacency.setdefault(r.b, []).append(r.a)
-    shared = spark.sparkContext.broadcast(adjacency)
+    found = pairs.select("a", "b").distinct().toPandas()
+    names, ends = np.unique(np.concatenate([found["a"].to_numpy(), found["b"].to_numpy()]), return_inverse=True)
+    one, other = ends[: len(found)].astype(np.int32), ends[len(found) :].astype(np.int32)
+    come, go = np.concatenate([one, other]), np.concatenate([other, one])
+    near = go[np.argsort(come, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(come, minlength=n))])
+    shared = spark.sparkContext.broadcast((names, near, first))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near, total = shared.value, {}
+        names, near, first = shared.value
+        degree, total, mark = np.diff(first), np.zeros(len(names)), np.zeros(len(names), np.int64)
         for batch in batches:
-            for source in batch["node"].tolist():
-                depth, paths, levels = {source: 0}, {source: 1.0}, [[source]]
-                while levels[-1]:
-                    nxt = []
-                    for v in levels[-1]:
-                        for w in near[v]:
-                            if w not in depth:
-                                depth[w], paths[w] = depth[v] + 1, 0.0
-                                nxt.append(w)
-                            if depth[w] == depth[v] + 1:
-                                paths[w] += paths[v]
-                    levels.append(nxt)
-                share = dict.fromkeys(depth, 0.0)
-                for level in reversed(levels[1:]):
-                    for w in level:
-                        each = (1.0 + share[w]) / paths[w]
-                        for v in near[w]:
-                            if depth.get(v) == depth[w] - 1:
-                                share[v] += paths[v] * each
-                        total[w] = total.get(w, 0.0) + share[w]
-        yield pd.DataFrame({"node": list(total), "c": list(total.values())})
+            for source in np.searchsorted(names, batch["node"].to_numpy()):
+                depth, paths, share = np.full(len(names), -1, np.int32), np.zeros(len(names)), np.zeros(len(names))
+                depth[source], paths[source], front, levels = 0, 1.0, np.array([source]), []
+                while len(front):
+                    many = degree[front]
+                    at = np.repeat(first[front] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                    w = near[at]
+                    new = depth[w] < 0
+                    v, w = np.repeat(front, many)[new], w[new]
+                    depth[w] = len(levels) + 1
+                    np.add.at(paths, w, paths[v])
+                    levels.append((v, w))
+                    mark[w] = np.arange(len(w))
+                    front = w[mark[w] == np.arange(len(w))]
+                for v, w in reversed(levels):
+                    np.add.at(share, v, paths[v] * (1.0 + share[w]) / paths[w])
+                share[source] = 0.0
+                total += share
+        yield pd.DataFrame({"node": names, "c": total})
 
     kind = pairs.schema["a"].dataType.simpleString()
     part = nodes.repartition(max(1, min(n, spark.sparkContext.defaultParallelism * 4)), "node").mapInPandas(run, f"node {kind}, c double")

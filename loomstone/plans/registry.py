@@ -245,6 +245,7 @@ def j02_pagerank(spark, sf):
 
 
 def _sparse(spark, sf) -> DataFrame:
+    """One order in 40, only for j04 and j08, whose recursive SQL is over these pairs; the queries in _all are over all orders."""
     li = t(spark, sf, "lineitem").filter("l_orderkey % 40 = 0")
     return graph.undirected(graph.co_mentions(li.select(F.col("l_partkey").alias("page"), F.col("l_orderkey").alias("entity"))))
 
@@ -264,14 +265,26 @@ def j08_distances(spark, sf):
     return graph.distances(pairs, root, 3)
 
 
+@query()
+def j04_components_all(spark, sf):
+    return graph.components(graph.undirected(_links(spark, sf)))
+
+
+@query()
+def j08_distances_all(spark, sf):
+    pairs = graph.undirected(_links(spark, sf))
+    root = pairs.agg(F.min("a")).collect()[0][0]
+    return graph.distances(pairs, root, 3)
+
+
 @query()
 def j03_betweenness(spark, sf):
-    return graph.betweenness(_sparse(spark, sf))
+    return graph.betweenness(graph.undirected(_links(spark, sf)))
 
 
 @query()
 def j06_bridges(spark, sf):
-    return graph.fragile_bridges(_sparse(spark, sf).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("w").alias("weight")))
+    return graph.fragile_bridges(graph.undirected(_links(spark, sf)).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("w").alias("weight")))
 
 
 @query(f"""WITH {PAIRS}, k AS (SELECT a AS node, sum(w) AS k, count(*) AS degree FROM e GROUP BY a), tot AS (SELECT sum(w) AS total FROM p),
