@@ -58,21 +58,35 @@ def pagerank(pairs: DataFrame, seeds: DataFrame, damping: float = 0.5, iteration
     return rank
 
 
-def components(pairs: DataFrame, most: int = 30) -> DataFrame:
-    """(node, label): the least node of each component, by min-label steps with pointer jumping until nothing changes."""
-    edges = both_ways(pairs.withColumn("w", F.lit(1)) if "w" not in pairs.columns else pairs).select("a", "b")
-    label = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label"))
-    before = None
-    for i in range(most):
-        near = edges.join(label, edges.b == label.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        moved = label.join(near, "node").select("node", F.least("label", "m").alias("label"))
-        up = moved.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        label = _cut(moved.join(up, "label").select("node", F.least("label", "top").alias("label")), f"label{i}").cache()
-        now = label.agg(F.sum(F.pmod(F.xxhash64("node", "label"), F.lit(1 << 40)))).collect()[0][0]
-        if now == before:
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """Of edges with a > b. large: link every larger neighbour of u to the least of u and its neighbours; small: link the smaller ones and u itself."""
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if large:
+        both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    joined = both.join(least, "u")
+    out = joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+    return out.filter("a <> b").distinct()
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """(node, label): the least node of each component, by large-star and small-star steps until nothing changes."""
+
+    def held(df: DataFrame, name: str) -> DataFrame:
+        cut = _cut(df, name)
+        return df.localCheckpoint() if cut is df else cut
+
+    pairs = held(pairs.select("a", "b"), "pairs")
+    edges = held(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges0")
+    before, step = None, 0
+    while True:
+        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).collect()[0])
+        if now == before or not now[0]:
             break
-        before = now
-    return label
+        before, step = now, step + 1
+        edges = held(_star(held(_star(edges, large=True), f"large{step}"), large=False), f"edges{step}")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    return nodes.join(edges.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
 def component_sizes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -212,8 +226,10 @@ def degrees(pairs: DataFrame) -> DataFrame:
 def hubs(pairs: DataFrame, at_least: int = 8) -> DataFrame:
     """Nodes whose degree exceeds max(p99, at_least); p99 is the sorted degree at index floor(0.99 (n - 1))."""
     d = degrees(pairs)
-    n = d.count()
-    nth = d.withColumn("i", F.row_number().over(Window.orderBy("degree", "node"))).filter(F.col("i") == int(0.99 * (n - 1)) + 1) if n <= 1_000_000 else d.agg(F.percentile_approx("degree", 0.99, 100_000).alias("degree"))
+    of = d.groupBy("degree").agg(F.count(F.lit(1)).alias("many"))  # a row a degree: far fewer than nodes
+    upto = of.select("degree", F.sum("many").over(Window.orderBy("degree")).alias("upto"))
+    n = of.agg(F.coalesce(F.sum("many"), F.lit(0))).collect()[0][0]
+    nth = upto.filter(F.col("upto") > int(0.99 * (n - 1))).agg(F.min("degree").alias("degree"))
     return d.crossJoin(F.broadcast(nth.select(F.greatest("degree", F.lit(at_least)).alias("cut")))).filter("degree > cut").select("node", "degree")
 
 

@@ -1,9 +1,12 @@
 """The graph queries over all orders of a small table, against brute force."""
 
-from collections import defaultdict, deque
+import inspect
+import random
+from collections import Counter, defaultdict, deque
 
 import pytest
 
+from loomstone.operators import graph
 from loomstone.plans import registry
 
 ORDERS = {1: (1, 2, 3), 2: (3, 4), 7: (4, 5, 6), 40: (6, 7), 41: (10, 11), 43: (11, 12, 13), 80: (13, 14), 81: (2, 5), 82: (20, 24), 83: (21, 25), 84: (24, 25)}
@@ -75,3 +78,19 @@ def test_bridges(spark, table):
             size[hi] += size[lo]
     got = [(r.src, r.dst, r.small_side, r.large_side) for r in registry.QUERIES["j06_bridges"](spark, at).collect()]
     assert got == want[:10] and want
+
+
+def test_components_of_a_long_path(spark):
+    names = list(range(100))
+    random.Random(1).shuffle(names)
+    got = graph.components(spark.createDataFrame(list(zip(names, names[1:])) + [(200, 200), (300, 301)], "a long, b long")).collect()
+    assert {(r.node, r.label) for r in got} == {(v, 0) for v in names} | {(200, 200), (300, 300), (301, 300)}
+
+
+def test_hubs_take_the_exact_rank(spark):
+    edges = [(0, i) for i in range(1, 301)] + [(i, i + 1) for i in range(1, 40)] + [(1, i) for i in range(100, 112)] + [(2, i) for i in range(200, 211)] + [(3, i) for i in range(220, 228)]
+    pairs = spark.createDataFrame([(a, b, 1.0) for a, b in edges], "a long, b long, w double")
+    degree = Counter(v for e in edges for v in e)
+    cut = max(8, sorted(degree.values())[int(0.99 * (len(degree) - 1))])
+    assert {(r.node, r.degree) for r in graph.hubs(pairs).collect()} == {(v, k) for v, k in degree.items() if k > cut}
+    assert "percentile_approx" not in inspect.getsource(graph.hubs)
