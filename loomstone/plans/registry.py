@@ -114,6 +114,13 @@ def e04_related_pages(spark, sf):
     return r.groupBy("page").agg(F.count(F.lit(1)).alias("others"), (F.sum("score") > 0).alias("any_score"))
 
 
+@query()
+def e04_related_pages_all(spark, sf):
+    """All shared entities and the scores; e04_related_pages keeps the bound of its SQL."""
+    none = spark.createDataFrame([], "src long, dst long")
+    return retrieval.related_pages(_mentions(spark, sf), none, limit=1 << 30).select("page", "other", r6(F.col("score")).alias("score"))
+
+
 @query()
 def k05_descend(spark, sf):
     docs = t(spark, sf, "documents").select(F.col("doc_id").alias("page"), F.col("source").alias("dir"), F.substring_index("text", "\n", 1).alias("l0"), F.col("text").alias("l1"))
