@@ -23,6 +23,12 @@ def _cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _held(df: DataFrame, name: str) -> DataFrame:
+    """As _cut, but without such a folder the executors keep the rows: loops over it stay linear."""
+    cut = _cut(df, name)
+    return df.localCheckpoint() if cut is df else cut
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """(a, b, w) with a < b: parallel and opposite edges summed, self loops dropped."""
     return edges.filter("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("weight").alias("w"))
@@ -45,7 +51,7 @@ def pagerank(pairs: DataFrame, seeds: DataFrame, damping: float = 0.5, iteration
     so no mass dangles; a fixed number of rounds, each one join and one sum on the same key."""
     edges = both_ways(pairs)
     out = edges.groupBy("a").agg(F.sum("w").alias("out"))
-    step = edges.join(out, "a").select("a", "b", (F.col("w") / F.col("out")).alias("p"))
+    step = _held(edges.join(out, "a").select("a", "b", (F.col("w") / F.col("out")).alias("p")), "step")
     inside = seeds.join(out.select(F.col("a").alias("node")), "node", "left_semi")
     total = inside.agg(F.sum("mass").alias("total"))
     s = inside.crossJoin(F.broadcast(total)).select("node", (F.col("mass") / F.col("total")).alias("s"))
@@ -54,7 +60,7 @@ def pagerank(pairs: DataFrame, seeds: DataFrame, damping: float = 0.5, iteration
         flow = rank.join(step, rank.node == step.a).groupBy(F.col("b").alias("node")).agg((F.sum(F.col("score") * F.col("p")) * damping).alias("score"))
         rank = flow.unionByName(s.select("node", (F.col("s") * (1 - damping)).alias("score"))).groupBy("node").agg(F.sum("score").alias("score"))
         if i % 4 == 3:
-            rank = _cut(rank, f"rank{i}")
+            rank = _held(rank, f"rank{i}")
     return rank
 
 
@@ -71,20 +77,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(pairs: DataFrame) -> DataFrame:
     """(node, label): the least node of each component, by large-star and small-star steps until nothing changes."""
-
-    def held(df: DataFrame, name: str) -> DataFrame:
-        cut = _cut(df, name)
-        return df.localCheckpoint() if cut is df else cut
-
-    pairs = held(pairs.select("a", "b"), "pairs")
-    edges = held(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges0")
+    pairs = _held(pairs.select("a", "b"), "pairs")
+    edges = _held(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges0")
     before, step = None, 0
     while True:
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).collect()[0])
         if now == before or not now[0]:
             break
         before, step = now, step + 1
-        edges = held(_star(held(_star(edges, large=True), f"large{step}"), large=False), f"edges{step}")
+        edges = _held(_star(_held(_star(edges, large=True), f"large{step}"), large=False), f"edges{step}")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     return nodes.join(edges.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
