@@ -32,7 +32,11 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*+(?:=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""", re.I)
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object canvas title select option".split())
+RAW = frozenset("script style textarea iframe title".split())
+#: Elements with no text of the page in them, nested as others are and ended with their parent at the latest.
+HIDDEN = frozenset("noscript template svg object canvas select option optgroup datalist annotation annotation-xml".split())
+#: Those of them that the start of a block ends, as in browsers.
+LEFT = frozenset("svg select option optgroup datalist".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -45,7 +49,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, str], ...], int
     out: list = []
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
-    linked, links = 0, 0
+    linked, links, hidden = 0, 0, 0
 
     def close() -> None:
         nonlocal linked
@@ -59,7 +63,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, str], ...], int
     at, page = 0, page or ""
     while at < len(page):
         m = TOKEN.search(page, at)
-        if (end := m.start() if m else len(page)) > at:
+        if (end := m.start() if m else len(page)) > at and not hidden:
             parts.append(page[at:end])
             if links:
                 linked += end - at
@@ -70,22 +74,35 @@ def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, str], ...], int
             continue
         tag = m[2].lower()
         if m[1]:
+            if hidden and (inside := next(i for i, (t, _) in enumerate(stack) if t in HIDDEN)) < max((i for i, (t, _) in enumerate(stack) if t == tag), default=-1):
+                del stack[max(i for i, (t, _) in enumerate(stack) if t == tag) :]
+                hidden = sum(t in HIDDEN for t, _ in stack[inside:])
+                links = sum(t == "a" for t, _ in stack)
+                continue
             if tag in BLOCK:
                 close()
             if any(t == tag for t, _ in stack):
-                if tag in BLOCK:
+                if tag in BLOCK or tag in HIDDEN:
                     while stack.pop()[0] != tag:
                         pass
                 else:
                     i = max(i for i, (t, _) in enumerate(stack) if t == tag)
                     if not any(t in BLOCK for t, _ in stack[i + 1 :]):
                         del stack[i:]
-            links = sum(t == "a" for t, _ in stack)
+            links, hidden = sum(t == "a" for t, _ in stack), sum(t in HIDDEN for t, _ in stack)
             continue
         if tag == "br":
             parts.append(" ")
             continue
-        if tag in BLOCK:
+        if hidden and tag in BLOCK and not any(t == "foreignobject" for t, _ in stack):
+            i = next(i for i, (t, _) in enumerate(stack) if t in HIDDEN)
+            if stack[i][0] in LEFT:
+                del stack[i:]
+                links, hidden = sum(t == "a" for t, _ in stack), 0
+        if tag in ("option", "optgroup"):
+            while stack and stack[-1][0] in ("option", tag):
+                hidden -= stack.pop()[0] in HIDDEN
+        if tag in BLOCK and not hidden:
             close()
             if tag in CLOSES_P and any(t == "p" for t, _ in stack):
                 i = max(i for i, (t, _) in enumerate(stack) if t == "p")
@@ -109,6 +126,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, str], ...], int
             continue
         words = " ".join(w.lower() for a in ATTRIBUTE.finditer(m[3]) for w in ([a[1]] if a[1].lower() in ("hidden",) else PIECE.findall(a[2] or a[3] or a[4] or ""))) if m[3] else ""
         stack.append((tag, words))
+        hidden += tag in HIDDEN
         if tag == "a":
             links += 1
     close()
