@@ -5,6 +5,9 @@ and hashed with SHA-256; the digest is equi-joined with those of the known licen
 documents are looked up, and every line of a document as a text of its own, which is how short notices occur. The known
 table is fixed in this module or given by the caller, and both sides are normalised by the same expressions.
 
+The fixed table holds entire texts of MIT, ISC and BSD-2-Clause only, one-line notices of the other licences in it, and nothing of
+BSD-3-Clause; whole texts and headers of several lines that are not in it give no row.
+
 Edge cases: null and empty texts, and those with nothing left after normalising, match nothing; a notice repeated in a
 document is counted; equal digests of several known texts give a row for each licence; an empty table gives no rows.
 """
