@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         found = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))).alias("h")).collect()[0]
         if (now := (found.n, found.h)) == state or not found.n:
             break
-        state, step = now, step + 1
+        state, step, before = now, step + 1, edges
         edges = materialise(_star(_star(edges, large=True), large=False), f"{name}_{step}")
+        discard(before)
     labels = edges.select(F.col("a").alias("id"), F.col("b").alias("label"))
     return labels.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())

@@ -16,12 +16,17 @@ number of pivots grows by ``growth`` each round, so rounds are logarithmic in th
 ends long before its pairs are listed. Candidates are verified by their exact weighted Jaccard similarity.
 
 Buckets still crowded with unlike documents after the first round (they share a long passage, say) are replaced exactly: their
-documents meet again under each slab of their prefix, the n - ceil(threshold n) + 1 slabs rarest among those
-documents, of which two documents of at least the threshold share one. A passage that many hold is common, so it is in few prefixes.
+documents meet again under each slab of their prefix, the first n - ceil(threshold n) + 1 slabs in one order of all slabs,
+of which two documents of at least the threshold share one. Any order that is the same for all documents is exact. This one puts the
+slabs that are frequent in a bounded sample of those documents last, so a passage that many hold is in few prefixes. The
+prefix is cut where the slabs are read, so only its entries become rows.
 A pair meets at a slab only if what either has from there on could make up the overlap it needs; at the first slab they share it must.
 
+Rows, not ids, are compared: two texts under one doc_id are two documents, and each can be in a class of its own.
+
 Edge cases: a text that is null, empty or white space has no shingle and is a class of its own; texts equal up to
-white space are one class; rows with null doc_id get class null; an empty table gives no rows.
+white space are one class; rows with null doc_id get class null and are compared with nothing; a text of any length is hashed in pieces of
+bounded size and compared whole; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lengths, map_arrow, materialise, mix, slices, table, text_bytes
+from .common import discard, in_sample, map_arrow, materialise, mix, slices, table, text_bytes
 from .graph import components
 
 U = np.uint64
@@ -161,37 +166,46 @@ def band_keys(sig: np.ndarray, rows: int, bands: int) -> np.ndarray:
     return mix(keys + np.arange(bands, dtype=np.uint64) * U(GOLD)).view(np.int64)
 
 
+def digests(words: np.ndarray, off: np.ndarray) -> list[pa.Array]:
+    """Two 64-bit digests of each row's word sequence."""
+    place = np.arange(len(words)) - np.repeat(off[:-1], np.diff(off))
+    out = []
+    for lane in (40, 41):
+        c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words * LANES[lane] + place.astype(np.uint64) * U(GOLD)), dtype=np.uint64)])
+        out.append(pa.array(mix(c[off[1:]] - c[off[:-1]] + np.diff(off).astype(np.uint64)).view(np.int64)))
+    return out
+
+
 def sketch(documents: DataFrame, hashes: int = 256, rows: int = 8, bands: int = 64, size: int = 5) -> DataFrame:
-    """(doc_id, d1, d2, n, bands): digest of the word sequence, weight, and band keys (null without words)."""
+    """(doc_id, t, d1, d2, n, bands) of (doc_id, t, text): digest of the word sequence, weight, and band keys (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            words, off = word_hashes(*text_bytes(batch.column(1)))
+            words, off = word_hashes(*text_bytes(batch.column(2)))
             slab, at = slabs(words, off, size)
             n = np.diff(at)
             keys = band_keys(signatures(slab, at, hashes), rows, bands)
-            place = np.arange(len(words)) - np.repeat(off[:-1], np.diff(off))
-            sums = []
-            for lane in (40, 41):
-                c = np.concatenate([[0], np.cumsum(mix(words * LANES[lane] + place.astype(np.uint64) * U(GOLD)))]).astype(np.uint64)
-                sums.append(mix(c[off[1:]] - c[off[:-1]] + np.diff(off).astype(np.uint64)).view(np.int64))
             ends = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[n > 0].ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums[0]), pa.array(sums[1]), pa.array(n.astype(np.int64)), lists], names=["doc_id", "d1", "d2", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *digests(words, off), pa.array(n.astype(np.int64)), lists], names=["doc_id", "t", "d1", "d2", "n", "bands"])
 
-    return map_arrow(documents.select("doc_id", "text"), run, "doc_id long, d1 long, d2 long, n long, bands array<long>")
+    return map_arrow(documents.select("doc_id", "t", "text"), run, "doc_id long, t long, d1 long, d2 long, n long, bands array<long>")
 
 
 def slab_sets(documents: DataFrame, size: int = 5) -> DataFrame:
-    """(id, slabs): 32-bit hashes of a document's unit slabs, whose set Jaccard is the weighted Jaccard of the shingles."""
+    """(doc_id, d1, d2, slabs): distinct 32-bit hashes of a document's unit slabs, whose set Jaccard is the weighted Jaccard of the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            slab, at = slabs(*word_hashes(*text_bytes(batch.column(1))), size)
-            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array((slab >> U(32)).astype(np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "slabs"])
+            words, off = word_hashes(*text_bytes(batch.column(1)))
+            slab, at = slabs(words, off, size)
+            row = np.repeat(np.arange(len(at) - 1, dtype=np.uint64), np.diff(at))
+            each = np.unique((row << U(32)) | (slab >> U(32)))
+            ends = np.searchsorted(each, np.arange(len(at), dtype=np.uint64) << U(32)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((each & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *digests(words, off), lists], names=["doc_id", "d1", "d2", "slabs"])
 
-    return map_arrow(documents.select("doc_id", "text"), run, "id long, slabs array<int>")
+    return map_arrow(documents.select("doc_id", "text"), run, "doc_id long, d1 long, d2 long, slabs array<int>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, broadcast_ids: int, name: str) -> DataFrame:
@@ -203,10 +217,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, broadcast_ids
     a = sets.select(F.col("id").alias("a"), F.col("slabs").alias("sa"))
     b = sets.select(F.col("id").alias("b"), F.col("slabs").alias("sb"))
     x = pairs.join(b, "b").join(a, "a")
-    # a document's slabs are distinct but for collisions of their 32 bits
     shared = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - shared
-    return materialise(x.filter(shared >= F.lit(threshold) * union).select("a", "b"), f"edges_{name}")
+    found = materialise(x.filter(shared >= F.lit(threshold) * union).select("a", "b"), f"edges_{name}")
+    discard(pairs)
+    return found
 
 
 def _merged(labels: DataFrame | None, found: DataFrame, name: str) -> DataFrame:
@@ -215,44 +230,79 @@ def _merged(labels: DataFrame | None, found: DataFrame, name: str) -> DataFrame:
         return materialise(components(found, f"cc_{name}"), f"labels_{name}")
     la, lb = labels.select(F.col("id").alias("a"), F.col("label").alias("la")), labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
     links = found.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    moved = materialise(components(links, f"cc_{name}"), f"moved_{name}").select(F.col("id").alias("label"), F.col("label").alias("to"))
+    linked = materialise(components(links, f"cc_{name}"), f"moved_{name}")
+    moved = linked.select(F.col("id").alias("label"), F.col("label").alias("to"))
     old = labels.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label"))
     new = moved.join(labels, moved["label"] == labels["id"], "left_anti").select(F.col("label").alias("id"), F.col("to").alias("label"))
-    return materialise(old.unionByName(new), f"labels_{name}")
+    out = materialise(old.unionByName(new), f"labels_{name}")
+    discard(linked, labels)
+    return out
+
 
+def frequent_slabs(sets: DataFrame, documents: int, sample: int = 4096, most: int = 500_000) -> np.ndarray:
+    """Slabs that two or more of about ``sample`` documents hold, at most ``most`` of them, the rarest first."""
+    some = sets.filter(in_sample("id", sample, documents)).select(F.explode("slabs").alias("s"))
+    counts = some.groupBy("s").agg(F.count(F.lit(1)).alias("f")).filter("f > 1").orderBy(F.desc("f"), "s").limit(most)
+    return np.array([r.s for r in counts.toLocalIterator()], np.int32)[::-1]  # 2 MB at most
 
-def _prefix_entries(held: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(bk, id, n, at): a key for each slab of a document's prefix that another document of held (id) has too, and its place from 1."""
-    own = sets.join(held, "id").select("id", F.array_distinct("slabs").alias("slabs"))
-    slabs = materialise(own.select("id", F.size("slabs").cast("long").alias("n"), F.explode("slabs").alias("s")), "crowd_slabs")
-    common = materialise(slabs.groupBy("s").agg(F.count(F.lit(1)).alias("f")), "slab_counts")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("f", "s"))
-    prefix = slabs.join(common, "s").withColumn("at", rank).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1)
-    return materialise(prefix.filter("f > 1").select(F.xxhash64(F.lit("prefix"), "s").alias("bk"), "id", "n", "at"), "prefixes")
+
+def prefix_entries(sets: DataFrame, threshold: float, frequent: np.ndarray) -> DataFrame:
+    """(bk, id, n, at): a key for each slab of the prefix of each document (id, slabs), and its place from 1.
+
+    The order: slabs that are not frequent, by a hash; then the frequent ones as given, the rarest first.
+    """
+    shipped = sets.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shipped.value
+        by = np.argsort(known, kind="stable")
+        ranked = known[by]
+        for batch in batches:
+            lists = batch.column(1)
+            for i in range(batch.num_rows):
+                s = lists[i].values.to_numpy(zero_copy_only=False)
+                n = len(s)
+                rank = np.full(n, -1)
+                if len(ranked):
+                    spot = np.minimum(np.searchsorted(ranked, s), len(ranked) - 1)
+                    rank = np.where(ranked[spot] == s, by[spot], -1)
+                keys = mix(s.view(np.uint32).astype(np.uint64) * LANES[50])
+                first = np.lexsort((keys, rank))[: n - math.ceil(n * threshold - 1e-9) + 1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[first].view(np.int64)), pa.repeat(batch.column(0)[i], len(first)), pa.repeat(pa.scalar(n, pa.int64()), len(first)), pa.array(np.arange(1, len(first) + 1, dtype=np.int32))], names=["bk", "id", "n", "at"]
+                )
+
+    return map_arrow(sets.select("id", "slabs"), run, "bk long, id long, n long, at int")
 
 
 def near_duplicate_classes(documents: DataFrame, threshold: float = 0.8, hashes: int = 256, rows: int = 8, bands: int = 64, size: int = 5, pivots: int = 8, growth: int = 16, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """(doc_id, class_id, exact_id): class_id is the least doc_id of the class, exact_id that of the exact copies.
+    """(doc_id, t, key, class_id, exact_id) of every row: t is xxhash64(text), key is the class's own, class_id the least doc_id
+    of the class, exact_id that of the exact copies. Classes of rows that share a doc_id can have the same class_id; key tells them apart.
 
     Only candidates' texts are read a second time. Their ids are broadcast when they are at most ``broadcast_ids``
     (16 MB); beyond that the texts are joined by shuffle.
     """
-    own = documents.select("doc_id", "text")
-    sketched = materialise(sketch(own, hashes, rows, bands, size), "sketch")
+    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    # row numbers are fixed by being written
+    sketched = materialise(sketch(own, hashes, rows, bands, size).withColumn("rid", F.monotonically_increasing_id()), "sketch")
     solid = sketched.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    exact = materialise(solid.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "exact")
-    reps = solid.select("doc_id", "n", "bands").join(exact.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    entries = materialise(reps.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("bk")).distinct(), "bands")
+    exact = materialise(solid.groupBy("d1", "d2").agg(F.min("rid").alias("id"), F.min("doc_id").alias("rep"), F.min("n").alias("n")), "exact")
+    reps = solid.select(F.col("rid").alias("id"), "n", "bands").join(exact.select("id"), "id", "left_semi")
+    entries = materialise(reps.select("id", "n", F.explode("bands").alias("bk")), "bands")
     crowd = entries.groupBy("bk").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter(F.col("lo") < F.col("hi")).select("bk", "lo")
     members = materialise(entries.join(crowd, "bk"), "members")
+    discard(entries)
 
-    ids = materialise(members.select(F.col("id").alias("doc_id")).distinct(), "candidate_ids")
-    texts = own.join(F.broadcast(ids) if ids.count() <= broadcast_ids else ids, "doc_id", "left_semi")
-    sets = materialise(slab_sets(texts, size).dropDuplicates(["id"]), "slabs")
+    candidates = materialise(exact.join(members.select("id").distinct(), "id", "left_semi").select("id", F.col("rep").alias("doc_id"), "d1", "d2"), "candidates")
+    ids = candidates.select("doc_id").distinct()
+    texts = own.join(F.broadcast(ids) if candidates.count() <= broadcast_ids else ids, "doc_id", "left_semi")
+    sets = materialise(slab_sets(texts, size).join(candidates, ["doc_id", "d1", "d2"]).select("id", "slabs").dropDuplicates(["id"]), "slabs")
+    discard(candidates)
 
     weights = members.select("id", "n").distinct()
     labels: DataFrame | None = None
     left = members.select("bk", "id", "n", "lo", F.lit(0).alias("at"))
+    prefixes: DataFrame | None = None
     turn = 0
     while True:
         if labels is None:
@@ -266,7 +316,12 @@ def near_duplicate_classes(documents: DataFrame, threshold: float = 0.8, hashes:
                 break
             if turn == 1:
                 crowded = F.col("size") > 2 * pivots
-                prefixes = _prefix_entries(tagged.filter(crowded).select("id").distinct(), sets, threshold)
+                held = materialise(tagged.filter(crowded).select("id").distinct(), "held")
+                if n := held.count():
+                    theirs = materialise(sets.join(held, "id", "left_semi"), "held_slabs")
+                    prefixes = materialise(prefix_entries(theirs, threshold, frequent_slabs(theirs, n)), "prefixes")
+                    discard(theirs)
+                discard(held)
                 tagged = tagged.filter(~crowded)
             left = tagged.select("bk", "id", "n", "at")
             # in a bucket of few members each is a pivot, so this round ends it
@@ -284,18 +339,28 @@ def near_duplicate_classes(documents: DataFrame, threshold: float = 0.8, hashes:
         found = _verified(pairs, sets, threshold, broadcast_ids, str(turn))
         if labels is None or not found.isEmpty():
             labels = _merged(labels, found, str(turn))
+        discard(found)
         left = left.select("bk", "id", "n", "at").join(done, ["bk", "id"], "left_anti")
-        if turn == 1:
+        if turn == 1 and prefixes is not None:
             left = left.unionByName(prefixes)
         turn += 1
-    known = exact.select("d1", "d2", "rep").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
-    final = sketched.select("doc_id", F.when(F.col("n") > 0, F.col("d1")).alias("d1"), "d2").join(known, ["d1", "d2"], "left")
-    return final.select(
-        "doc_id",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id")).alias("class_id"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("exact_id"),
-    )
+    discard(sets)
+    named = labels.join(exact.select("id", "rep"), "id")
+    classes = labels.join(named.groupBy("label").agg(F.min("rep").alias("class_id")), "label")
+    known = materialise(exact.select("d1", "d2", "id", "rep").join(classes, "id", "left").select("d1", "d2", "rep", F.coalesce("label", "id").alias("key"), F.coalesce("class_id", "rep").alias("class_id")), "classes")
+    whole = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    final = sketched.select("doc_id", "t", "rid", F.when(whole, F.col("d1")).alias("d1"), "d2").join(known, ["d1", "d2"], "left")
+    return final.select("doc_id", "t", F.coalesce("key", "rid").alias("key"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("exact_id"))
+
+
+def one_of_each_class(documents: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of documents, columns as they are, that stand for their class: of its least doc_id the text of least hash, once.
+    Rows with null doc_id stay."""
+    own = documents.withColumn("_t", F.xxhash64("text"))
+    stay = classes.filter(F.col("class_id") == F.col("doc_id")).groupBy("key", "doc_id").agg(F.min("t").alias("_t")).select("doc_id", "_t").distinct()
+    kept = own.filter(F.col("doc_id").isNotNull()).join(stay, ["doc_id", "_t"], "left_semi").dropDuplicates(["doc_id", "_t"])
+    return kept.unionByName(own.filter(F.col("doc_id").isNull())).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+    return near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "exact_id")

@@ -222,8 +222,8 @@ def test_near_dedup_matches_brute_force(spark):
 
 
 def test_near_dedup_crowded_buckets_match_brute_force(spark, monkeypatch):
-    rng, crowds, plain = random.Random(11), [], near_dedup._prefix_entries
-    monkeypatch.setattr(near_dedup, "_prefix_entries", lambda held, *rest: crowds.append(held.count()) or plain(held, *rest))
+    rng, crowds, plain = random.Random(11), [], near_dedup.prefix_entries
+    monkeypatch.setattr(near_dedup, "prefix_entries", lambda held, *rest: crowds.append(held.count()) or plain(held, *rest))
     passage = prose(rng, 80, 5000)
     texts = [f"{passage} {prose(rng, n, 5000)}" for n in (20, 25, 30, 35) * 8]
     texts += [t.replace(t.split()[-9], "other") for t in texts[::5]]
@@ -318,3 +318,20 @@ def test_license_scan(spark):
     got = {(r.doc_id, r.license_id, r.unit, r.n) for r in licenses.scan_licenses(docs(spark, texts)).collect()}
     assert got == {(0, "MIT", "text", 1), (1, "MIT", "line", 2)}
     assert licenses.scan_licenses(docs(spark, [])).collect() == []
+
+
+def test_near_dedup_compares_rows_not_ids(spark):
+    rng = random.Random(21)
+    a, b = prose(rng, 60, 5000), prose(rng, 70, 5000)
+    near = lambda t: " ".join([*t.split()[:-1], "other"])
+    rows = [(5, a), (5, b), (7, near(b)), (8, near(a)), (5, a), (9, "x " * 40_000), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS key", "2 AS t", "'x' AS bands")
+    classes = near_dedup.near_duplicate_classes(df)
+    got = classes.collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.key, []).append(r.doc_id)
+    assert sorted((sorted(v, key=str) for v in by.values()), key=str) == [[5, 5, 8], [5, 7], [9], [None]]
+    assert {(r.doc_id, r.class_id) for r in got} == {(5, 5), (7, 5), (8, 5), (9, 9), (None, None)}
+    kept = near_dedup.one_of_each_class(df, classes)
+    assert kept.columns == df.columns and sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("5", a), ("5", b), ("9", "x " * 40_000), ("None", a)])
