@@ -2,8 +2,9 @@
 
 All stages but the last return the columns of documents. The language stage drops documents without any letter and those
 whose words fit no learned language (score under ``MIN_SCORE``). Line dedup drops lines found in ten documents or
-more. Of a near-duplicate class the document of the least doc_id stays; rows that repeat that doc_id are taken once. Documents
-that hold a benchmark passage go. The last stage gives each document the number of words that the mix takes of it.
+more. Of a near-duplicate class the document of the least doc_id stays, once; two unlike texts under one doc_id are two
+documents, and rows with null doc_id stay. Documents that hold a benchmark passage go. The last stage gives each document the
+number of words that the mix takes of it. Empty tables pass every stage; other columns of documents travel along.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from loomstone.llm.decontaminate import drop_contaminated
 from loomstone.llm.language import fit_language_model, held_out, keep_identified
 from loomstone.llm.line_dedup import drop_repeated_lines
 from loomstone.llm.mixing import mix_sources
-from loomstone.llm.near_dedup import near_duplicate_classes
+from loomstone.llm.near_dedup import near_duplicate_classes, one_of_each_class
 
 MIN_SCORE = 0.3
 
@@ -35,10 +36,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = near_duplicate_classes(docs)
-    stay = classes.filter(F.col("class_id") == F.col("doc_id")).select("doc_id").distinct()
-    known = docs.filter(F.col("doc_id").isNotNull())
-    return known.join(stay, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    return one_of_each_class(docs, near_duplicate_classes(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
