@@ -18,7 +18,7 @@ ends long before its pairs are listed. Candidates are verified by their exact we
 Buckets still crowded with unlike documents after the first round (they share a long passage, say) are replaced exactly: their
 documents meet again under each slab of their prefix, the first n - ceil(threshold n) + 1 slabs in one order of all slabs,
 of which two documents of at least the threshold share one. Any order that is the same for all documents is exact. This one puts the
-slabs that are frequent in a bounded sample of those documents last, so a passage that many hold is in few prefixes. The
+slabs that are frequent in some batch of those documents last, so a passage that many hold is in few prefixes. The
 prefix is cut where the slabs are read, so only its entries become rows.
 A pair meets at a slab only if what either has from there on could make up the overlap it needs; at the first slab they share it must.
 
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, in_sample, map_arrow, materialise, mix, slices, table, text_bytes
+from .common import discard, map_arrow, materialise, mix, slices, table, text_bytes
 from .graph import components
 
 U = np.uint64
@@ -239,10 +239,19 @@ def _merged(labels: DataFrame | None, found: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def frequent_slabs(sets: DataFrame, documents: int, sample: int = 4096, most: int = 500_000) -> np.ndarray:
-    """Slabs that two or more of about ``sample`` documents hold, at most ``most`` of them, the rarest first."""
-    some = sets.filter(in_sample("id", sample, documents)).select(F.explode("slabs").alias("s"))
-    counts = some.groupBy("s").agg(F.count(F.lit(1)).alias("f")).filter("f > 1").orderBy(F.desc("f"), "s").limit(most)
+def frequent_slabs(sets: DataFrame, share: int = 64, most: int = 500_000) -> np.ndarray:
+    """Slabs that at least two documents and one in ``share`` of some batch hold, at most ``most`` of them, the rarest first.
+
+    Each batch tells only its own frequent slabs, ``share`` times a document's mean number at most, so little is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, times = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            often = times >= max(2, -(-batch.num_rows // share))
+            yield pa.RecordBatch.from_arrays([pa.array(found[often], pa.int32()), pa.array(times[often], pa.int64())], names=["s", "f"])
+
+    counts = map_arrow(sets.select("slabs"), run, "s int, f long").groupBy("s").agg(F.sum("f").alias("f")).orderBy(F.desc("f"), "s").limit(most)
     return np.array([r.s for r in counts.toLocalIterator()], np.int32)[::-1]  # 2 MB at most
 
 
@@ -317,9 +326,9 @@ def near_duplicate_classes(documents: DataFrame, threshold: float = 0.8, hashes:
             if turn == 1:
                 crowded = F.col("size") > 2 * pivots
                 held = materialise(tagged.filter(crowded).select("id").distinct(), "held")
-                if n := held.count():
+                if not held.isEmpty():
                     theirs = materialise(sets.join(held, "id", "left_semi"), "held_slabs")
-                    prefixes = materialise(prefix_entries(theirs, threshold, frequent_slabs(theirs, n)), "prefixes")
+                    prefixes = materialise(prefix_entries(theirs, threshold, frequent_slabs(theirs)), "prefixes")
                     discard(theirs)
                 discard(held)
                 tagged = tagged.filter(~crowded)
