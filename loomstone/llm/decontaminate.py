@@ -11,9 +11,11 @@ q-grams are found through a bit table of the items' q-grams and a sorted lookup
 benchmark is used in blocks of at most ``block_chars`` characters, each broadcast and matched against all
 documents, so what is broadcast never grows with the benchmark.
 
-Edge cases: null and empty texts match nothing; an item with fewer than q characters after normalising is found only as
+Edge cases: null and empty texts match nothing; very long or repetitive texts are used whole, their pairs of places counted in
+chunks of bounded size; an item with fewer than q characters after normalising is found only as
 an exact substring between word boundaries; empty items are ignored; equal items are each reported; repeated rows are each
-reported; an empty table on either side gives no rows.
+reported under its doc_id, null or not; other columns are not read, and drop_contaminated keeps them; an empty table on either side
+gives no rows.
 """
 
 from __future__ import annotations
@@ -25,9 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_rows, map_arrow, mix, slices, table
+from .common import keep_rows, map_arrow, slices, table
 
-U = np.uint64
 BASE = 0x9E3779B1
 BITS = 22
 
@@ -86,22 +87,31 @@ class Block:
         bits[self.values >> np.uint32(32 - BITS)] = True
         return bits
 
-    def bands(self, doc: np.ndarray, where: np.ndarray, hit: np.ndarray) -> np.ndarray:
-        """Rows (doc, item, lowest diagonal) of the bands that meet the bound. hit: index into values."""
+    def bands(self, doc: np.ndarray, where: np.ndarray, hit: np.ndarray, chunk: int = 1 << 18) -> np.ndarray:
+        """Rows (doc, item, lowest diagonal) of the bands that meet the bound. hit: index into values.
+
+        Pairs of places are expanded ``chunk`` at a time and summed by band, so memory follows the bands, not the pairs.
+        """
         n = self.count[hit]
-        entry = np.repeat(self.first[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, diagonal = self.item[entry], np.repeat(where, n) - self.place[entry]
-        doc = np.repeat(doc, n)
-        step = self.e[item] + 1
-        band = np.floor_divide(diagonal, step)
-        keys = np.stack([np.tile(doc, 2), np.tile(item, 2), np.concatenate([band, band - 1])], 1)
-        wide = mix((keys[:, 0].astype(np.uint64) << U(40)) ^ (keys[:, 1].astype(np.uint64) << U(26)) ^ keys[:, 2].astype(np.uint64))
-        order = np.argsort(wide)
-        wide = wide[order]
-        starts = np.flatnonzero(np.concatenate([[True], wide[1:] != wide[:-1]])) if len(wide) else np.zeros(0, np.int64)
-        found = keys[order[starts]]
-        count = np.diff(starts, append=len(wide))
-        found = found[count >= self.need[found[:, 1]]]
+        upto = np.cumsum(n)
+        lowest = -int(self.m.max()) - 2 if len(self.m) else 0
+        width = (int(where.max()) if len(where) else 0) - lowest + 2
+        keys, counts, start = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        while start < len(hit):
+            base = upto[start] - n[start]
+            stop = max(start + 1, int(np.searchsorted(upto, base + chunk, side="right")))
+            part = n[start:stop]
+            entry = np.repeat(self.first[hit[start:stop]], part) + np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part)
+            item = self.item[entry]
+            band = np.floor_divide(np.repeat(where[start:stop], part) - self.place[entry], self.e[item] + 1)
+            # exact and unique: band - lowest is below width, item below the number of items
+            key = (np.repeat(doc[start:stop], part) * len(self.m) + item) * width + (band - lowest)
+            key, new = np.unique(np.concatenate([keys, key, key - 1]), return_inverse=True)
+            weights = np.concatenate([counts, np.ones(len(new) - len(counts), np.int64)])
+            keys, counts, start = key, np.bincount(new, weights, len(key)).astype(np.int64), stop
+        pair, band = np.divmod(keys, width)
+        found = np.stack([pair // max(1, len(self.m)), pair % max(1, len(self.m)), band + lowest], 1)
+        found = found[counts >= self.need[found[:, 1]]]
         found[:, 2] *= self.e[found[:, 1]] + 1
         return found
 
@@ -167,15 +177,20 @@ def _match(block: Block, bits: np.ndarray, ids: list, texts: list[str | None]) -
     keep = enough[doc]
     places, hit, doc = places[keep], hit[keep], doc[keep]
     best: dict[tuple[int, int], tuple] = {}
-    todo = []
+    todo, looked = [], set()
     for d, item, low in block.bands(doc, places - begin[doc], hit).tolist():
-        if (d, item) not in best and (k := norm[d].find(block.texts[item])) >= 0:
+        if (d, item) not in looked and (k := norm[d].find(block.texts[item])) >= 0:
             best[(d, item)] = (0, k, k + len(block.texts[item]))  # no edits: nothing can be better
+        looked.add((d, item))
         if (d, item) not in best:
             todo.append((d, item, low))
     todo.sort(key=lambda x: block.m[x[1]])
-    for i in range(0, len(todo), 64):
+    i = 0
+    while i < len(todo):
+        # as many at once as keep a row of costs within about a million cells
         part = todo[i : i + 64]
+        part = part[: max(1, (1 << 20) // (4 * int(block.e[part[-1][1]]) + 2 + int(block.m[part[-1][1]])))]
+        i += len(part)
         texts = [codes[begin[d] : begin[d] + sizes[d] - 1] for d, _, _ in part]
         for (d, item, _), got in zip(part, block.align(texts, np.array([x[1] for x in part]), np.array([x[2] for x in part])), strict=True):
             if got and got < best.get((d, item), (1 << 60,)):
