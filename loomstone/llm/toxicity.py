@@ -8,7 +8,8 @@ by its length; a logistic curve fitted on training rows turns sum and density in
 The lexicon is learned: stems whose documents are toxic far more often than others, counted after near copies of training
 rows (the same least shingle hash) are taken once. The fit reads at most about ``max_rows`` labelled rows.
 
-Edge cases: null or empty text scores like a text without matches; ties and repeated rows get equal scores; without
+Edge cases: null or empty text scores like a text without matches; ties and repeated rows get equal scores, whatever their doc_id,
+null too; a very long text is matched whole, in time in proportion to its length; other columns are not read; without
 training rows every score is 0.05; an empty table gives no rows.
 """
 
@@ -93,7 +94,16 @@ class ToxicLexicon:
             else:
                 found.append((start, end, w))
         if spared:
-            found = [f for f in found if not any(a <= f[0] and f[1] <= b for a, b in spared)]
+            # both in order of start; the spans that began so far reach to the greatest of their ends
+            found.sort()
+            spared.sort()
+            kept, reach, k = [], -1, 0
+            for f in found:
+                while k < len(spared) and spared[k][0] <= f[0]:
+                    reach, k = max(reach, spared[k][1]), k + 1
+                if f[1] > reach:
+                    kept.append(f)
+            found = kept
         return sum(f[2] for f in found), words
 
     @staticmethod
