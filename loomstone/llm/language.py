@@ -4,8 +4,11 @@ A word seen in training scores its smoothed log frequency in each language. An u
 character n-grams with boundary marks: from each position the longest known n-gram of at most ``max_n``
 characters counts, and each step of backing off costs a constant factor.
 
-Edge cases: text that is null, empty or has no letter is ``und`` with score 0. Ties go to the language first
-in code-point order. Repeated rows get equal results. With an empty training table all is ``und``.
+The text's language is that of the greatest mean posterior over its words, which is the score.
+
+Edge cases: text that is null, empty or has no letter (numerals like ½ or Ⅷ are none) is ``und`` with score 0. Ties go to the
+language first in code-point order. Repeated rows get equal results, null doc_id too. A very long text is read whole. Other columns
+are kept or not read. With an empty training table all is ``und``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +25,18 @@ from pyspark.sql import functions as F
 
 from .common import in_sample, keep_rows, map_arrow, slices, table
 
-WORD = re.compile(r"[^\W\d_]+")
+RUN = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, lower-cased. The pattern's runs may hold numerals that are no digits; those end a word."""
+    found = RUN.findall(text.lower())
+    if text.isascii():
+        return found
+    out = []
+    for run in found:
+        out += [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split()
+    return out
 
 
 class LanguageModel:
@@ -33,6 +47,7 @@ class LanguageModel:
         self.word_scores, self.gram_scores = word_scores, gram_scores
         self.max_n, self.cache_size = max_n, cache
         self.cache: dict[str, np.ndarray] = {}
+        self._known: np.ndarray | None = None
 
     @classmethod
     def fit(cls, counts: list[tuple[str, str, int]], max_n: int = 4, min_count: int = 2, alpha: float = 0.5) -> LanguageModel:
@@ -70,38 +85,48 @@ class LanguageModel:
 
     def unseen(self, word: str) -> np.ndarray:
         """Mean over positions of the longest known n-gram, centred so that languages are comparable."""
+        marked, rows = f"^{word[:64]}$", []
+        for i in range(len(marked) - 1):
+            for size in range(min(self.max_n, len(marked) - i), 0, -1):
+                k = self.grams.get(marked[i : i + size])
+                if k is not None:
+                    rows.append(self.gram_scores[k] * 0.4 ** (self.max_n - size))
+                    break
+        return np.mean(rows, 0) if rows else np.zeros(len(self.languages))
+
+    @staticmethod
+    def _softmax(scores: np.ndarray) -> np.ndarray:
+        p = np.exp(scores - scores.max(-1, keepdims=True))
+        return p / p.sum(-1, keepdims=True)
+
+    def known_posteriors(self) -> np.ndarray:
+        if self._known is None:
+            self._known = self._softmax(self.word_scores)
+        return self._known
+
+    def posterior(self, word: str) -> np.ndarray:
         got = self.cache.get(word)
         if got is None:
-            marked, rows = f"^{word[:64]}$", []
-            for i in range(len(marked) - 1):
-                for size in range(min(self.max_n, len(marked) - i), 0, -1):
-                    k = self.grams.get(marked[i : i + size])
-                    if k is not None:
-                        rows.append(self.gram_scores[k] * 0.4 ** (self.max_n - size))
-                        break
-            got = np.mean(rows, 0) if rows else np.zeros(len(self.languages))
             if len(self.cache) >= self.cache_size:
                 self.cache.clear()
-            self.cache[word] = got
+            got = self.cache[word] = self._softmax(self.unseen(word))
         return got
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.languages:
             return "und", 0.0
-        found = Counter(WORD.findall(text.lower())) if text else None
-        if not found:
+        words = words_of(text) if text else []
+        if not words:
             return "und", 0.0
-        known = [(k, c) for w, c in found.items() if (k := self.words.get(w)) is not None]
-        rows = [self.word_scores[[k for k, _ in known]]] if known else []
-        weights = [c for _, c in known]
-        if len(known) < len(found):
-            new = [(self.unseen(w), c) for w, c in found.items() if w not in self.words]
-            rows.append(np.array([r for r, _ in new]))
-            weights += [c for _, c in new]
-        scores, w = np.concatenate(rows), np.array(weights, np.float64)
-        best = int(np.argmax(w @ np.maximum(scores - scores.max(1, keepdims=True), -8.0)))
-        p = np.exp(scores - scores.max(1, keepdims=True))
-        share = (w @ (p / p.sum(1, keepdims=True))) / w.sum()
+        get = self.words.get
+        at = np.array([get(w, -1) for w in words])
+        known = at[at >= 0]
+        share = self.known_posteriors()[known].sum(0) if len(known) else np.zeros(len(self.languages))
+        if len(known) < len(words):
+            for w, c in Counter(words[i] for i in np.flatnonzero(at < 0).tolist()).items():
+                share = share + c * self.posterior(w)
+        share = share / len(words)
+        best = int(np.argmax(share))
         return self.languages[best], float(min(1.0, max(0.0, share[best])))
 
 
@@ -115,7 +140,7 @@ def fit_language_model(documents: DataFrame, max_rows: int = 6_000, max_n: int =
         by: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
+                by.setdefault(lang, Counter()).update(words_of(text))
         for lang, c in by.items():
             items = list(c.items())
             for i in range(0, len(items), 20_000):
