@@ -11,7 +11,9 @@ Inside a block character references are decoded, white space becomes one space a
 space. Scripts, styles and the like are never text. Kept blocks are joined by two line feeds.
 
 Edge cases: null and empty html give an empty text; tags left open, crossed or unknown are read as browsers
-would roughly; a page without tags is one block; repeated rows give equal results; an empty table gives no rows.
+would roughly; elements nested deeper than 512 count as lying in the 512th; very long pages are read whole, in time in proportion to
+their length; a page without tags is one block; repeated rows give equal results, null ids and urls travel along, other columns are
+not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import math
 import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_arrow, slices, table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*?)(/?)>", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>")
+BARE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*+(?:=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""", re.I)
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,12 +48,84 @@ CLOSES_P = BLOCK - {"button", "label"}
 NOTICE = re.compile(r"cookie|subscri|newsletter|advert|sponsor|sign in|log in|copyright|all rights|©|share|follow us|read more|privacy|comment|reply", re.I)
 
 
-def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, str], ...], int]]:
-    """(text, path, characters in links) of each leaf block; path: (tag, class and id words) from the root down."""
+#: Elements nested deeper than this are laid into the last one, as browsers do; their text stays.
+DEEPEST = 512
+
+
+class Node:
+    """An open element with what its path says about a block in it, made from the parent's in constant time for most elements.
+
+    ``key`` numbers the chain of block elements (tag and words); ``top`` is the last article or main in it, ``inner`` the last two
+    block tags below that, ``named`` whether one of those has words; ``path`` is the set of features of the whole path.
+    """
+
+    __slots__ = ("depth", "inner", "key", "last", "named", "path", "top")
+
+    def __init__(self, parent: Node | None, tag: str, words: str, chains: dict):
+        if parent is None:
+            self.depth, self.key, self.last, self.top, self.inner, self.named, self.path = 0, 0, "none", "", (), False, frozenset()
+            return
+        self.depth = parent.depth + 1
+        new = {f"word:{w}" for w in words.split()}
+        self.key, self.last, self.top, self.inner, self.named = parent.key, parent.last, parent.top, parent.inner, parent.named
+        if tag in BLOCK:
+            new.add(f"in:{tag}")
+            self.key = chains.setdefault((parent.key, tag, words), len(chains) + 1)
+            self.last = tag
+            if tag in ("article", "main"):
+                self.top, self.inner, self.named = tag, (), False
+            else:
+                self.inner, self.named = (*parent.inner[-1:], tag), parent.named or bool(words)
+        self.path = parent.path if new <= parent.path else parent.path | new
+
+
+class Open:
+    """The stack of open elements, with the places of each tag, so that no question walks the stack."""
+
+    def __init__(self):
+        self.chains: dict = {}
+        self.root = Node(None, "", "", self.chains)
+        self.tags: list[str] = []
+        self.nodes: list[Node] = [self.root]
+        self.at: dict[str, list[int]] = {}
+        self.hidden: list[int] = []
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, words: str) -> None:
+        i = len(self.tags)
+        self.tags.append(tag)
+        above = self.nodes[-1]
+        self.nodes.append(above if above.depth >= DEEPEST else Node(above, tag, words, self.chains))
+        self.at.setdefault(tag, []).append(i)
+        if tag in HIDDEN:
+            self.hidden.append(i)
+        if tag in BLOCK:
+            self.blocks.append(i)
+
+    def cut(self, size: int) -> None:
+        while len(self.tags) > size:
+            tag = self.tags.pop()
+            self.nodes.pop()
+            self.at[tag].pop()
+            if tag in HIDDEN:
+                self.hidden.pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost of the tags, -1 if none is open."""
+        return max((places[-1] for t in tags if (places := self.at.get(t))), default=-1)
+
+
+ENDS = ((("li",), ("ul", "ol", "menu")), (("dt", "dd"), ("dl",)), (("td", "th"), ("table", "tr")), (("tr",), ("table",)))
+
+
+def blocks(page: str | None) -> list[tuple[str, Node, int]]:
+    """(text, innermost element, characters in links) of each leaf block. Time is in proportion to the page, whatever is left open in it."""
     out: list = []
-    stack: list[tuple[str, str]] = []
+    stack = Open()
     parts: list[str] = []
-    linked, links, hidden = 0, 0, 0
+    linked = 0
 
     def close() -> None:
         nonlocal linked
@@ -57,118 +133,116 @@ def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, str], ...], int
             text = " ".join(htmllib.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((text, tuple(stack), linked))
+                out.append((text, stack.nodes[-1], linked))
         linked = 0
 
+    def say(text: str) -> None:
+        nonlocal linked
+        if text and not stack.hidden:
+            parts.append(text)
+            if stack.at.get("a"):
+                linked += len(text)
+
     at, page = 0, page or ""
+    pattern, final = TAG, page.rfind(">")
+    endings: dict[str, re.Pattern] = {}
     while at < len(page):
-        m = TOKEN.search(page, at)
-        if (end := m.start() if m else len(page)) > at and not hidden:
-            parts.append(page[at:end])
-            if links:
-                linked += end - at
-        if not m:
+        start = page.find("<", at)
+        if start < 0:
+            say(page[at:])
             break
-        at = m.end()
-        if m[2] is None:
+        say(page[at:start])
+        sign = page[start + 1 : start + 2]
+        if sign in ("!", "?") and sign:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                at = len(page) if end < 0 else end + 3
+            else:
+                end = page.find(">", start)
+                at = len(page) if end < 0 else end + 1
+            continue
+        m = pattern.match(page, start) if start < final else None
+        if m is None and start < final and pattern is TAG and (page[start + 1 : start + 2].isalpha() or sign == "/"):
+            if (m := BARE.match(page, start)) is not None:
+                pattern = BARE  # a quote pairs up to the page's end: from here on quotes are not looked at
+        if m is None:
+            say("<")
+            at = start + 1
             continue
+        at = m.end()
         tag = m[2].lower()
         if m[1]:
-            if hidden and (inside := next(i for i, (t, _) in enumerate(stack) if t in HIDDEN)) < max((i for i, (t, _) in enumerate(stack) if t == tag), default=-1):
-                del stack[max(i for i, (t, _) in enumerate(stack) if t == tag) :]
-                hidden = sum(t in HIDDEN for t, _ in stack[inside:])
-                links = sum(t == "a" for t, _ in stack)
+            i = stack.last(tag)
+            if stack.hidden and stack.hidden[0] < i:
+                stack.cut(i)
                 continue
             if tag in BLOCK:
                 close()
-            if any(t == tag for t, _ in stack):
-                if tag in BLOCK or tag in HIDDEN:
-                    while stack.pop()[0] != tag:
-                        pass
-                else:
-                    i = max(i for i, (t, _) in enumerate(stack) if t == tag)
-                    if not any(t in BLOCK for t, _ in stack[i + 1 :]):
-                        del stack[i:]
-            links, hidden = sum(t == "a" for t, _ in stack), sum(t in HIDDEN for t, _ in stack)
+            if i >= 0 and (tag in BLOCK or tag in HIDDEN or not stack.blocks or stack.blocks[-1] < i):
+                stack.cut(i)
             continue
         if tag == "br":
             parts.append(" ")
             continue
-        if hidden and tag in BLOCK and not any(t == "foreignobject" for t, _ in stack):
-            i = next(i for i, (t, _) in enumerate(stack) if t in HIDDEN)
-            if stack[i][0] in LEFT:
-                del stack[i:]
-                links, hidden = sum(t == "a" for t, _ in stack), 0
+        if stack.hidden and tag in BLOCK and not stack.at.get("foreignobject") and stack.tags[stack.hidden[0]] in LEFT:
+            stack.cut(stack.hidden[0])
         if tag in ("option", "optgroup"):
-            while stack and stack[-1][0] in ("option", tag):
-                hidden -= stack.pop()[0] in HIDDEN
-        if tag in BLOCK and not hidden:
+            while stack.tags and stack.tags[-1] in ("option", tag):
+                stack.cut(len(stack.tags) - 1)
+        if tag in BLOCK and not stack.hidden:
             close()
-            if tag in CLOSES_P and any(t == "p" for t, _ in stack):
-                i = max(i for i, (t, _) in enumerate(stack) if t == "p")
-                if all(t not in ("table", "div", "button") for t, _ in stack[i + 1 :]):
-                    del stack[i:]
-            for same, scope in (({"li"}, {"ul", "ol", "menu"}), ({"dt", "dd"}, {"dl"}), ({"td", "th"}, {"table", "tr"}), ({"tr"}, {"table"})):
-                if tag in same:
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] in same:
-                            del stack[i:]
-                            break
-                        if stack[i][0] in scope:
-                            break
-            links = sum(t == "a" for t, _ in stack)
+            if tag in CLOSES_P and (i := stack.last("p")) >= 0 and stack.last("table", "div", "button") < i:
+                stack.cut(i)
+            for same, scope in ENDS:
+                if tag in same and (i := stack.last(*same)) > stack.last(*scope):
+                    stack.cut(i)
+        attributes = m[3]
+        shut = attributes.endswith("/")
         if tag in RAW:
-            if not m[4]:
-                ending = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if not shut:
+                ending = endings.setdefault(tag, re.compile(rf"</{re.escape(tag)}\s*+>", re.I)).search(page, at)
                 at = ending.end() if ending else len(page)
             continue
-        if tag in VOID or m[4] and tag not in BLOCK:
+        if tag in VOID or shut and tag not in BLOCK:
             continue
-        words = " ".join(w.lower() for a in ATTRIBUTE.finditer(m[3]) for w in ([a[1]] if a[1].lower() in ("hidden",) else PIECE.findall(a[2] or a[3] or a[4] or ""))) if m[3] else ""
-        stack.append((tag, words))
-        hidden += tag in HIDDEN
-        if tag == "a":
-            links += 1
+        words = " ".join(w.lower() for a in ATTRIBUTE.finditer(attributes) for w in ([a[1]] if a[1].lower() in ("hidden",) else PIECE.findall(a[2] or a[3] or a[4] or ""))) if attributes else ""
+        stack.push(tag, words)
     close()
     return out
 
 
-def features(found: list[tuple[str, tuple[tuple[str, str], ...], int]]) -> list[list[str]]:
+def features(found: list[tuple[str, Node, int]]) -> list[list]:
+    """A list of features for each block; one of its entries is the frozenset of its path's."""
     rows, n = [], len(found)
-    kinds, mass, total = [], {}, sum(len(b[0]) for b in found) or 1
-    for text, path, _ in found:
-        own = [(t, ws) for t, ws in path if t in BLOCK]
-        top = max((i for i, (t, _) in enumerate(own) if t in ("article", "main")), default=-1)
-        kinds.append((tuple(own), top, any(ws for _, ws in own[top + 1 :])))
-        mass[kinds[-1][0]] = mass.get(kinds[-1][0], 0) + len(text)
+    mass, total = {}, sum(len(b[0]) for b in found) or 1
+    for text, node, _ in found:
+        mass[node.key] = mass.get(node.key, 0) + len(text)
     most = max(mass.values(), default=0)
-    for k, (text, path, linked) in enumerate(found):
-        kind, top, named = kinds[k]
+    for k, (text, node, linked) in enumerate(found):
         words = text.count(" ") + 1
-        f = ["bias", f"len{min(6, int(math.log2(words + 1)))}", f"link{min(4, int(4 * linked / len(text)))}", f"at{int(4 * k / n)}"]
-        own = [t for t, _ in path if t in BLOCK]
-        f.append("tag:" + (own[-1] if own else "none"))
-        f += {f"in:{t}" for t in own}
-        f += {f"word:{w}" for _, ws in path for w in ws.split()}
+        f = ["bias", f"len{min(6, int(math.log2(words + 1)))}", f"link{min(4, int(4 * linked / len(text)))}", f"at{int(4 * k / n)}", "tag:" + node.last, node.path]
         if text[-1] in ".!?…:\"'”»":
             f.append("stop")
         if text.count(",") + text.count(".") > 2:
             f.append("pointed")
         if NOTICE.search(text):
             f.append("notice" if words < 25 else "notice-long")
-        if top < 0:
+        if not node.top:
             f.append("outside")
-        elif not named:
-            inner = [t for t, _ in kind[top + 1 :]]
-            f.append("plain:" + (">".join(inner[-2:]) if inner else kind[top][0]))
-        share = mass[kind]
+        elif not node.named:
+            f.append("plain:" + (">".join(node.inner) if node.inner else node.top))
+        share = mass[node.key]
         f.append(f"share{min(3, int(4 * share / total))}")
         if share == most:
-            f.append("most" if top < 0 else "most-in")
+            f.append("most-in" if node.top else "most")
         rows.append(f)
     return rows
 
 
+def spelled_out(row: list) -> list[str]:
+    return [g for f in row for g in (f if isinstance(f, frozenset) else (f,))]
+
+
 class Field:
     """Two labels; ``weights`` of label 1 by feature, ``step[a, b]`` of going from a to b, ``start`` of beginning with 1."""
 
@@ -179,7 +253,18 @@ class Field:
         get, s, back = self.weights.get, self.step.tolist(), []
         if not rows:
             return []
-        e = [sum(get(f, 0.0) for f in r) for r in rows]
+        paths: dict[frozenset, float] = {}
+        e = []
+        for r in rows:
+            x = 0.0
+            for f in r:
+                if isinstance(f, frozenset):
+                    if (w := paths.get(f)) is None:
+                        w = paths[f] = sum(get(g, 0.0) for g in f)
+                    x += w
+                else:
+                    x += get(f, 0.0)
+            e.append(x)
         v0, v1 = 0.0, self.start + e[0]
         for x in e[1:]:
             a0, b0, a1, b1 = v0 + s[0][0], v1 + s[1][0], v0 + s[0][1], v1 + s[1][1]
@@ -193,6 +278,7 @@ class Field:
 
 def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 120, rate: float = 0.15, ridge: float = 0.5, min_count: int = 3) -> Field:
     """Maximises the penalised likelihood of labelled sequences of feature lists, by Adam on the full gradient."""
+    pages = [([spelled_out(r) for r in rows], labels) for rows, labels in pages]
     counts: dict[str, int] = {}
     for rows, _ in pages:
         for r in rows:
@@ -369,6 +455,7 @@ def labelled_pages(n: int = 600, seed: int = 11) -> list[tuple[str, list[str]]]:
     return out
 
 
+@lru_cache(maxsize=4)
 def train_on_made_pages(n: int = 600, seed: int = 11) -> Field:
     data = []
     for page, main in labelled_pages(n, seed):
