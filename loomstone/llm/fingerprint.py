@@ -1,18 +1,19 @@
 """Document fingerprints by winnowing, in DataFrame expressions only.
 
-Tokens are runs of at most 12 characters other than white space. The hash of k = 4 tokens is a cyclic polynomial (xor of rotated
-token hashes), built by doubling. Of every w = 4 consecutive hashes the least is selected, rightmost on ties; an
-entry is a long with 31 bits of hash above the complement of its place, so that a plain minimum is that rule and
-the place is kept. Two texts that share k + w - 1 = 7 consecutive tokens share an entry's hash. Texts under 512 code
-points are (also) winnowed by 4 code points with windows of 2, texts of 256 or more by tokens, so a text and one a quarter shorter
-always have a level in common. The level depends on the text alone: equal texts have equal fingerprints.
+The hash of every k = 8 consecutive code points is a cyclic polynomial, the xor of rotated hashes of single code points. It is
+rolled for all places at once by doubling: grams of 2, 4 and 8 code points are xors of two neighbours of half the length. Of every
+w = 32 consecutive hashes the least is selected, rightmost on ties; an entry is a long with 31 bits of hash above the complement of
+its place, so that a plain minimum is that rule and the place is kept. Minima are doubled in the same way. Two texts
+of any script that share k + w - 1 = 39 consecutive code points share an entry's hash, whatever stands before. The
+fingerprint depends on the text alone: equal texts have equal fingerprints.
 
 Likeness is the Jaccard similarity of the selected hashes, or that of hashes with their places if it is greater (as in
-texts that repeat themselves), at the tokens' level if both have it, else at that of code points.
+texts that repeat themselves).
 
-Edge cases: null is empty; a text too short for one k-gram is one gram; the likeness of two empty texts is 1;
-rows of equal doc_id follow one another by text, null doc_id comes first; the next document of the only one
-is itself; an empty table gives no rows.
+Edge cases: null is empty; a text under k code points is one gram; the likeness of two empty texts is 1; a very long text is used
+whole, its arrays of longs in one task's memory (about 100 bytes a code point); rows of equal doc_id follow one another by
+hash of text and text, null doc_id comes first, and many such rows are dealt to several buckets by that hash; the next document of
+the only one is itself; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,46 +23,42 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-K, W, CHARS, W_CHARS = 4, 4, 4, 2
-LONG, SHORT = 256, 512
+K, W = 8, 32  # powers of two
 PLACES = (1 << 31) - 1
-FINGERPRINT = "struct<tokens:array<bigint>,chars:array<bigint>>"
 
 
 def _rotate(x: Column, by: int) -> Column:
     return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by))
 
 
+def _rolled(by: int):
+    return lambda a, b: _rotate(a, by).bitwiseXOR(b)
+
+
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds the struct column ``out`` (tokens, chars). Every step is a column of its own, so that none is computed twice."""
+    """Adds the array column ``out`` of entries in order of place. Every step is a column of its own, so that none is computed twice."""
     t, n = F.col(text), F.char_length(F.col(text))
-    c = lambda name: F.col(f"_{name}")
-    steps = [
-        ("tok", F.when(n >= LONG, F.transform(F.regexp_extract_all(t, F.lit("\\S{1,12}"), F.lit(0)), lambda x: F.xxhash64(x)))),
-        ("two", F.zip_with(c("tok"), F.slice(c("tok"), F.lit(2), F.greatest(F.size(c("tok")), F.lit(0))), lambda a, b: _rotate(a, 1).bitwiseXOR(b))),
-        ("four", F.zip_with(c("two"), F.slice(c("two"), F.lit(3), F.greatest(F.size(c("two")), F.lit(0))), lambda a, b: _rotate(a, 2).bitwiseXOR(b))),
-        ("gt", F.when(F.size(c("tok")) >= K, F.slice(c("four"), F.lit(1), F.size(c("tok")) - (K - 1))).when(n >= LONG, F.array(F.xxhash64(t)))),
-        ("ch", F.when(n < SHORT, F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{CHARS}}}))"), F.lit(1)))),
-        ("gc", F.when((n < SHORT) & (n >= CHARS), F.transform(c("ch"), lambda x: F.xxhash64(x))).when(n < SHORT, F.array(F.xxhash64(t)))),
-    ]
-    for level, w in (("t", W), ("c", W_CHARS)):
-        g, p, m = f"g{level}", f"p{level}", f"m{level}"
-        steps += [
-            (p, F.transform(c(g), lambda x, i: x.bitwiseAND(F.lit(PLACES << 32)).bitwiseOR((F.lit(PLACES) - i).cast("long")))),
-            (m, F.zip_with(c(p), F.slice(c(p), F.lit(2), F.greatest(F.size(c(p)), F.lit(0))), lambda a, b: F.least(a, b))),
-            (f"w{level}", F.zip_with(c(m), F.slice(c(m), F.lit(3), F.greatest(F.size(c(m)), F.lit(0))), lambda a, b: F.least(a, b)) if w == 4 else c(m)),
-            (f"f{level}", F.array_distinct(F.slice(c(f"w{level}"), F.lit(1), F.greatest(F.size(c(p)) - (w - 1), F.lit(1))))),
-        ]
+    ahead = lambda c, by: F.slice(c, F.lit(by + 1), F.greatest(F.size(c), F.lit(0)))
+    steps, last = [("_c", F.split(t, "")), ("_h1", F.transform(F.col("_c"), lambda x: F.xxhash64(x)))], "_h1"
+    by = 1
+    while by < K:
+        steps.append((f"_h{2 * by}", F.zip_with(last, ahead(F.col(last), by), _rolled(by))))
+        by, last = 2 * by, f"_h{2 * by}"
+    steps.append(("_g", F.when(n >= K, F.slice(F.col(last), F.lit(1), n - (K - 1))).otherwise(F.array(F.xxhash64(t)))))
+    steps.append(("_m1", F.transform(F.col("_g"), lambda x, i: x.bitwiseAND(F.lit(PLACES << 32)).bitwiseOR((F.lit(PLACES) - i).cast("long")))))
+    by, last = 1, "_m1"
+    while by < W:
+        steps.append((f"_m{2 * by}", F.zip_with(last, ahead(F.col(last), by), lambda a, b: F.least(a, b))))
+        by, last = 2 * by, f"_m{2 * by}"
+    steps.append((out, F.array_distinct(F.slice(F.col(last), F.lit(1), F.greatest(F.size("_m1") - (W - 1), F.lit(1))))))
     for name, expression in steps:
-        df = df.withColumn(f"_{name}", expression)
-    df = df.withColumn(out, F.struct(F.col("_ft").alias("tokens"), F.col("_fc").alias("chars")))
-    return df.drop(*[f"_{name}" for name, _ in steps])
+        df = df.withColumn(name, expression)
+    return df.drop(*[name for name, _ in steps[:-1]])
 
 
 def fingerprint_string(fp: Column) -> Column:
-    """Hex of the entries, tokens' level first, then that of code points: hash and complement of the place, 16 digits each."""
-    part = lambda a: F.coalesce(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), ""), F.lit(""))
-    return F.concat(part(fp.tokens), F.lit("|"), part(fp.chars))
+    """Hex of the entries in order of place: hash and complement of the place, 16 digits each."""
+    return F.array_join(F.transform(fp, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
 def hashes(entries: Column) -> Column:
@@ -69,25 +66,23 @@ def hashes(entries: Column) -> Column:
 
 
 def with_likeness(df: DataFrame, one: str, other: str, out: str) -> DataFrame:
-    """Adds the likeness of two fingerprint columns, at the tokens' level if both have it."""
-    both = F.col(f"{one}.tokens").isNotNull() & F.col(f"{other}.tokens").isNotNull()
-    level = lambda c: F.when(both, F.col(f"{c}.tokens")).otherwise(F.col(f"{c}.chars"))
-    df = df.withColumn("_a", level(one)).withColumn("_b", level(other)).withColumn("_ha", hashes(F.col("_a"))).withColumn("_hb", hashes(F.col("_b")))
+    """Adds the likeness of two fingerprint columns."""
+    df = df.withColumn("_ha", hashes(F.col(one))).withColumn("_hb", hashes(F.col(other)))
 
-    def jaccard(x: Column, y: Column, shared: Column) -> Column:
-        return shared / (F.size(x) + F.size(y) - shared)
+    def jaccard(x: str, y: str, shared: str) -> Column:
+        return F.col(shared) / (F.size(x) + F.size(y) - F.col(shared))
 
-    df = df.withColumn("_n", F.size(F.array_intersect("_a", "_b"))).withColumn("_hn", F.size(F.array_intersect("_ha", "_hb")))
-    near = F.greatest(jaccard(F.col("_a"), F.col("_b"), F.col("_n")), jaccard(F.col("_ha"), F.col("_hb"), F.col("_hn")))
-    return df.withColumn(out, F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), near).otherwise(0.0)).drop("_a", "_b", "_ha", "_hb", "_n", "_hn")
+    df = df.withColumn("_n", F.size(F.array_intersect(one, other))).withColumn("_hn", F.size(F.array_intersect("_ha", "_hb")))
+    return df.withColumn(out, F.greatest(jaccard(one, other, "_n"), jaccard("_ha", "_hb", "_hn"))).drop("_ha", "_hb", "_n", "_hn")
 
 
-def with_buckets(documents: DataFrame, per_bucket: int = 2_000, segments: int = 100) -> tuple[DataFrame, list]:
-    """Adds ord and bucket: ranges of doc_id in ascending order, of about per_bucket rows.
+def with_buckets(documents: DataFrame, per_bucket: int = 1_000, segments: int = 100) -> tuple[DataFrame, int]:
+    """Adds ord, h (hash of text), seg, bucket and part: ranges of doc_id in ascending order of about per_bucket rows, and ranges
+    of h for the rows of one doc_id (or none) that are more. Also gives the number of buckets to expect.
 
     Quantiles cut the ids into segments, each cut evenly once more, so neither dense nor clustered ids fill one bucket.
     """
-    ordered = documents.withColumn("ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    ordered = documents.withColumn("ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 2))
     cuts = [F.lit((i + 1) / segments) for i in range(segments - 1)]
     found = documents.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.percentile_approx("doc_id", F.array(*cuts), F.lit(10_000)).alias("q")).collect()[0]
     lo, hi = (found.lo, found.hi) if found.lo is not None else (0, 0)
@@ -98,39 +93,52 @@ def with_buckets(documents: DataFrame, per_bucket: int = 2_000, segments: int =
     seg = F.greatest(F.size(F.filter(starts, lambda b: b <= F.col("ord"))), F.lit(1))
     ordered = ordered.withColumn("seg", seg)
     sub = F.greatest(F.expr("0L"), F.floor((F.col("ord") - F.element_at(starts, F.col("seg"))) / F.element_at(widths, F.col("seg"))))
-    sub = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(sub)
-    return ordered.withColumn("bucket", F.col("seg").cast("long") * F.lit(1 << 40) + sub), bounds
-
-
-def with_next_text(documents: DataFrame) -> DataFrame:
-    """(bucket, ord, real, doc_id, text, next): rows with their successor; real = 1 marks the successor of a bucket's last row."""
-    docs, _ = with_buckets(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    firsts = materialise(docs.groupBy("seg", "bucket").agg(F.min("ord").alias("ord")), "firsts")
-    ends = sorted((r.seg, r.last) for r in firsts.groupBy("seg").agg(F.max("bucket").alias("last")).collect())  # a row a segment
-    before = F.lit(None).cast("long")
-    for i, (seg, _) in enumerate(ends):
-        before = F.when(F.col("seg") == seg, F.lit(ends[i - 1][1])).otherwise(before)
-    into = firsts.select("ord", F.coalesce(F.lag("bucket").over(Window.partitionBy("seg").orderBy("bucket")), before).alias("into"))
+    sub = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(sub)
+    ordered = ordered.withColumn("bucket", F.col("seg").cast("long") * F.lit(1 << 40) + sub)
+    often = materialise(ordered.groupBy("ord").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > per_bucket), "often")
+    if often.isEmpty():
+        return ordered.withColumn("part", F.lit(0).cast("long")), found.n // per_bucket + 1
+    cells = often.select("ord", F.ceil(F.col("many") / per_bucket).alias("cells"))
+    ordered = ordered.join(F.broadcast(cells) if cells.count() <= 100_000 else cells, "ord", "left")
+    part = F.floor(F.col("h") / F.lit(float(1 << 62)) * F.col("cells")).cast("long")  # h is below 2^62; rises with it
+    return ordered.withColumn("part", F.coalesce(part, F.lit(0).cast("long"))).drop("cells"), found.n // per_bucket + 1
+
+
+def in_order():
+    return Window.partitionBy("bucket", "part").orderBy("real", "ord", "h", "text")
+
+
+def with_next_text(documents: DataFrame, task_bytes: int = 24 << 20, per_bucket: int = 1_000) -> DataFrame:
+    """(bucket, part, ord, h, real, doc_id, text, next): rows with their successor; real = 1 marks the successor of a bucket's last row."""
+    docs, buckets = with_buckets(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), per_bucket)
+    firsts = materialise(docs.groupBy("seg", "bucket", "part").agg(F.min(F.struct("ord", "h")).alias("x")).select("seg", F.struct("bucket", "part").alias("b"), "x.ord", "x.h"), "firsts")
+    ends = sorted((r.seg, r.last.bucket, r.last.part) for r in firsts.groupBy("seg").agg(F.max("b").alias("last")).collect())  # a row a segment
+    before = F.lit(None).cast(firsts.schema["b"].dataType)
+    for i, (seg, _, _) in enumerate(ends):
+        before = F.when(F.col("seg") == seg, F.struct(F.lit(ends[i - 1][1]).cast("long").alias("bucket"), F.lit(ends[i - 1][2]).cast("long").alias("part"))).otherwise(before)
+    into = firsts.select("ord", "h", F.coalesce(F.lag("b").over(Window.partitionBy("seg").orderBy("b")), before).alias("into"))
     few = firsts.count() <= 500_000
-    heads = docs.select("ord", "doc_id", "text").join(F.broadcast(into) if few else into, "ord").groupBy("into", "ord", "doc_id").agg(F.min("text").alias("text"))
-    rows = docs.select("bucket", "ord", F.lit(0).alias("real"), "doc_id", "text").unionByName(heads.select(F.col("into").alias("bucket"), "ord", F.lit(1).alias("real"), "doc_id", "text"))
-    order = Window.partitionBy("bucket").orderBy("real", "ord", "text")
-    return rows.withColumn("next", F.lead("text").over(order))
+    heads = docs.select("ord", "h", "doc_id", "text").join(F.broadcast(into) if few else into, ["ord", "h"]).groupBy("into", "ord", "h", "doc_id").agg(F.min("text").alias("text"))
+    rows = docs.select("bucket", "part", "ord", "h", F.lit(0).alias("real"), "doc_id", "text").unionByName(heads.select("into.bucket", "into.part", "ord", "h", F.lit(1).alias("real"), "doc_id", "text"))
+    total = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    rows = rows.repartition(int(max(1, min(buckets, -(-total // task_bytes)))), "bucket", "part")
+    return rows.withColumn("next", F.lead("text").over(in_order()))
+
+
+def fingerprints_of_edits(documents: DataFrame, per_bucket: int = 1_000) -> DataFrame:
+    """(doc_id, text, next, edited, fp, efp, near_edited, near_next): every text beside its edited one, whose last quarter is the next text's first."""
+    rows = with_fingerprint(with_next_text(documents, per_bucket=per_bucket), "text", "fp")
+    rows = rows.withColumn("after", F.lead("fp").over(in_order())).filter(F.col("real") == 0)
+    quarter = F.floor(F.char_length("text") / 4).cast("int")
+    rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.char_length("text") - quarter), F.substring(F.col("next"), F.lit(1), quarter)))
+    rows = with_fingerprint(rows, "edited", "efp")
+    return with_likeness(with_likeness(rows, "fp", "efp", "near_edited"), "fp", "after", "near_next")
 
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_next_text(table(spark, sf_dir, "documents"))
-    rows = with_fingerprint(rows, "text", "fp")
-    order = Window.partitionBy("bucket").orderBy("real", "ord", "text")
-    rows = rows.withColumn("after", F.lead("fp").over(order)).filter(F.col("real") == 0)
-    n = F.char_length("text")
-    quarter = F.floor(n / 4).cast("int")
-    rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next"), F.lit(1), quarter)))
-    rows = with_fingerprint(rows, "edited", "efp")
-    rows = with_likeness(with_likeness(rows, "fp", "efp", "near_edited"), "fp", "after", "near_next")
-    return rows.select(
+    return fingerprints_of_edits(table(spark, sf_dir, "documents")).select(
         "doc_id",
-        "n_chars",
+        F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
         fingerprint_string(F.col("fp")).alias("fingerprint"),
         fingerprint_string(F.col("efp")).alias("edited_fingerprint"),
