@@ -12,9 +12,10 @@ into decided copies and one document with a fraction left; these residuals are t
 of a reduction tree, ``fan`` to a block, until one for each source remains, which is rounded to the nearer whole number. A source's
 words therefore differ from its target by half a document at most.
 
-Random numbers are hashes of doc_id, words and level, so reruns agree. Edge cases: null text has no words; a
-document without words takes none; null is a source of its own; repeated rows are rounded one by one; a source without
-words has target 0; an empty table gives no rows.
+Random numbers are hashes of doc_id, words, level and the number of a row among those alike in source, doc_id and words, so reruns agree.
+Edge cases: null text has no words; a document without words takes none; a very long text counts whole; null is a source of its own;
+repeated rows, and rows that share a null doc_id, are numbered, dealt to blocks and rounded one by one; a source without
+words has target 0; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-ITEM = "struct<neg:bigint,doc_id:bigint,size:bigint,base:bigint,p:double>"
+ITEM = "struct<neg:bigint,doc_id:bigint,size:bigint,turn:bigint,base:bigint,p:double>"
 DONE = "struct<doc_id:bigint,size:bigint,copies:bigint>"
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...], total: float, cap: float) -> DataFrame:
-    """(source, source_size, target) from (source, size)."""
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    """(source, source_size, target) from (source, size, many: rows of that size). The windows are over a row a source."""
+    sums = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("many")).alias("source_size"))
     turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn % len(weights)).cast("int") + 1)
     by = sums.withColumn("weight", weight)
@@ -60,7 +61,7 @@ def _fold(items: Column, seed: Column) -> Column:
         return F.array(F.struct(item.doc_id.alias("doc_id"), item.size.alias("size"), (item.base + up).alias("copies")))
 
     def with_p(item: Column, p: Column) -> Column:
-        return F.struct(item.neg.alias("neg"), item.doc_id.alias("doc_id"), item.size.alias("size"), item.base.alias("base"), p.cast("double").alias("p"))
+        return F.struct(item.neg.alias("neg"), item.doc_id.alias("doc_id"), item.size.alias("size"), item.turn.alias("turn"), item.base.alias("base"), p.cast("double").alias("p"))
 
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     nobody = F.lit(None).cast(ITEM)
@@ -72,7 +73,7 @@ def _fold(items: Column, seed: Column) -> Column:
         c = s.cur
         to_c = F.least(c.size * (1 - c.p), x.size * x.p)  # words that can move from x to c
         to_x = F.least(c.size * c.p, x.size * (1 - x.p))
-        up = _uniform(seed, c.doc_id, x.doc_id, c.size, x.size) * (to_c + to_x) < to_x
+        up = _uniform(seed, c.doc_id, x.doc_id, c.size, x.size, c.turn, x.turn) * (to_c + to_x) < to_x
         c_fills, x_empties = c.size * (1 - c.p) <= x.size * x.p, c.size * (1 - c.p) >= x.size * x.p
         x_fills, c_empties = x.size * (1 - x.p) <= c.size * c.p, x.size * (1 - x.p) >= c.size * c.p
         return (
@@ -88,15 +89,25 @@ def _fold(items: Column, seed: Column) -> Column:
     return F.aggregate(items, state(nobody, F.array()), meet)
 
 
+def numbered(alike: DataFrame, piece: int = 65_536) -> DataFrame:
+    """A row of (source, doc_id, size, turn) for each of the ``many`` alike ones; more than ``piece`` are made by several tasks."""
+    few = alike.filter(F.col("many") <= piece).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)))
+    pieces = alike.filter(F.col("many") > piece).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("many") - 1) / piece))))
+    last = F.least(F.col("many"), (F.col("part") + 1) * piece) - 1
+    rest = pieces.repartition("source", "doc_id", "size", "part").withColumn("turn", F.explode(F.sequence(F.col("part") * piece, last))).drop("part")
+    return few.unionByName(rest).select("source", "doc_id", "size", "turn")
+
+
 def mix_sources(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2), total: float = 1.5, cap: float = 2.0, fan: int = 128) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of every row."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
-    sized = materialise(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size")), "sizes")
-    targets = materialise(source_targets(sized, weights, total, cap), "targets")
+    sized = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"))
+    alike = materialise(sized.groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("many")), "sizes")
+    targets = materialise(source_targets(alike.select("source", "size", "many"), weights, total, cap), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     known = targets.select(F.col("source").alias("_s"), (rate).alias("rate"))
-    items = sized.join(F.broadcast(known) if targets.count() <= 100_000 else known, F.col("source").eqNullSafe(F.col("_s"))).select(
-        "source", F.struct((-F.col("size")).alias("neg"), "doc_id", "size", F.floor("rate").alias("base"), (F.col("rate") - F.floor("rate")).alias("p")).alias("item")
+    items = numbered(alike).join(F.broadcast(known) if targets.count() <= 100_000 else known, F.col("source").eqNullSafe(F.col("_s"))).select(
+        "source", F.struct((-F.col("size")).alias("neg"), "doc_id", "size", "turn", F.floor("rate").alias("base"), (F.col("rate") - F.floor("rate")).alias("p")).alias("item")
     )
     whole = (F.col("item.p") <= 0) | (F.col("item.size") == 0)
     done = [items.filter(whole).select("source", "item.doc_id", "item.size", F.col("item.base").alias("copies"))]
@@ -107,7 +118,7 @@ def mix_sources(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2), tota
         blocks = -(-most // fan)
         seed = F.lit(level)
         # a source's rows are dealt to as many blocks as the largest source needs; sources with fewer have smaller blocks
-        block = F.pmod(F.xxhash64(seed, F.col("item.doc_id"), F.col("item.size")), F.lit(blocks))
+        block = F.pmod(F.xxhash64(seed, F.col("item.doc_id"), F.col("item.size"), F.col("item.turn")), F.lit(blocks))
         cells = open_.groupBy("source", block.alias("block")).agg(F.array_sort(F.collect_list("item")).alias("items"))
         folded = materialise(cells.select("source", _fold(F.col("items"), seed).alias("f")), f"level_{level}")
         done.append(folded.select("source", F.explode("f.out").alias("o")).select("source", "o.*"))
