@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 
 from loomstone.llm import chat, decontaminate, extract, fingerprint, language, licenses, line_dedup, mixing, near_dedup, toxicity
 from loomstone.llm.common import table
@@ -69,6 +71,26 @@ def test_toxicity(spark):
     assert toxicity.ToxicLexicon({"trash": 3.0}).mass("the trash can")[0] == 0 < toxicity.ToxicLexicon({"trash": 3.0}).mass("you trash")[0]
     assert toxicity.score_toxicity(docs(spark, []), lex).collect() == []
     assert toxicity.fit_lexicon(docs(spark, texts), lab.limit(0)).score("gralk") == 0.05
+    odd = spark.createDataFrame([(None, "gralk"), (1, "gralk"), (1, "gralk")], "doc_id long, text string").selectExpr("*", "0.5 AS score", "'x' AS predicted")
+    assert len({r.score for r in toxicity.score_toxicity(odd, lex).collect()}) == 1
+    start = time.perf_counter()
+    trash = toxicity.ToxicLexicon({"trash": 3.0})
+    assert trash.mass("trash can and you trash " * 50_000) == (150_000.0, 250_000) and time.perf_counter() - start < 20
+
+
+def naive_mass(text, weights, exceptions):
+    folded = toxicity.fold(text)
+    hits = [(m.start(), m.start() + len(w), v) for w, v in weights.items() for m in re.finditer(rf"(?=(?<![^\W\d_]){w})", folded)]
+    spared = [(m.start(), m.start() + len(x)) for x in exceptions for m in re.finditer(rf"(?=(?<![^\W\d_]){x}(?![^\W\d_]))", folded)]
+    return sum(v for a, b, v in hits if not any(s <= a and b <= e for s, e in spared))
+
+
+def test_toxicity_matches_naive_search():
+    rng = random.Random(9)
+    lex = toxicity.ToxicLexicon({"trash": 3.0, "scum": 2.0, "can": 1.0}, ("trash can", "pond scum", "trash can lid"))
+    for _ in range(300):
+        text = " ".join(rng.choice(["trash", "can", "lid", "pond", "scum", "Tr4sh", "trashy", "ѕcum", "xscum", "!"]) for _ in range(rng.randrange(12)))
+        assert abs(lex.mass(text)[0] - naive_mass(text, lex.weights, lex.exceptions)) < 1e-9
 
 
 def test_language_held_out(spark):
@@ -76,49 +98,77 @@ def test_language_held_out(spark):
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.9 * len(rows)
     model = language.LanguageModel.fit([("en", "the", 9), ("en", "thing", 3), ("de", "der", 9), ("de", "ding", 3)])
     assert model.predict("the things")[0] == "en" and model.predict("derer")[0] == "de"
-    assert [model.predict(t) for t in (None, "", "12 34!")] == [("und", 0.0)] * 3
+    assert [model.predict(t) for t in (None, "", "12 34!", "½ ² Ⅷ ①", "٣٤")] == [("und", 0.0)] * 5
+    assert language.words_of("aⅧb c½") == ["a", "b", "c"] and model.predict("the " * 300_000)[0] == "en"
+    p = model.predict("the der zz")[1]
+    assert 0.25 <= p <= 1
     assert language.LanguageModel.fit([]).predict("word") == ("und", 0.0)
     odd = spark.createDataFrame([(1, "the thing", 5), (2, None, 6), (None, "der", 7)], "doc_id long, text string, score long")
     assert sorted(r.doc_id or 0 for r in language.keep_identified(odd, model, 0.3).collect()) == [0, 1]
 
 
-def winnow(text):
-    def pick(grams, w):
-        p = [(g, -i) for i, g in enumerate(grams)]
-        return list(dict.fromkeys(min(p[i : i + w]) for i in range(max(1, len(p) - w + 1)))) if p else []
+def winnow(text, k=8, w=32):
+    """Entries of a text by the plain definition: (hash, place) of the rightmost least of each window."""
+    rotate = lambda x, by: (x << by | x >> (64 - by)) & (1 << 64) - 1
+    h = [xxhash.xxh64_intdigest(c.encode(), seed=42) for c in text]
+    grams = []
+    for i in range(len(h) - k + 1):
+        g = 0
+        for j in range(k):
+            g ^= rotate(h[i + j], k - 1 - j)
+        grams.append(g)
+    if len(h) < k:
+        grams = [xxhash.xxh64_intdigest(text.encode(), seed=42)]
+    grams = [g >> 32 & (1 << 31) - 1 for g in grams]
+    picked = [min((grams[j], -j) for j in range(i, min(len(grams), i + w))) for i in range(max(1, len(grams) - w + 1))]
+    return list(dict.fromkeys((g, -j) for g, j in picked))
 
-    tokens = re.findall(r"[^\x20\x09-\x0d]{1,12}", text)
-    return pick([tuple(tokens[i : i + 4]) for i in range(len(tokens) - 3)], 4)
 
+def entries(fingerprint_text):
+    return [(int(fingerprint_text[i : i + 8], 16), fingerprint.PLACES - int(fingerprint_text[i + 8 : i + 16], 16)) for i in range(0, len(fingerprint_text), 16)]
 
-def test_fingerprint(spark):
+
+def jaccard(a, b):
+    one = lambda x, y: len(x & y) / len(x | y)
+    return max(one(set(a), set(b)), one({h for h, _ in a}, {h for h, _ in b}))
+
+
+def test_fingerprint_equals_plain_winnowing(spark, tmp_path):
     rng = random.Random(3)
-    texts = [prose(rng, n) for n in (1, 3, 40, 200, 900)] + [None, "", "é" * 700, prose(rng, 90)]
-    texts.append(texts[4])
-    df = docs(spark, texts, 10)
-    odd = spark.createDataFrame([(None, "a null id", "", "", 1)], DOCS)
-    df.unionByName(odd).write.mode("overwrite").parquet("/tmp/loomstone-test/fp/documents.parquet")
-    rows = {r.doc_id: r for r in fingerprint.op4_fingerprint(spark, "/tmp/loomstone-test/fp").collect()}
-    order = [None, *range(10, 20)]
-    whole = {None: "a null id"} | {10 + i: t or "" for i, t in enumerate(texts)}
-    for k, i in enumerate(order):
-        t, nxt = whole[i], whole[order[(k + 1) % len(order)]]
-        q = len(t) // 4
-        edited = t[: len(t) - q] + nxt[:q]
-        assert rows[i].n_chars == len(t) and rows[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= rows[i].near_next <= 1 and (len(t) < 200 or rows[i].near_edited > 0.4)
-    assert rows[14].fingerprint == rows[19].fingerprint and rows[13].fingerprint != rows[14].fingerprint
-    assert rows[15].fingerprint == rows[16].fingerprint and rows[15].near_next == 1
-    # a run of 7 shared tokens shares an entry, and the number of entries is that of a plain winnowing (whose hash differs)
-    a, b = prose(rng, 300), prose(rng, 300, 9000)
-    shared = " ".join(a.split()[100:107])
-    two = fingerprint.with_fingerprint(docs(spark, [a, b + " " + shared + " " + b]), "text", "fp").select(fingerprint.hashes(fingerprint.F.col("fp.tokens")).alias("h"), "fp.tokens").collect()
-    assert set(two[0].h) & set(two[1].h)
-    assert 0.3 * 297 < len(two[0].tokens) < 0.5 * 297 and abs(len(two[0].tokens) - len(winnow(a))) < 30
-    places = [fingerprint.PLACES - (x & 0xFFFFFFFF) for x in two[0].tokens]
-    assert places == sorted(places) and max(b - a for a, b in zip(places, places[1:])) <= 4
-    docs(spark, []).write.mode("overwrite").parquet("/tmp/loomstone-test/none/documents.parquet")
-    assert fingerprint.op4_fingerprint(spark, "/tmp/loomstone-test/none").collect() == []
+    chinese = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(1200))
+    texts = [prose(rng, n) for n in (1, 3, 40, 200)] + [None, "", "é" * 300, "ab" * 90, chinese, "x" + chinese, "😀ü " * 30]
+    texts.append(texts[3])
+    rows = [(10 + i, t) for i, t in enumerate(texts)] + [(None, "a null id"), (None, "another")] + [(40, prose(rng, 5)) for _ in range(9)] + [(40, "same")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n_chars", "2 AS ord")
+    for per_bucket in (1_000, 4):
+        got = fingerprint.fingerprints_of_edits(df, per_bucket).withColumn("f", fingerprint.fingerprint_string(fingerprint.F.col("fp"))).withColumn("g", fingerprint.fingerprint_string(fingerprint.F.col("efp"))).collect()
+        assert Counter((r.doc_id, r.text) for r in got) == Counter((i, t or "") for i, t in rows)
+        followers = {}
+        for r in got:
+            q = len(r.text) // 4
+            assert r.edited == r.text[: len(r.text) - q] + r.next[:q]
+            assert entries(r.f) == winnow(r.text) and entries(r.g) == winnow(r.edited)
+            assert abs(r.near_edited - jaccard(winnow(r.text), winnow(r.edited))) < 1e-12 and abs(r.near_next - jaccard(winnow(r.text), winnow(r.next))) < 1e-12
+            followers.setdefault(r.doc_id, []).append((r.text, r.next))
+        whole = {i: t or "" for i, t in rows}
+        for i in range(10, 21):
+            assert followers[i] == [(whole[i], whole[i + 1])]
+        # rows of one id follow each other and the last leads to the next id; the last row of all leads to the first
+        for i, after in ((None, {texts[0]}), (40, {"a null id", "another"})):
+            mine, nexts = [t for t, _ in followers[i]], [n for _, n in followers[i]]
+            (out,) = (Counter(nexts) - Counter(mine)).elements()
+            assert out in after
+    by = {r.doc_id: r for r in got if r.doc_id}
+    assert by[13].f == by[21].f != by[12].f and by[14].f == by[15].f and by[14].near_next == 1
+    assert by[18].near_next > 0.95  # one character before a text without spaces moves nothing
+
+
+def test_fingerprint_query(spark, tmp_path):
+    docs(spark, ["a b", None, "c" * 600]).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = fingerprint.op4_fingerprint(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.n_chars for r in rows} == {0: 3, 1: 0, 2: 600} and {r.edited_sha256 for r in rows if r.doc_id == 1} == {hashlib.sha256(b"").hexdigest()}
+    docs(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert fingerprint.op4_fingerprint(spark, f"{tmp_path}/none").collect() == []
 
 
 def brute_edits(pattern, text):
@@ -155,9 +205,33 @@ def test_decontaminate(spark):
     assert {(r.doc_id, r.item_id) for r in blocks.collect()} == got
     clean = decontaminate.drop_contaminated(docs(spark, texts), bench)
     assert clean.columns == docs(spark, []).columns and {r.doc_id for r in clean.collect()} == set(range(len(texts))) - {i for i, _ in got}
+    twice = spark.createDataFrame([(None, texts[0]), (7, texts[0]), (7, texts[0])], "doc_id long, text string").selectExpr("*", "1 AS item_id", "'x' AS start")
+    assert sorted(str(r.doc_id) for r in decontaminate.contaminations(twice, bench).collect()) == ["7", "7", "None"] and decontaminate.drop_contaminated(twice, bench).columns == twice.columns
     assert decontaminate.contaminations(docs(spark, []), bench).collect() == [] == decontaminate.contaminations(docs(spark, texts), bench.limit(0)).collect()
 
 
+def test_decontaminate_many_items_and_repetitive_texts():
+    rng = random.Random(6)
+    items = [(i, " ".join(f"{rng.randrange(1 << 40):x}" for _ in range(4))) for i in range(17_000)]
+    block = decontaminate.Block(items, 8, 0.1)
+    bits = block.table()
+    planted = [rng.randrange(17_000) for _ in range(120)]
+    texts = [" ".join(f"w{rng.randrange(99)} {items[i][1]}" for i in planted[:60]), " ".join(f"{items[i][1]} q" for i in planted[60:])]
+    got = {(d, i) for d, i, *_ in decontaminate._match(block, bits, [0, 1], texts)}
+    assert {(0, i) for i in planted[:60]} | {(1, i) for i in planted[60:]} <= got
+    # sums by chunk are those of one piece
+    codes = decontaminate._codes(texts[0] + "\0" + texts[1] + "\0")
+    hit = np.searchsorted(block.values, decontaminate.gram_hashes(codes, 8))
+    good = (hit < len(block.values)) & (block.values[np.minimum(hit, len(block.values) - 1)] == decontaminate.gram_hashes(codes, 8))
+    where, hit = np.flatnonzero(good), hit[good]
+    doc = (where > len(texts[0])).astype(np.int64)
+    assert sorted(map(tuple, block.bands(doc, where, hit).tolist())) == sorted(map(tuple, block.bands(doc, where, hit, chunk=50).tolist()))
+    again = decontaminate.Block([(1, "ab " * 60)], 8, 0.1)
+    start = time.perf_counter()
+    found = decontaminate._match(again, again.table(), [3], ["ab " * 100_000 + "x"])
+    assert [(d, i, e) for d, i, _, _, e in found] == [(3, 1, 0)] and time.perf_counter() - start < 60
+
+
 def test_line_dedup(spark):
     texts = ["a\nB \n\nc"] * 6 + [" b\n\n\nd", None, "", "a\na\nx"] * 5
     df = docs(spark, texts).selectExpr("*", "1 AS n_lines", "2 AS gone")
@@ -169,6 +243,27 @@ def test_line_dedup(spark):
             kept = [x for x in lines if not x.strip(" \t\n\x0b\x0c\r") or seen[x.strip(" \t\n\x0b\x0c\r").lower()] < 10]
             assert got[i] == ("\n".join(kept), len(lines), len(lines) - len(kept))
     assert line_dedup.drop_repeated_lines(docs(spark, [])).collect() == []
+    # rows without an id or with one id are told apart, and a long text loses its lines whole
+    long = "\n".join(f"line {i % 7000}" for i in range(20_000))
+    rows = [(None, "a\nkeep 1"), (None, "a\nkeep 2"), (3, "a\nkeep 3"), (3, "a\nkeep 4")] + [(i, "a") for i in range(4, 12)] + [(99, long + "\na")]
+    got = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in got) == sorted(["keep 1", "keep 2", "keep 3", "keep 4", long] + [""] * 8)
+
+
+def test_line_runs_merge_anti_join(spark, monkeypatch):
+    stores = []
+
+    class Kept(line_dedup.LineRuns):
+        def __init__(self, *args):
+            super().__init__(*args)
+            stores.append(self)
+
+    monkeypatch.setattr(line_dedup, "LineRuns", Kept)
+    QUERIES["op6_line_dedup"](spark, SF)
+    (store,) = stores
+    assert len(store.joined) == 3 and store.compactions >= 2  # a compaction precedes later batches
+    for plan in (df._jdf.queryExecution().executedPlan().toString() for df in store.joined):
+        assert "SortMergeJoin" in plan and "LeftAnti" in plan
 
 
 def test_chat_round_trip(spark):
@@ -272,6 +367,14 @@ def test_mixing(spark):
         assert 0 <= r.taken <= 2 * r.size and (not r.size or r.taken % r.size == 0)
     assert all(abs(took[s] - want[s]) <= 20 for s in sizes)
     assert mixing.mix_sources(df.limit(0)).collect() == []
+    alike = spark.createDataFrame([(None, "w " * 4, "a")] * 900 + [(i, "w " * 6, "b") for i in range(300)], "doc_id long, text string, source string").selectExpr("*", "1 AS size", "2 AS turn", "3 AS target")
+    by = Counter()
+    for r in mixing.mix_sources(alike, fan=16).collect():
+        by[r.source] += r.taken
+    want = targets({"a": 3600, "b": 1800})
+    assert all(abs(by[s] - want[s]) <= 6 for s in "ab")
+    one = spark.createDataFrame([("a", 1, 2, 10)], "source string, doc_id long, size long, many long")
+    assert sorted(r.turn for r in mixing.numbered(one, 4).collect()) == list(range(10))
 
 
 def test_mixing_keeps_expectation(spark):
@@ -289,6 +392,11 @@ def test_extract(spark):
     page = '<html><body><nav><ul><li><a href="/">Home</a></li></ul></nav><article><h1>A &amp; b title here</h1><p>Some  long\n paragraph of text, with a few <b>bold</b> words.<br>And more of it.<p>Another paragraph &eacute; that is not closed, and goes on.</article><div class="comments"><p>First comment!</p></div><footer>&copy; x</footer><script>var x = "<p>no</p>";</script>'
     assert extract.main_text(page, field) == "A & b title here\n\nSome long paragraph of text, with a few bold words. And more of it.\n\nAnother paragraph é that is not closed, and goes on."
     assert extract.main_text(None, field) == extract.main_text("", field) == ""
+    hidden = "<p>The first words stand here.</p><datalist><option value=a></datalist><p>The rest of the page follows, in a long and whole sentence.</p>"
+    assert "The rest of the page" in extract.main_text(hidden, field)
+    for hostile in ("<a " * 300_000, "<div>" * 200_000 + "x", "<div>x" * 150_000, "<a '>' " * 150_000, "<p class='a b'>" * 60_000, "<option>" * 100_000, "<!--" * 250_000, "<script>" * 100_000, "&amp;" * 200_000):
+        start = time.perf_counter()
+        assert isinstance(extract.main_text(hostile, field), str) and time.perf_counter() - start < 20
     for odd in ("<", "<p", "<!--", "</div></div>x", "<a b='", "<script>", "plain", "<p>" * 500):
         assert isinstance(extract.main_text(odd, field), str)
     df = spark.createDataFrame([(1, None, page), (1, None, page), (None, "u", None)], "page_id long, url string, html string")
@@ -318,6 +426,17 @@ def test_license_scan(spark):
     got = {(r.doc_id, r.license_id, r.unit, r.n) for r in licenses.scan_licenses(docs(spark, texts)).collect()}
     assert got == {(0, "MIT", "text", 1), (1, "MIT", "line", 2)}
     assert licenses.scan_licenses(docs(spark, [])).collect() == []
+    gpl, bsd = (licenses.TEXTS / "GPL-3.0.txt").read_text(), licenses._BSD3
+    rewrapped = " ".join(licenses._APACHE_HEADER.format("http").split())
+    mit_body = licenses._MIT_GRANT
+    texts = [gpl, "BSD 3-Clause License\n\nCopyright Foo Inc.\nAll rights reserved.\n\n" + bsd, "Copyright (c) 1999-2003, The Foo Authors. All rights reserved.\n" + rewrapped, "All rights reserved.\nprose\nALL RIGHTS RESERVED", "All rights reserved.\nReleased under the MIT License.", "Copyright Foo\n" + mit_body, "word " * 200_000]
+    got = {(r.doc_id, r.license_id, r.unit, r.n) for r in licenses.scan_licenses(docs(spark, texts)).collect()}
+    assert got == {(0, "GPL-3.0", "text", 1), (1, "BSD-3-Clause", "text", 1), (2, "Apache-2.0", "text", 1), (2, "Apache-2.0", "line", 1), (3, "Proprietary", "line", 2), (4, "MIT", "text", 1), (4, "MIT", "line", 1), (5, "MIT", "text", 1)}
+    con = duckdb.connect()
+    rows = list(enumerate(texts))
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert set(con.sql(licenses.oracle()).fetchall()) == got
 
 
 def test_near_dedup_compares_rows_not_ids(spark):
