@@ -1,17 +1,20 @@
 """Document fingerprints by winnowing, in DataFrame expressions only.
 
-The hash of every k = 8 consecutive code points is a cyclic polynomial, the xor of rotated hashes of single code points. It is
-rolled for all places at once by doubling: grams of 2, 4 and 8 code points are xors of two neighbours of half the length. Of every
-w = 32 consecutive hashes the least is selected, rightmost on ties; an entry is a long with 31 bits of hash above the complement of
-its place, so that a plain minimum is that rule and the place is kept. Minima are doubled in the same way. Two texts
-of any script that share k + w - 1 = 39 consecutive code points share an entry's hash, whatever stands before. The
-fingerprint depends on the text alone: equal texts have equal fingerprints.
+A text is cut into tokens where its own characters say so, nowhere by counting: a token ends after white space, a sign, a digit or one of
+a few letters, and a character of a script without spaces (Han, kana, Thai and the like) or a symbol is a token by itself. An edit
+therefore moves the tokens it touches and no others, in any script and inside any run without spaces. Every character belongs to a token.
+
+The hash of every k = 4 consecutive tokens is a cyclic polynomial, the xor of rotated token hashes, rolled for all places at once by
+doubling. Of every w = 8 consecutive hashes the least is selected, rightmost on ties; an entry is a long with 31 bits of hash above the
+complement of its place (the token's number), so that a plain minimum is that rule and the place is kept. Minima are doubled in
+the same way. Two texts that share k + w - 1 = 11 consecutive tokens (about 40 letters of English) share an entry's hash,
+whatever stands before. The fingerprint depends on the text alone: equal texts have equal fingerprints.
 
 Likeness is the Jaccard similarity of the selected hashes, or that of hashes with their places if it is greater (as in
 texts that repeat themselves).
 
-Edge cases: null is empty; a text under k code points is one gram; the likeness of two empty texts is 1; a very long text is used
-whole, its arrays of longs in one task's memory (about 100 bytes a code point); rows of equal doc_id follow one another by
+Edge cases: null is empty; a text under k tokens is one gram; the likeness of two empty texts is 1; a very long text is used
+whole, its arrays of longs in one task's memory (about 40 bytes a code point); rows of equal doc_id follow one another by
 hash of text and text, null doc_id comes first, and many such rows are dealt to several buckets by that hash; the next document of
 the only one is itself; other columns are not read; an empty table gives no rows.
 """
@@ -23,7 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-K, W = 8, 32  # powers of two
+K, W = 4, 8  # powers of two
+#: Characters that are tokens: Thai to Tibetan, Burmese, Khmer, Han and kana, symbols and the planes above the first.
+ALONE = "\\u0E00-\\u0FFF\\u1000-\\u109F\\u1780-\\u17FF\\u2600-\\u27BF\\u2E80-\\uA4CF\\uF900-\\uFAFF\\x{10000}-\\x{10FFFF}"
+#: Characters that end a token: all of ASCII and Latin-1 but letters, general punctuation, and letters that are in every long run but rare in prose.
+ENDS = "\\x00-\\x40\\x5B-\\x60\\x7B-\\xBF\\u2000-\\u206FGJKQVXZgjkqvxz"
+TOKEN = f"[{ALONE}]|[^{ALONE}{ENDS}]*+[{ENDS}]|[^{ALONE}{ENDS}]++"
 PLACES = (1 << 31) - 1
 
 
@@ -37,9 +45,9 @@ def _rolled(by: int):
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds the array column ``out`` of entries in order of place. Every step is a column of its own, so that none is computed twice."""
-    t, n = F.col(text), F.char_length(F.col(text))
+    t, n = F.col(text), F.size("_c")
     ahead = lambda c, by: F.slice(c, F.lit(by + 1), F.greatest(F.size(c), F.lit(0)))
-    steps, last = [("_c", F.split(t, "")), ("_h1", F.transform(F.col("_c"), lambda x: F.xxhash64(x)))], "_h1"
+    steps, last = [("_c", F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))), ("_h1", F.transform(F.col("_c"), lambda x: F.xxhash64(x)))], "_h1"
     by = 1
     while by < K:
         steps.append((f"_h{2 * by}", F.zip_with(last, ahead(F.col(last), by), _rolled(by))))

@@ -107,10 +107,22 @@ def test_language_held_out(spark):
     assert sorted(r.doc_id or 0 for r in language.keep_identified(odd, model, 0.3).collect()) == [0, 1]
 
 
-def winnow(text, k=8, w=32):
-    """Entries of a text by the plain definition: (hash, place) of the rightmost least of each window."""
+def winnow(text, k=4, w=8):
+    """Entries of a text by the plain definition: (hash, place) of the rightmost least of each window of grams of tokens."""
     rotate = lambda x, by: (x << by | x >> (64 - by)) & (1 << 64) - 1
-    h = [xxhash.xxh64_intdigest(c.encode(), seed=42) for c in text]
+    alone = [(0xE00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2600, 0x27BF), (0x2E80, 0xA4CF), (0xF900, 0xFAFF), (0x10000, 0x10FFFF)]
+    tokens, run = [], ""
+    for x in text:
+        if any(a <= ord(x) <= b for a, b in alone):
+            tokens += [run, x] if run else [x]
+            run = ""
+        elif ord(x) <= 0xBF and not (x.isascii() and x.isalpha()) or 0x2000 <= ord(x) <= 0x206F or x in "GJKQVXZgjkqvxz":
+            tokens.append(run + x)
+            run = ""
+        else:
+            run += x
+    tokens += [run] if run else []
+    h = [xxhash.xxh64_intdigest(c.encode(), seed=42) for c in tokens]
     grams = []
     for i in range(len(h) - k + 1):
         g = 0
