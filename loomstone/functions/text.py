@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import posixpath
+import re
 import unicodedata
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,29 +41,38 @@ def query_terms(text: Column, stop: tuple[str, ...] = ()) -> Column:
 
 
 def shingles(text: Column, size: int = 3) -> Column:
-    w = words(text)
-    many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(size)), " "))
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < size, F.array(F.array_join(w, " "))).otherwise(many)
+    """The runs of ``size`` words. The words are bound by a lambda of one turn, so they are found once a text, not once a word."""
 
+    def cut(w: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(size)), " "))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < size, F.array(F.array_join(w, " "))).otherwise(many)
 
-@F.pandas_udf(LongType())
-def simhash_of_shingles(batch: pd.Series) -> pd.Series:
-    """64-bit SimHash over shingle occurrences: blake2b of 8 bytes, a bit is set if its votes are positive; empty is 0."""
-    import numpy as np
+    return F.transform(F.array(words(text)), cut)[0]
 
-    def one(items) -> int:
-        if items is None or not len(items):
-            return 0
-        raw = b"".join(hashlib.blake2b(s.encode(), digest_size=8).digest() for s in items)
-        votes = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(0)
-        bits = 2 * votes.astype(np.int64) > len(items)
-        return int.from_bytes(np.packbits(bits).tobytes(), "big", signed=True)
 
-    return batch.map(one)
+def sketch_of_words(found: list[str], size: int = 3) -> int:
+    """64-bit SimHash over shingle occurrences: blake2b of 8 bytes, a bit is set if its votes are positive; empty is 0."""
+    n = len(found)
+    if not n:
+        return 0
+    if n < size:
+        items = [" ".join(found)]
+    else:
+        items = map(" ".join, zip(*(found[i : n - size + 1 + i] for i in range(size)), strict=True))
+    raw = b"".join([hashlib.blake2b(s.encode(), digest_size=8).digest() for s in items])
+    votes = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * votes > len(raw) // 8).tobytes(), "big", signed=True)
 
 
 def simhash(text: Column, size: int = 3) -> Column:
-    return simhash_of_shingles(shingles(text, size))
+    """The sketch of a text, cut into words and shingles where it is hashed, so only text and sketch pass through Arrow."""
+
+    @F.pandas_udf(LongType())
+    def run(batch: pd.Series) -> pd.Series:
+        word = re.compile(r"\w+")
+        return pd.Series([0 if t is None else sketch_of_words(word.findall(t.lower()), size) for t in batch], dtype="int64")
+
+    return run(text)
 
 
 @F.pandas_udf(DoubleType())
@@ -82,7 +93,6 @@ def ncd(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def slug(name: pd.Series) -> pd.Series:
     """ASCII letters and digits joined by hyphens, 60 characters; empty if nothing is left."""
-    import re
 
     def one(s) -> str:
         s = unicodedata.normalize("NFKD", s or "").encode("ascii", "ignore").decode().lower()
@@ -91,15 +101,19 @@ def slug(name: pd.Series) -> pd.Series:
     return name.map(one)
 
 
+# Typographic signs and what they become, in order.
+TYPOGRAPHY = (("[“”]", '"'), ("[‘’]", "'"), ("…", "..."), ("\u00a0", " "), ("[ \\t]{2,}", " "), ("(?m) +$", ""))
+
+
 def typography(text: Column) -> Column:
-    for pattern, by in (("[“”]", '"'), ("[‘’]", "'"), ("…", "..."), (" ", " "), ("[ \\t]{2,}", " "), ("(?m) +$", "")):
+    for pattern, by in TYPOGRAPHY:
         text = F.regexp_replace(text, pattern, by)
     return text
 
 
 def section(body: Column, name: str) -> Column:
     """The text under a Markdown heading, up to the next heading."""
-    return F.trim(F.regexp_extract(body, f"(?ms)^#{{1,6}}\\s*{name}\\s*$(.*?)(?=^#{{1,6}}\\s|\\z)", 1))
+    return F.btrim(F.regexp_extract(body, f"(?ms)^#{{1,6}}\\s*{name}\\s*$(.*?)(?=^#{{1,6}}\\s|\\z)", 1), F.lit(" \t\r\n"))
 
 
 def chunks(body: Column, separator: str = "\n{2,}", most: int = 1200) -> Column:

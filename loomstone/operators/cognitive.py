@@ -65,47 +65,66 @@ def priority(views: DataFrame, root: str, goal_priority: int = 3, mean_depth: fl
 
 
 def working_set(scored: DataFrame, root: str, budgets: dict = BUDGETS) -> DataFrame:
-    """(page, kind) of what enters: questions by their own quota, items by count and cost.
+    """(page, kind) of what enters: questions by their own quota, items in order by count and cost.
 
-    Candidates beyond every quota can't matter, so only the best of each kind that could still enter are folded: at most
-    max_questions questions, and items in order until max_items are in. scored: (page, type, score, cost_min, pinned).
+    Each turn takes the next item that fits, one row of a sorted top, so at most max_items small queries see all candidates.
+    scored: (page, type, score, cost_min, pinned).
     """
     order = [F.desc("score"), "cost_min", "page"]
     questions = scored.filter("type = 'question'").orderBy(*order).limit(budgets["max_questions"]).select("page", F.lit("question").alias("kind"))
-    item = F.struct((-F.col("score")).alias("s"), F.col("cost_min").alias("cost"), "page", (F.col("pinned") | (F.col("page") == root)).alias("free"))
-    # an item costs two minutes at least, so cost bounds how many can enter; the fold sees all eligible items of one goal
-    listed = scored.filter("type <> 'question'").agg(F.array_sort(F.collect_list(item)).alias("xs"))
-    kind = "struct<spent:double,pages:array<string>>"
-
-    def take(s: Column, x: Column) -> Column:
-        fits = (F.size(s.pages) < budgets["max_items"]) & (x.free | (s.spent + x.cost <= budgets["max_cost_min"]))
-        return F.when(fits, F.struct((s.spent + x.cost).alias("spent"), F.array_append(s.pages, x.page).alias("pages")).cast(kind)).otherwise(s)
-
-    start = F.struct(F.lit(0.0).alias("spent"), F.array().cast("array<string>").alias("pages")).cast(kind)
-    items = listed.select(F.explode(F.aggregate("xs", start, take).pages).alias("page"), F.lit("item").alias("kind"))
-    return items.unionByName(questions)
-
-
-def fill_budget(items: DataFrame, minutes: float, max_cost: float | None = None) -> DataFrame:
-    """(page, value, cost): greedy by value density, skipping what doesn't fit and going on. items: one plan's candidates."""
+    rank = F.struct((-F.col("score")).alias("s"), F.col("cost_min").alias("c"), F.col("page").alias("p"))
+    left = scored.filter("type <> 'question'").select("page", F.col("cost_min").cast("double").alias("cost"), F.coalesce(F.col("pinned"), F.lit(False)).alias("pinned"), rank.alias("rank"))
+    taken, spent, last = [], 0.0, None
+    while len(taken) < budgets["max_items"]:
+        fits = left.filter(F.col("pinned") | (F.col("page") == root) | (F.lit(spent) + F.col("cost") <= budgets["max_cost_min"]))
+        if last is not None:
+            fits = fits.filter(F.col("rank") > F.struct(F.lit(last.s).alias("s"), F.lit(last.c).alias("c"), F.lit(last.p).alias("p")))
+        if not (got := fits.orderBy("rank").limit(1).collect()):
+            break
+        taken, spent, last = [*taken, (got[0].page, "item")], spent + got[0].cost, got[0]["rank"]
+    return scored.sparkSession.createDataFrame(taken, "page string, kind string").unionByName(questions)
+
+
+def fill_budget(items: DataFrame, minutes: float, max_cost: float | None = None, block: int = 4096) -> DataFrame:
+    """(page, value, cost): greedy by value density, skipping what doesn't fit and going on. items: (page, value, cost).
+
+    Items without cost always fit. The others are read in order, ``block`` at a time and only those that still fit, until none does;
+    what is taken is bounded by the minutes.
+    """
     if max_cost is not None:
         items = items.filter(F.col("cost") <= max_cost)
-    x = F.struct((-F.col("value") / F.greatest("cost", F.lit(0.1))).alias("d"), "cost", "page", "value")
-    kind = "struct<left:double,got:array<struct<page:string,value:double,cost:double>>>"
-
-    def take(s: Column, x: Column) -> Column:
-        one = F.struct(x.page.alias("page"), x.value.cast("double").alias("value"), x.cost.cast("double").alias("cost"))
-        return F.when(x.cost <= s.left, F.struct((s.left - x.cost).alias("left"), F.array_append(s.got, one).alias("got")).cast(kind)).otherwise(s)
-
-    start = F.struct(F.lit(float(minutes)).alias("left"), F.array().cast("array<struct<page:string,value:double,cost:double>>").alias("got")).cast(kind)
-    return items.agg(F.array_sort(F.collect_list(x)).alias("xs")).select(F.explode(F.aggregate("xs", start, take).got).alias("o")).select("o.*")
+    items = items.select("page", F.col("value").cast("double").alias("value"), F.col("cost").cast("double").alias("cost"))
+    rank = F.struct((-F.col("value") / F.greatest("cost", F.lit(0.1))).alias("d"), F.col("cost").alias("c"), F.col("page").alias("p"))
+    ranked, left, last, taken = items.filter("cost > 0").withColumn("rank", rank), float(minutes), None, []
+    while True:
+        fits = ranked.filter(F.col("cost") <= left)
+        if last is not None:
+            fits = fits.filter(F.col("rank") > F.struct(F.lit(last.d).alias("d"), F.lit(last.c).alias("c"), F.lit(last.p).alias("p")))
+        got = fits.orderBy("rank").limit(block).collect()
+        for r in got:
+            if r.cost <= left:
+                left -= r.cost
+                taken.append((r.page, r.value, r.cost))
+        if len(got) < block:
+            break
+        last = got[-1]["rank"]
+    return items.sparkSession.createDataFrame(taken, "page string, value double, cost double").unionByName(items.filter("cost <= 0"))
 
 
 def interleave(items: DataFrame, bucket: Column, order: str) -> DataFrame:
-    """Adds position: round robin over buckets in order of first appearance, stable within a bucket."""
+    """Adds position: round robin over buckets in order of first appearance, stable within a bucket.
+
+    A turn's items are ranked within the turn; the items of all turns before are counted from the buckets' sizes, so no
+    window spans all items.
+    """
     x = items.withColumn("bucket", bucket)
     x = x.withColumn("turn", F.row_number().over(Window.partitionBy("bucket").orderBy(order))).withColumn("first", F.min(order).over(Window.partitionBy("bucket")))
-    return x.withColumn("position", F.row_number().over(Window.orderBy("turn", "first"))).drop("turn", "first", "bucket")
+    turns = x.groupBy("turn").agg(F.count(F.lit(1)).alias("many")).withColumn("cell", F.floor(F.col("turn") / 65_536))
+    cells = turns.groupBy("cell").agg(F.sum("many").alias("all"))  # a row for 65,536 turns
+    cells = cells.select("cell", (F.sum("all").over(Window.orderBy("cell")) - F.col("all")).alias("base"))
+    before = turns.join(cells, "cell").select("turn", (F.col("base") + F.sum("many").over(Window.partitionBy("cell").orderBy("turn")) - F.col("many")).alias("before"))
+    ranked = x.withColumn("place", F.row_number().over(Window.partitionBy("turn").orderBy("first")))
+    return ranked.join(before, "turn").withColumn("position", (F.col("before") + F.col("place")).cast("int")).drop("turn", "first", "bucket", "place", "before")
 
 
 def accessibility(attempts: DataFrame) -> DataFrame:

@@ -2,31 +2,39 @@
 
 from __future__ import annotations
 
+import atexit
+import itertools
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 
 
-def _cut(df: DataFrame, name: str) -> DataFrame:
-    """Ends the lineage in the folder the cluster names (spark.checkpoint.dir); without one the plan just grows."""
-    at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        return df
-    path = f"{at.rstrip('/')}/graph/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset, as in tests on one machine."""
+    if at := spark.conf.get("spark.checkpoint.dir", None):
+        return at.rstrip("/")
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not current.isDefined():
+        made = tempfile.mkdtemp(prefix="loomstone-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(made)
+        return shared_dir(spark)
+    return current.get().rstrip("/")
 
 
-def _held(df: DataFrame, name: str) -> DataFrame:
-    """As _cut, but without such a folder the executors keep the rows: loops over it stay linear."""
-    cut = _cut(df, name)
-    return df.localCheckpoint() if cut is df else cut
+def held(df: DataFrame, name: str) -> DataFrame:
+    """Ends the lineage in a table in the shared folder: loops over it stay linear and it survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/graph/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -51,7 +59,7 @@ def pagerank(pairs: DataFrame, seeds: DataFrame, damping: float = 0.5, iteration
     so no mass dangles; a fixed number of rounds, each one join and one sum on the same key."""
     edges = both_ways(pairs)
     out = edges.groupBy("a").agg(F.sum("w").alias("out"))
-    step = _held(edges.join(out, "a").select("a", "b", (F.col("w") / F.col("out")).alias("p")), "step")
+    step = held(edges.join(out, "a").select("a", "b", (F.col("w") / F.col("out")).alias("p")), "step")
     inside = seeds.join(out.select(F.col("a").alias("node")), "node", "left_semi")
     total = inside.agg(F.sum("mass").alias("total"))
     s = inside.crossJoin(F.broadcast(total)).select("node", (F.col("mass") / F.col("total")).alias("s"))
@@ -60,7 +68,7 @@ def pagerank(pairs: DataFrame, seeds: DataFrame, damping: float = 0.5, iteration
         flow = rank.join(step, rank.node == step.a).groupBy(F.col("b").alias("node")).agg((F.sum(F.col("score") * F.col("p")) * damping).alias("score"))
         rank = flow.unionByName(s.select("node", (F.col("s") * (1 - damping)).alias("score"))).groupBy("node").agg(F.sum("score").alias("score"))
         if i % 4 == 3:
-            rank = _held(rank, f"rank{i}")
+            rank = held(rank, f"rank{i}")
     return rank
 
 
@@ -77,15 +85,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(pairs: DataFrame) -> DataFrame:
     """(node, label): the least node of each component, by large-star and small-star steps until nothing changes."""
-    pairs = _held(pairs.select("a", "b"), "pairs")
-    edges = _held(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges0")
+    pairs = held(pairs.select("a", "b"), "pairs")
+    edges = held(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges0")
     before, step = None, 0
     while True:
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).collect()[0])
         if now == before or not now[0]:
             break
         before, step = now, step + 1
-        edges = _held(_star(_held(_star(edges, large=True), f"large{step}"), large=False), f"edges{step}")
+        edges = held(_star(held(_star(edges, large=True), f"large{step}"), large=False), f"edges{step}")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     return nodes.join(edges.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
@@ -99,14 +107,14 @@ def component_sizes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def betweenness(pairs: DataFrame, nodes_bound: int = 50_000) -> DataFrame:
     """(node, betweenness): unweighted shortest paths, scaled by (n - 1)(n - 2), six decimals.
 
-    Sources are spread over tasks; each task holds the adjacency, whose size is checked: beyond ``nodes_bound`` nodes the exact
-    computation is refused (its cost is nodes times edges).
+    Sources are spread over tasks; each task holds the adjacency, whose size is checked: beyond ``nodes_bound`` nodes the same sums are
+    made by joins, block by block of sources, so nothing but the tables grows. The cost is nodes times edges either way.
     """
     spark = pairs.sparkSession
     nodes = both_ways(pairs).select(F.col("a").alias("node")).distinct()
     n = nodes.count()
     if n > nodes_bound:
-        raise ValueError(f"{n} nodes: exact betweenness is for at most {nodes_bound}")
+        return _betweenness_by_joins(pairs, held(nodes, "nodes"), n)
     found = pairs.select("a", "b").distinct().toPandas()
     names, ends = np.unique(np.concatenate([found["a"].to_numpy(), found["b"].to_numpy()]), return_inverse=True)
     one, other = ends[: len(found)].astype(np.int32), ends[len(found) :].astype(np.int32)
@@ -145,13 +153,63 @@ def betweenness(pairs: DataFrame, nodes_bound: int = 50_000) -> DataFrame:
     return nodes.join(part.groupBy("node").agg(F.sum("c").alias("c")), "node", "left").select("node", scalars.r6(F.coalesce("c", F.lit(0.0)) * scale).alias("betweenness"))
 
 
+def _betweenness_by_joins(pairs: DataFrame, nodes: DataFrame, n: int, sources: int = 1_000) -> DataFrame:
+    """betweenness with tables (source, node) for ``sources`` sources at a time: paths are counted level by level, shares come back."""
+    edges = held(both_ways(pairs).select("a", "b").distinct(), "both")
+    blocks = -(-n // sources)
+    total = None
+    for block in range(blocks):
+        front = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == block).select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths"))
+        levels = [held(front, "level0")]
+        seen = levels[0].select("s", "node")
+        while not levels[-1].isEmpty():
+            step = levels[-1].join(edges, levels[-1]["node"] == edges["a"]).groupBy("s", F.col("b").alias("node")).agg(F.sum("paths").alias("paths"))
+            levels.append(held(step.join(seen, ["s", "node"], "left_anti"), f"level{len(levels)}"))
+            seen = held(seen.unionByName(levels[-1].select("s", "node")), "seen")
+        share = levels[-1].withColumn("share", F.lit(0.0))
+        for i in range(len(levels) - 2, 0, -1):
+            # what a level passes on to the one before it: paths(v) (1 + share(w)) / paths(w) for each edge v-w
+            mine = levels[i].join(share.select("s", "node", "share"), ["s", "node"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+            mine = held(mine, "share")
+            part = mine.groupBy("node").agg(F.sum("share").alias("c"))
+            total = part if total is None else held(total.unionByName(part).groupBy("node").agg(F.sum("c").alias("c")), "total")
+            down = mine.select("s", F.col("node").alias("w"), ((1 + F.col("share")) / F.col("paths")).alias("f")).join(edges, F.col("w") == F.col("a"))
+            before = levels[i - 1].select("s", F.col("node").alias("b"), "paths")
+            share = down.join(before, ["s", "b"]).groupBy("s", F.col("b").alias("node")).agg(F.sum(F.col("f") * F.col("paths")).alias("share"))
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    return nodes.join(total, "node", "left").select("node", scalars.r6(F.coalesce("c", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def heaviest_forest(edges: DataFrame) -> DataFrame:
+    """The edges (src, dst, weight) of the spanning forest that a sweep from heavy to light, ties by (src, dst), would keep.
+
+    Rounds: every component takes the first of its outgoing edges in that order, and components linked by those become one.
+    Components at least halve each round.
+    """
+    left = held(edges.filter("src <> dst").withColumn("la", F.col("src")).withColumn("lb", F.col("dst")), "left")
+    forest, turn = None, 0
+    order = F.struct(-F.col("weight"), "src", "dst")
+    while not left.isEmpty():
+        ends = left.select("src", "dst", "weight", F.explode(F.array("la", "lb")).alias("c"))
+        best = ends.groupBy("c").agg(F.min_by(F.struct("src", "dst", "weight"), order).alias("e")).select("e.*").distinct()
+        best = held(best.join(left, ["src", "dst", "weight"]).select("src", "dst", "weight", "la", "lb").dropDuplicates(["src", "dst"]), f"best{turn}")
+        took = best.select("src", "dst", "weight")
+        forest = took if forest is None else forest.unionByName(took)
+        label = held(components(best.select(F.col("la").alias("a"), F.col("lb").alias("b"))), f"label{turn}")
+        x, y = label.select(F.col("node").alias("la"), F.col("label").alias("na")), label.select(F.col("node").alias("lb"), F.col("label").alias("nb"))
+        moved = left.join(x, "la", "left").join(y, "lb", "left").select("src", "dst", "weight", F.coalesce("na", "la").alias("la"), F.coalesce("nb", "lb").alias("lb"))
+        left, turn = held(moved.filter("la <> lb"), f"left{turn}"), turn + 1
+    return edges.limit(0).select("src", "dst", "weight") if forest is None else forest
+
+
 def persistence(edges: DataFrame, rows_bound: int = 5_000_000) -> DataFrame:
     """(src, dst, weight, small_side, large_side): merges of a sweep from heavy to light edges, ties by (src, dst).
 
-    The sweep is sequential; its input, a spanning forest's worth at most, is bounded by ``rows_bound`` edges, which is checked.
+    The merges are the edges of the heaviest spanning forest; beyond ``rows_bound`` edges it is found first by joins, so the sweep, which is
+    sequential, sees fewer edges than there are nodes and keeps two numbers a node.
     """
-    if (n := edges.count()) > rows_bound:
-        raise ValueError(f"{n} edges: the sweep is for at most {rows_bound}")
+    if edges.count() > rows_bound:
+        edges = heaviest_forest(edges.groupBy("src", "dst").agg(F.max("weight").alias("weight")))
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(batches)
@@ -183,14 +241,14 @@ def persistence(edges: DataFrame, rows_bound: int = 5_000_000) -> DataFrame:
     return edges.select("src", "dst", "weight").repartition(1).mapInPandas(sweep, f"src {kind}, dst {kind}, weight double, small_side long, large_side long")
 
 
-def fragile_bridges(edges: DataFrame, limit: int = 10) -> DataFrame:
-    return persistence(edges).filter("small_side >= 2").orderBy("weight", "src", "dst").limit(limit)
+def fragile_bridges(edges: DataFrame, limit: int = 10, rows_bound: int = 5_000_000) -> DataFrame:
+    return persistence(edges, rows_bound).filter("small_side >= 2").orderBy("weight", "src", "dst").limit(limit)
 
 
-def structural_gaps(edges: DataFrame, community: DataFrame, articulation: DataFrame, limit: int = 8, min_size: int = 2) -> DataFrame:
+def structural_gaps(edges: DataFrame, community: DataFrame, articulation: DataFrame, limit: int = 8, min_size: int = 2, first: int = 64) -> DataFrame:
     """(ca, cb, rep_a, rep_b, deficit, expected, actual): pairs of communities with less weight between them than degrees suggest.
 
-    community: (node, community); articulation: (node, betweenness). Pairs are of communities, a summary table.
+    community: (node, community); articulation: (node, betweenness). Exact at any number of communities, without listing their pairs.
     """
     ends = edges.select(F.col("src").alias("node"), "weight").unionByName(edges.select(F.col("dst").alias("node"), "weight"))
     degree = ends.groupBy("node").agg(F.sum("weight").alias("k"))
@@ -201,12 +259,33 @@ def structural_gaps(edges: DataFrame, community: DataFrame, articulation: DataFr
     by = by.join(rep, "community").filter((F.col("size") >= min_size) & (F.col("community") >= 0)).select("community", "k", "rep")
     c = lambda side, n: community.select(F.col("node").alias(side), F.col("community").alias(n))
     inter = edges.join(c("src", "x"), "src").join(c("dst", "y"), "dst").filter("x <> y").groupBy(F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb")).agg(F.sum("weight").alias("actual"))
-    a = by.select(F.col("community").alias("ca"), F.col("k").alias("ka"), F.col("rep").alias("rep_a"))
-    b = by.select(F.col("community").alias("cb"), F.col("k").alias("kb"), F.col("rep").alias("rep_b"))
-    gaps = a.join(b, F.col("ca") < F.col("cb")).join(inter, ["ca", "cb"], "left").crossJoin(F.broadcast(total))
-    gaps = gaps.withColumn("expected", F.col("ka") * F.col("kb") / (2 * F.col("total"))).withColumn("actual", F.coalesce("actual", F.lit(0.0)))
-    gaps = gaps.withColumn("deficit", F.col("expected") - F.col("actual")).filter("deficit > 0")
-    return gaps.orderBy(F.desc("deficit"), "ca", "cb").limit(limit).select("ca", "cb", "rep_a", "rep_b", *[scalars.r6(F.col(x)).alias(x) for x in ("deficit", "expected", "actual")])
+    by, inter = held(by, "communities"), held(inter, "between")
+    m = total.collect()[0][0]
+    c2 = lambda n: by.select(F.col("community").alias(n), F.col("k").alias("k" + n), F.col("rep").alias("rep_" + n[1]))
+    near = inter.join(c2("ca"), "ca").join(c2("cb"), "cb")
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        x = pairs.withColumn("expected", F.col("kca") * F.col("kcb") / (2 * m)).withColumn("deficit", F.col("expected") - F.col("actual")).filter("deficit > 0")
+        return x.orderBy(F.desc("deficit"), "ca", "cb").limit(limit)
+
+    # Pairs with an edge are looked at one by one. Of the others the gap is the expected weight, so the greatest are among the heaviest
+    # communities: once the limit-th gap found reaches what the heaviest and the first left out could have, no pair is missed.
+    many = by.count()
+    while True:
+        heavy = by.orderBy(F.desc("k"), "community").limit(first)
+        one = heavy.agg(F.collect_list(F.struct("community", "k", "rep")).alias("xs"))  # at most ``first`` rows
+        two = one.select("xs", F.explode("xs").alias("x")).select("x", F.explode("xs").alias("y")).filter(F.col("x.community") < F.col("y.community"))
+        far = two.select(F.col("x.community").alias("ca"), F.col("y.community").alias("cb"), F.col("x.k").alias("kca"), F.col("y.k").alias("kcb"), F.col("x.rep").alias("rep_a"), F.col("y.rep").alias("rep_b"))
+        far = far.join(inter.select("ca", "cb"), ["ca", "cb"], "left_anti").withColumn("actual", F.lit(0.0))
+        top = ranked(near.select(*far.columns).unionByName(far))
+        if many <= first:
+            break
+        edge = by.orderBy(F.desc("k"), "community").limit(first + 1).select("k").collect()  # rows in order
+        found = top.agg(F.count(F.lit(1)).alias("n"), F.min("deficit").alias("least")).collect()[0]
+        if found.n == limit and found.least > edge[0].k * edge[-1].k / (2 * m):
+            break
+        first *= 2
+    return top.select("ca", "cb", "rep_a", "rep_b", *[scalars.r6(F.col(x)).alias(x) for x in ("deficit", "expected", "actual")])
 
 
 def distances(pairs: DataFrame, root, most: int = 3) -> DataFrame:
@@ -241,17 +320,23 @@ def canonical_labels(labels: DataFrame) -> DataFrame:
     return labels.join(new, "community", "left").select("node", F.coalesce("new", F.lit(-1)).cast("int").alias("community"))
 
 
-def close_sketches(sketches: DataFrame, most: int = 8) -> DataFrame:
-    """(a, b, bits): pairs of (id, h) at most ``most`` bits apart, exactly, through shared bands.
+def close_sketches(sketches: DataFrame, most: int = 8, agree: int = 2) -> DataFrame:
+    """(a, b, bits): pairs of (id, h) at most ``most`` bits apart, exactly.
 
-    Equal sketches are represented once in the banding (least id); the members of such a class follow it. A constant sketch, 0, is that
-    of empty texts and is left out.
+    A sketch is cut into most + agree bands; two sketches that differ in ``most`` bits agree in ``agree`` bands at least, so they meet under
+    a key of some ``agree`` bands. More bands a key make more keys and smaller buckets. Equal sketches are represented once (least id);
+    the members of such a class follow it. A constant sketch, 0, is that of empty texts and is left out.
     """
-    solid = sketches.filter("h <> 0")
+    solid = held(sketches.filter("h <> 0").select("id", "h"), "sketches")
     reps = solid.groupBy("h").agg(F.min("id").alias("id"))
-    b = reps.select("id", "h", F.explode(scalars.bands(F.col("h"))).alias("x")).select("id", "h", "x.band", "x.key")
-    pairs = b.alias("l").join(b.alias("r"), ["band", "key"]).filter("l.id < r.id").select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), scalars.hamming(F.col("l.h"), F.col("r.h")).alias("bits"))
-    far = pairs.filter(F.col("bits") <= most).distinct()
+    n = most + agree
+    cut = [round(64 * i / n) for i in range(n + 1)]
+    band = [F.shiftrightunsigned("h", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in itertools.pairwise(cut)]
+    keys = F.array(*[F.xxhash64(F.lit(i), *[band[k] for k in which]) for i, which in enumerate(itertools.combinations(range(n), agree))])
+    b = held(reps.select("id", "h", F.explode(keys).alias("key")), "bands")
+    x, y = b.select("key", F.col("id").alias("a"), F.col("h").alias("ha")), b.select("key", F.col("id").alias("b"), F.col("h").alias("hb"))
+    bits = scalars.hamming(F.col("ha"), F.col("hb"))
+    far = x.join(y, "key").filter((F.col("a") < F.col("b")) & (bits <= most)).select("a", "b", bits.alias("bits")).distinct()
     same = solid.join(reps.select("h", F.col("id").alias("a")), "h").filter("id <> a").select("a", F.col("id").alias("b"), F.lit(0).alias("bits"))
     return far.unionByName(same)
 

@@ -11,11 +11,20 @@ from ..functions import scalars
 def quotations(texts: DataFrame, quotes: DataFrame, run: int = 4) -> DataFrame:
     """(doc_id, item_id): texts that contain a quote, both reduced to lower-case ASCII letters and digits.
 
-    A quote's first ``run`` words are its key; a text has a key for each of its word runs. Quotes shorter than that are not looked up.
+    A quote may begin and end inside a word of the text, so its key is the run of up to ``run`` words after its first one, which the text has
+    as whole words. Quotes of one or two words have no such run: each of them is looked for in every text, and those quotes are
+    broadcast, a bounded list of names as they are.
     """
-    q = quotes.select("item_id", scalars.plain_key(F.col("text")).alias("quote")).withColumn("ws", F.split("quote", " ")).filter(F.size("ws") >= run)
-    q = q.select("item_id", "quote", F.xxhash64(F.array_join(F.slice("ws", 1, run), " ")).alias("key"))
-    t = texts.select("doc_id", scalars.plain_key(F.col("text")).alias("body")).withColumn("ws", F.split("body", " "))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - (run - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("ws", i, F.lit(run)), " ")))
-    hit = t.select("doc_id", F.explode(F.array_distinct(runs)).alias("key")).join(q, "key").select("doc_id", "item_id", "quote")
-    return hit.join(t.select("doc_id", "body"), "doc_id").filter(F.contains("body", "quote")).select("doc_id", "item_id").distinct()
+    q = quotes.select("item_id", scalars.plain_key(F.col("text")).alias("quote")).filter("quote <> ''").withColumn("ws", F.split("quote", " "))
+    q = q.withColumn("width", F.least(F.lit(run), F.size("ws") - 2))
+    t = texts.select("doc_id", scalars.plain_key(F.col("text")).alias("body"))
+    widths = [r[0] for r in q.filter("width >= 1").select("width").distinct().collect()]  # at most ``run``
+    long = q.filter("width >= 1").select("item_id", "quote", "width", F.xxhash64("width", F.array_join(F.slice("ws", F.lit(2), F.col("width")), " ")).alias("key"))
+    runs = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice(w, i, F.lit(n)), " ")))
+    keys = F.transform(F.array(F.split("body", " ")), lambda w: F.array_distinct(F.concat(*[runs(w, n) for n in widths])))[0] if widths else F.array().cast("array<bigint>")
+    hit = t.select("doc_id", F.explode(keys).alias("key")).join(long, "key").select("doc_id", "item_id", "quote")
+    found = hit.join(t, "doc_id").filter(F.contains("body", "quote")).select("doc_id", "item_id")
+    short = q.filter("width < 1").select("item_id", "quote")
+    if short.isEmpty():
+        return found.distinct()
+    return found.unionByName(t.join(F.broadcast(short), F.contains("body", "quote")).select("doc_id", "item_id")).distinct()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,4 +141,10 @@ def nearest_rank(samples: Column, p: float) -> Column:
     return F.element_at(F.array_sort(samples), F.least(n, F.floor(n * F.lit(p)).cast("int") + 1))
 
 
-LN2 = math.log(2)
+def percentiles(rows: DataFrame, key: str, value: str, wanted: dict[str, float]) -> DataFrame:
+    """(key, a column each): nearest ranks from counts by value, so no group's values are gathered."""
+    counts = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(key).orderBy(value))
+    x = counts.withColumn("_upto", upto).withColumn("_n", F.sum("_c").over(Window.partitionBy(key)))
+    at = lambda p: F.min(F.when(F.col("_upto") >= F.least(F.col("_n"), F.floor(F.col("_n") * F.lit(p)) + 1), F.col(value)))
+    return x.groupBy(key).agg(*[at(p).alias(name) for name, p in wanted.items()])

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import checksums, scalars, text
+from ..functions import scalars, text
 from ..functions.scalars import r6
-from ..operators import cognitive, curation, detect, graph, quotes, retrieval, usage
+from ..operators import cognitive, curation, graph, quotes, readmodels, retrieval, usage
 from ..sources import bundle
 from ..streaming import events as stream
 
@@ -53,14 +53,6 @@ def k01_bm25(spark, sf):
     return retrieval.bm25(t(spark, sf, "documents"), "doc_id", "text", QUESTION).select("doc_id", r6(F.col("score")).alias("score"))
 
 
-@query(f"""WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0)
-SELECT vec_id, {R6.format('list_cosine_similarity(e.embedding::DOUBLE[], q.v)')} AS score FROM embeddings e, q""")
-def k02_cosine(spark, sf):
-    e = t(spark, sf, "embeddings")
-    q = e.filter("vec_id = 0").select(F.col("embedding").alias("q"))
-    return e.crossJoin(F.broadcast(q)).select("vec_id", r6(scalars.cosine(F.col("embedding"), F.col("q"))).alias("score"))  # q is one row
-
-
 @query(f"""SELECT doc_id, {R6.format("len(list_intersect(['moron', 'pathetic', 'thing'], ts)) / 3.0")} AS score FROM (SELECT doc_id, {TERMS} AS ts FROM documents)""")
 def c26_overlap(spark, sf):
     q = F.array(*[F.lit(w) for w in ("thing", "moron", "pathetic")])
@@ -105,28 +97,6 @@ def k03_entity_weights(spark, sf):
     return retrieval.entity_weights(m, m.filter("entity <= 40").select("entity")).select("page", r6(F.col("weight")).alias("weight"))
 
 
-@query(f"""WITH {MENTIONS}, k AS (SELECT m.*, -log2(least(1.0, df / greatest(corpus, 1))) AS s FROM m JOIN df USING (entity), c WHERE df BETWEEN 2 AND 30),
-p AS (SELECT a.page, b.page AS other, {R6.format('sum(b.n * b.s)')} AS score FROM k a JOIN k b USING (entity) WHERE a.page <> b.page GROUP BY ALL)
-SELECT page, count(*) AS others, sum(score)::DOUBLE > 0 AS any_score FROM p GROUP BY page""")
-def e04_related_pages(spark, sf):
-    none = spark.createDataFrame([], "src long, dst long")
-    r = retrieval.related_pages(_mentions(spark, sf), none, 30, limit=1 << 30)
-    return r.groupBy("page").agg(F.count(F.lit(1)).alias("others"), (F.sum("score") > 0).alias("any_score"))
-
-
-@query()
-def e04_related_pages_all(spark, sf):
-    """All shared entities and the scores; e04_related_pages keeps the bound of its SQL."""
-    none = spark.createDataFrame([], "src long, dst long")
-    return retrieval.related_pages(_mentions(spark, sf), none, limit=1 << 30).select("page", "other", r6(F.col("score")).alias("score"))
-
-
-@query()
-def k05_descend(spark, sf):
-    docs = t(spark, sf, "documents").select(F.col("doc_id").alias("page"), F.col("source").alias("dir"), F.substring_index("text", "\n", 1).alias("l0"), F.col("text").alias("l1"))
-    return retrieval.descend(docs, ["the", "of", "thing"]).select("dir", "page", r6(F.col("score")).alias("score"), "rank")
-
-
 @query(f"""WITH x AS (SELECT doc_id, doc_id % 9 AS pos, (doc_id % 11) / 10.0 AS j, (doc_id % 7) / 6.0 AS d, doc_id % 50 = 0 AS s, doc_id % 60 = 1 AS k FROM documents),
 y AS (SELECT *, 0.4 / (1 + pos) + 0.3 * j + 0.3 * (1 - d) AS score FROM x)
 SELECT doc_id, {R6.format('score')} AS score, CASE WHEN s THEN 'UPDATE' WHEN k THEN 'RECYCLE' WHEN score < 0.55 THEN 'ADD' WHEN score >= 0.82 THEN 'UPDATE' ELSE 'ADD_AMBIGUOUS' END AS op FROM y""")
@@ -143,28 +113,6 @@ def e19_quotations(spark, sf):
 
 # ---- text
 
-@query()
-def b01_chunks(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", F.posexplode(text.chunks(F.col("text"), "\n")).alias("ord", "chunk"))
-    return d.select("doc_id", "ord", F.char_length("chunk").alias("chars"))
-
-
-@query("SELECT p.page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages p")
-def b02_page_links(spark, sf):
-    return t(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target"))
-
-
-@query("SELECT unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target, count(*) AS cites FROM pages GROUP BY 1")
-def f18_in_degree(spark, sf):
-    return b02_page_links(spark, sf).groupBy("target").agg(F.count(F.lit(1)).alias("cites"))
-
-
-@query("SELECT regexp_extract(html, '<title>([^<]*)</title>', 1).lower() AS key, min(url) AS path FROM pages WHERE regexp_extract(html, '<title>([^<]*)</title>', 1) <> '' GROUP BY 1")
-def a04_title_index(spark, sf):
-    p = t(spark, sf, "pages").select(F.col("url").alias("path"), F.lower(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("key"))
-    return p.filter("key <> ''").groupBy("key").agg(F.min("path").alias("path"))
-
-
 @query(f"SELECT word, count(*) AS n, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TERMS}) AS word FROM documents) GROUP BY word HAVING count(DISTINCT doc_id) >= 5")
 def k14_inverted_index(spark, sf):
     p = retrieval.postings(t(spark, sf, "documents"), "doc_id", "text").filter("term IS NOT NULL")
@@ -193,29 +141,11 @@ def c17_compression_distance(spark, sf):
     return d.crossJoin(F.broadcast(first)).select("doc_id", text.ncd("text", "other").alias("ncd"))  # one row
 
 
-@query()
-def b10_analyse(spark, sf):
-    d = t(spark, sf, "documents").select(F.col("doc_id").alias("page"), detect.matches(F.col("text")).alias("matches"))
-    return detect.annex(d)
-
-
-@query()
-def c02_checksums(spark, sf):
-    o = t(spark, sf, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 11, "0").alias("s"))
-    return o.select("s", checksums.valid_cpf(F.col("s")).alias("cpf"), checksums.valid_issn(F.right("s", F.lit(8))).alias("issn"), checksums.valid_isbn(F.right("s", F.lit(10))).alias("isbn"))
-
-
 @query("SELECT l_partkey AS part, 'thm_' || substr(sha256(string_agg(s, chr(10) ORDER BY s)), 1, 12) AS id FROM (SELECT DISTINCT l_partkey, l_suppkey::VARCHAR AS s FROM lineitem) GROUP BY l_partkey")
 def c32_member_id(spark, sf):
     return t(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.collect_set(F.col("l_suppkey").cast("string")).alias("m")).select("part", scalars.member_id(F.col("m")).alias("id"))
 
 
-@query()
-def c30_identifiers(spark, sf):
-    o = t(spark, sf, "orders").select((F.col("o_orderkey") * F.lit(1_000_003)).alias("v"))
-    return o.select("v", scalars.render_id(F.col("v")).alias("id"), scalars.parse_id(scalars.render_id(F.col("v"))).alias("back"))
-
-
 # ---- graph
 
 def _links(spark, sf) -> DataFrame:
@@ -241,56 +171,6 @@ def f19_hubs(spark, sf):
     return graph.hubs(graph.undirected(_links(spark, sf)))
 
 
-@query(f"""WITH {PAIRS}, o AS (SELECT a, sum(w) AS out FROM e GROUP BY a), st AS (SELECT e.a, e.b, w / out AS p FROM e JOIN o USING (a)),
-s AS (SELECT a AS node, 1.0 / count(*) OVER () AS s FROM o WHERE a <= 3),
-r1 AS (SELECT node, sum(x) AS x FROM (SELECT b AS node, 0.5 * s * p AS x FROM s JOIN st ON node = a UNION ALL SELECT node, 0.5 * s FROM s) GROUP BY node),
-r2 AS (SELECT node, sum(x) AS x FROM (SELECT b AS node, 0.5 * x * p AS x FROM r1 JOIN st ON node = a UNION ALL SELECT node, 0.5 * s FROM s) GROUP BY node)
-SELECT node, {R6.format('x')} AS score FROM r2""")
-def j02_pagerank(spark, sf):
-    seeds = t(spark, sf, "part").filter("p_partkey <= 3").select(F.col("p_partkey").alias("node"), F.lit(1.0).alias("mass"))
-    return graph.pagerank(graph.undirected(_links(spark, sf)), seeds, iterations=2).select("node", r6(F.col("score")).alias("score"))
-
-
-@query()
-def j02_pagerank_all(spark, sf):
-    """The default number of rounds; j02_pagerank keeps the two of its SQL."""
-    seeds = t(spark, sf, "part").filter("p_partkey <= 3").select(F.col("p_partkey").alias("node"), F.lit(1.0).alias("mass"))
-    return graph.pagerank(graph.undirected(_links(spark, sf)), seeds).select("node", r6(F.col("score")).alias("score"))
-
-
-def _sparse(spark, sf) -> DataFrame:
-    """One order in 40, only for j04 and j08, whose recursive SQL is over these pairs; the queries in _all are over all orders."""
-    li = t(spark, sf, "lineitem").filter("l_orderkey % 40 = 0")
-    return graph.undirected(graph.co_mentions(li.select(F.col("l_partkey").alias("page"), F.col("l_orderkey").alias("entity"))))
-
-
-SPARSE = PAIRS.replace("FROM lineitem)", "FROM lineitem WHERE l_orderkey % 40 = 0)")
-
-
-@query(f"WITH RECURSIVE {SPARSE}, r AS (SELECT DISTINCT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a) SELECT node, min(seen) AS label FROM r GROUP BY node")
-def j04_components(spark, sf):
-    return graph.components(_sparse(spark, sf))
-
-
-@query(f"WITH RECURSIVE {SPARSE}, r AS (SELECT min(a) AS node, 0 AS d FROM p UNION SELECT e.b, d + 1 FROM r JOIN e ON r.node = e.a WHERE d < 3) SELECT node, min(d)::INTEGER AS distance FROM r GROUP BY node")
-def j08_distances(spark, sf):
-    pairs = _sparse(spark, sf)
-    root = pairs.agg(F.min("a")).collect()[0][0]
-    return graph.distances(pairs, root, 3)
-
-
-@query()
-def j04_components_all(spark, sf):
-    return graph.components(graph.undirected(_links(spark, sf)))
-
-
-@query()
-def j08_distances_all(spark, sf):
-    pairs = graph.undirected(_links(spark, sf))
-    root = pairs.agg(F.min("a")).collect()[0][0]
-    return graph.distances(pairs, root, 3)
-
-
 @query()
 def j03_betweenness(spark, sf):
     return graph.betweenness(graph.undirected(_links(spark, sf)))
@@ -361,11 +241,6 @@ def f05_histogram(spark, sf):
     return usage.histogram(t(spark, sf, "events"), "value", 20.0)
 
 
-@query("SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
-def f06_activity(spark, sf):
-    return t(spark, sf, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
 def f07_latest(spark, sf):
     return usage.latest_by(t(spark, sf, "events"), "user_id", "ts", "event_type", tie="event_id")
@@ -414,12 +289,6 @@ def f12_delayed_recall(spark, sf):
     return usage.delayed_recall(a).select("n", r6(F.col("rate")).alias("rate"))
 
 
-@query()
-def l01_expert_weights(spark, sf):
-    f = t(spark, sf, "events").select(F.col("event_type").alias("expert"), "ts", F.when(F.col("value") > 30, -1.0).otherwise(1.0).alias("loss"))
-    return usage.expert_weights(f).select("expert", r6(F.col("weight")).alias("weight"))
-
-
 @query("SELECT user_id AS ask_id, json_extract_string(props, '$.k')::BIGINT AS page, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS streams FROM events GROUP BY ALL")
 def s02_trace(spark, sf):
     e = t(spark, sf, "events").select(F.col("user_id").alias("ask_id"), F.get_json_object("props", "$.k").cast("long").alias("page"), F.col("event_type").alias("stream"))
@@ -427,21 +296,6 @@ def s02_trace(spark, sf):
     return usage.trace(e, none).drop("outcome")
 
 
-@query("SELECT l_returnflag, list_sort(list(l_quantity))[least(count(*), floor(count(*) * 0.95)::BIGINT + 1)] AS p95, list_sort(list(l_quantity))[least(count(*), floor(count(*) * 0.5)::BIGINT + 1)] AS p50 FROM lineitem GROUP BY 1")
-def g15_percentiles(spark, sf):
-    # nearest ranks from counts by value: no group's values are gathered
-    c = t(spark, sf, "lineitem").groupBy("l_returnflag", "l_quantity").count()
-    w = Window.partitionBy("l_returnflag").orderBy("l_quantity")
-    c = c.withColumn("upto", F.sum("count").over(w)).withColumn("n", F.sum("count").over(Window.partitionBy("l_returnflag")))
-    at = lambda p: F.min(F.when(F.col("upto") >= F.least(F.col("n"), F.floor(F.col("n") * F.lit(p)) + 1), F.col("l_quantity")))
-    return c.groupBy("l_returnflag").agg(at(0.95).alias("p95"), at(0.5).alias("p50"))
-
-
-@query("SELECT lang, source, count(*) AS n, count(DISTINCT text) AS distinct_texts FROM documents GROUP BY ALL")
-def f27_dashboard(spark, sf):
-    return t(spark, sf, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("distinct_texts"))
-
-
 # ---- practice
 
 def _attempts(spark, sf) -> DataFrame:
@@ -459,12 +313,6 @@ def m02_accessibility(spark, sf):
     return cognitive.accessibility(_attempts(spark, sf))
 
 
-@query()
-def m03_review_interval(spark, sf):
-    a = _attempts(spark, sf).groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", "result", "confidence"))).alias("xs"))
-    return a.select("item", r6(cognitive.review_interval(F.col("xs"), F.lit(90.0))).alias("days"))
-
-
 def _views(spark, sf) -> DataFrame:
     p, k = t(spark, sf, "part"), F.col("p_partkey")
     flag = lambda n: (k % n == 0)
@@ -490,12 +338,6 @@ def g07_working_set(spark, sf):
     return cognitive.working_set(scored, "1")
 
 
-@query()
-def g06_fill_budget(spark, sf):
-    p = t(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("page"), (F.col("p_retailprice") / 1000).alias("value"), F.col("p_size").cast("double").alias("cost"))
-    return cognitive.fill_budget(p, 120.0)
-
-
 @query("""WITH x AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS turn, min(p_partkey) OVER (PARTITION BY p_brand) AS first FROM part)
 SELECT p_partkey, row_number() OVER (ORDER BY turn, first)::INTEGER AS position FROM x""")
 def g08_interleave(spark, sf):
@@ -543,20 +385,127 @@ def f27_orphans(spark, sf):
     return curation.orphans(t(spark, sf, "part").select(F.col("p_partkey").alias("page")), e)
 
 
-@query()
+# ---- streams
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY event_type")
+def n01_event_counts(spark, sf):
+    e = stream.known_only(stream.read_events(spark, f"{sf}/events.parquet"), ("click", "purchase", "signup", "view"))
+    return stream.run_to_table(stream.counts(e), "complete")
+
+
+# ---- queries whose SQL is made of several parts
+
+@query(f"""WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0)
+SELECT vec_id, {R6.format('list_cosine_similarity(e.embedding::DOUBLE[], q.v)')} AS score FROM embeddings e, q ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.v) DESC, vec_id LIMIT 8""")
+def k02_cosine(spark, sf):
+    e = t(spark, sf, "embeddings")
+    row = e.filter("vec_id = 0").select("embedding").collect()[0]  # the question's vector
+    query_vector = F.array(*[F.lit(float(x)) for x in row.embedding])
+    return retrieval.nearest(e, "vec_id", "embedding", query_vector).select("vec_id", r6(F.col("score")).alias("score"))
+
+
+@query(f"""WITH {MENTIONS}, l AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 50 AS b FROM lineitem WHERE l_linenumber = 7), k AS (SELECT m.*, -log2(least(1.0, df / greatest(corpus, 1))) AS s FROM m JOIN df USING (entity), c WHERE df >= 2),
+p AS (SELECT a.page, b.page AS other, sum(b.n * b.s) AS score FROM k a JOIN k b USING (entity) WHERE a.page <> b.page GROUP BY ALL)
+SELECT page, other, {R6.format('score')} AS score FROM p WHERE NOT EXISTS (FROM l WHERE l.a = p.page AND l.b = p.other OR l.a = p.other AND l.b = p.page)""")
+def e04_related_pages(spark, sf):
+    linked = t(spark, sf, "lineitem").filter("l_linenumber = 7").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 50).alias("dst"))
+    return retrieval.related_pages(_mentions(spark, sf), linked, limit=1 << 30).select("page", "other", r6(F.col("score")).alias("score"))
+
+
+L_TERMS = TERMS.replace("text", "body")
+
+
+@query(f"""WITH x AS (SELECT doc_id AS page, source AS dir, 0 AS level, string_split(text, chr(10))[1] AS body FROM documents UNION ALL SELECT doc_id, source, 1, text FROM documents),
+d AS (SELECT page, dir, level, {L_TERMS} AS ts FROM x), c AS (SELECT page, dir, level, len(ts)::DOUBLE AS l, {', '.join(f"len([w FOR w IN ts IF w = '{q}'])::DOUBLE AS f{i}" for i, q in enumerate(["of", "the", "thing"]))} FROM d),
+s AS (SELECT count(*)::DOUBLE AS n, avg(l) AS a, {', '.join(f'count(*) FILTER (WHERE f{i} > 0)::DOUBLE AS n{i}' for i in range(3))} FROM c),
+b AS (SELECT page, dir, level, {' + '.join(f'(-(CASE WHEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n{i} + 0.5) / (n{i} + 0.5)) END) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * l / a)))' for i in range(3))} AS score FROM c, s WHERE f0 > 0 OR f1 > 0 OR f2 > 0),
+top AS (SELECT * FROM b WHERE level = 0 ORDER BY score, page LIMIT 40), best AS (SELECT dir, min(score) AS m FROM top GROUP BY dir ORDER BY m, dir LIMIT 3),
+deep AS (SELECT dir, page, score, row_number() OVER (PARTITION BY dir ORDER BY score, page) AS rank FROM b JOIN best USING (dir) WHERE level = 1 QUALIFY rank <= 4),
+shallow AS (SELECT dir, page, score, row_number() OVER (PARTITION BY dir ORDER BY score, page) AS rank FROM top JOIN best USING (dir) WHERE dir NOT IN (SELECT dir FROM deep) QUALIFY rank <= 4)
+SELECT dir, page, {R6.format('score')} AS score, rank::INTEGER AS rank FROM (FROM deep UNION ALL FROM shallow)""")
+def k05_descend(spark, sf):
+    docs = t(spark, sf, "documents").select(F.col("doc_id").alias("page"), F.col("source").alias("dir"), F.substring_index("text", "\n", 1).alias("l0"), F.col("text").alias("l1"))
+    return retrieval.descend(docs, ["the", "of", "thing"]).select("dir", "page", r6(F.col("score")).alias("score"), "rank")
+
+
+@query("""WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents),
+r AS (SELECT doc_id, list_reduce(ps, lambda acc, x: CASE WHEN length(string_split(acc, chr(31))[-1]) = 0 THEN acc || x WHEN length(string_split(acc, chr(31))[-1]) + length(x) > 1200 THEN acc || chr(31) || x ELSE acc || chr(10) || chr(10) || x END) AS packed FROM p),
+c AS (SELECT doc_id, [trim(y, chr(32) || chr(9) || chr(10) || chr(13)) FOR y IN string_split(packed, chr(31)) IF trim(y, chr(32) || chr(9) || chr(10) || chr(13)) <> ''] AS cs FROM r)
+SELECT doc_id, i::INTEGER AS ord, cs[i + 1] AS chunk FROM c, LATERAL (SELECT unnest(range(len(cs))) AS i)""")
+def b01_chunks(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.posexplode(text.chunks(F.col("text"), "\n")).alias("ord", "chunk"))
+
+
+def _rounds(n: int) -> str:
+    step = "r{i} AS MATERIALIZED (SELECT node, sum(x) AS x FROM (SELECT b AS node, 0.5 * x * p AS x FROM r{j} JOIN st ON node = a UNION ALL SELECT node, 0.5 * s FROM s) GROUP BY node)"
+    return ", ".join(["r0 AS MATERIALIZED (SELECT node, s AS x FROM s)", *[step.format(i=i, j=i - 1) for i in range(1, n + 1)]])
+
+
+@query(f"""WITH {PAIRS}, o AS (SELECT a, sum(w) AS out FROM e GROUP BY a), st AS MATERIALIZED (SELECT e.a, e.b, w / out AS p FROM e JOIN o USING (a)),
+s AS MATERIALIZED (SELECT a AS node, 1.0::DOUBLE / count(*) OVER () AS s FROM o WHERE a <= 3), {_rounds(20)} SELECT node, {R6.format('x')} AS score FROM r20""")
+def j02_pagerank(spark, sf):
+    seeds = t(spark, sf, "part").filter("p_partkey <= 3").select(F.col("p_partkey").alias("node"), F.lit(1.0).alias("mass"))
+    return graph.pagerank(graph.undirected(_links(spark, sf)), seeds).select("node", r6(F.col("score")).alias("score"))
+
+
+@query(f"""WITH RECURSIVE {PAIRS}, g AS MATERIALIZED (SELECT a, b FROM e), cc(node, label) USING KEY (node) AS (SELECT DISTINCT a, a FROM g UNION SELECT u.node, min(v.label) FROM recurring.cc u JOIN g ON g.a = u.node JOIN recurring.cc v ON v.node = g.b WHERE v.label < u.label GROUP BY u.node) SELECT node, label FROM cc""")
+def j04_components(spark, sf):
+    return graph.components(graph.undirected(_links(spark, sf)))
+
+
+@query(f"WITH RECURSIVE {PAIRS}, g AS MATERIALIZED (SELECT a, b FROM e), r AS (SELECT min(a) AS node, 0 AS d FROM p UNION SELECT g.b, d + 1 FROM r JOIN g ON r.node = g.a WHERE d < 3) SELECT node, min(d)::INTEGER AS distance FROM r GROUP BY node")
+def j08_distances(spark, sf):
+    pairs = graph.undirected(_links(spark, sf))
+    root = pairs.agg(F.min("a")).collect()[0][0]
+    return graph.distances(pairs, root, 3)
+
+
+@query("SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def f06_activity(spark, sf):
+    return readmodels.activity(t(spark, sf, "events"), "ts", "event_type")
+
+
+@query("SELECT l_returnflag, list_sort(list(l_quantity))[least(count(*), floor(count(*) * 0.95)::BIGINT + 1)] AS p95, list_sort(list(l_quantity))[least(count(*), floor(count(*) * 0.5)::BIGINT + 1)] AS p50 FROM lineitem GROUP BY 1")
+def g15_percentiles(spark, sf):
+    return usage.percentiles(t(spark, sf, "lineitem"), "l_returnflag", "l_quantity", {"p95": 0.95, "p50": 0.5})
+
+
+@query("""WITH RECURSIVE o AS (SELECT p_partkey::VARCHAR AS page, p_retailprice / 1000 AS value, p_size::DOUBLE AS cost, row_number() OVER (ORDER BY -(p_retailprice / 1000) / greatest(p_size, 0.1), p_size, p_partkey::VARCHAR) AS i FROM part),
+r AS (SELECT 0::BIGINT AS i, 120.0::DOUBLE AS rest, NULL::VARCHAR AS page UNION ALL SELECT o.i, CASE WHEN cost <= rest THEN rest - cost ELSE rest END, CASE WHEN cost <= rest THEN o.page END FROM r JOIN o ON o.i = r.i + 1)
+SELECT o.page, value, cost FROM r JOIN o USING (page)""")
+def g06_fill_budget(spark, sf):
+    p = t(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("page"), (F.col("p_retailprice") / 1000).alias("value"), F.col("p_size").cast("double").alias("cost"))
+    return cognitive.fill_budget(p, 120.0)
+
+
+@query("""WITH RECURSIVE f AS (SELECT event_type AS expert, CASE WHEN value > 30 THEN -1.0 ELSE 1.0 END AS loss, row_number() OVER (PARTITION BY event_type ORDER BY ts, CASE WHEN value > 30 THEN -1.0 ELSE 1.0 END) AS i FROM events),
+r AS (SELECT DISTINCT event_type AS expert, 0::BIGINT AS i, 1.0::DOUBLE AS w FROM events UNION ALL SELECT r.expert, f.i, least(2.0, greatest(0.5, w * exp(-0.25 * loss))) FROM r JOIN f ON f.expert = r.expert AND f.i = r.i + 1)
+SELECT expert, floor(arg_max(w, i) * 1e6 + 0.5) / 1e6 AS weight FROM r GROUP BY expert""")
+def l01_expert_weights(spark, sf):
+    f = t(spark, sf, "events").select(F.col("event_type").alias("expert"), "ts", F.when(F.col("value") > 30, -1.0).otherwise(1.0).alias("loss"))
+    return usage.expert_weights(f).select("expert", r6(F.col("weight")).alias("weight"))
+
+
+@query("""WITH RECURSIVE a AS (SELECT user_id AS item, event_type AS e, (event_id % 10) / 10.0::DOUBLE AS conf, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+r AS (SELECT DISTINCT user_id AS item, 0::BIGINT AS i, 1.0::DOUBLE AS days FROM events UNION ALL
+SELECT r.item, a.i, round(least(30.0, CASE a.e WHEN 'error' THEN CASE WHEN conf >= 0.7 THEN 0.5 ELSE 1.0 END WHEN 'purchase' THEN days * 2.2 ELSE days * 1.2 END), 2) FROM r JOIN a ON a.item = r.item AND a.i = r.i + 1)
+SELECT item, floor(arg_max(days, i) * 1e6 + 0.5) / 1e6 AS days FROM r GROUP BY item""")
+def m03_review_interval(spark, sf):
+    a = _attempts(spark, sf).groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", "result", "confidence"))).alias("xs"))
+    return a.select("item", r6(cognitive.review_interval(F.col("xs"), F.lit(90.0))).alias("days"))
+
+
+@query("""WITH u AS (SELECT DISTINCT string_split(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/') AS q FROM pages), x AS (SELECT array_to_string(q[1:i], '/') AS dir, q[i + 1] AS entry, i = len(q) - 1 AS leaf FROM u, LATERAL (SELECT unnest(range(len(q))) AS i))
+SELECT dir, coalesce(string_agg(DISTINCT entry, ',' ORDER BY entry) FILTER (WHERE NOT leaf), '') AS subdirectories, coalesce(string_agg(DISTINCT entry, ',' ORDER BY entry) FILTER (WHERE leaf), '') AS pages FROM x GROUP BY dir""")
 def a15_directory_index(spark, sf):
     p = t(spark, sf, "pages").select(F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "").alias("path"))
     return curation.directory_index(p)
 
 
-@query()
+@query(r"""WITH x AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') AS x FROM pages)
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS plain FROM x""")
 def a06_strip_html(spark, sf):
-    return t(spark, sf, "pages").select("page_id", F.char_length(bundle.strip_html(F.col("html"))).alias("chars"))
-
+    return t(spark, sf, "pages").select("page_id", bundle.strip_html(F.col("html")).alias("plain"))
 
-# ---- streams
 
-@query("SELECT event_type, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY event_type")
-def n01_event_counts(spark, sf):
-    e = stream.known_only(stream.read_events(spark, f"{sf}/events.parquet"), ("click", "purchase", "signup", "view"))
-    return stream.run_to_table(stream.counts(e), "complete")
+from . import knowledge  # noqa: E402, F401  its queries are added to those above

@@ -119,7 +119,7 @@ def ingest(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def strip_html(html):
     """Text of an HTML column: scripts and tags out, common references decoded, white space collapsed."""
-    x = F.regexp_replace(html, "(?is)<(script|style)\\b.*?</\\1\\s*>|<!--.*?-->", " ")
+    x = F.regexp_replace(html, "(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->", " ")
     x = F.regexp_replace(x, "<[^>]*>", " ")
     for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         x = F.replace(x, F.lit(name), F.lit(sign))

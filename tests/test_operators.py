@@ -206,3 +206,142 @@ def test_stream_ladder_equals_batch(spark, tmp_path):
     live = stream.ladder(stream.read_events(spark, str(tmp_path / "in")))
     got = {(r.item, r.level, r.streak, r.attempts) for r in stream.run_to_table(live, "update").collect()}
     assert got == batch
+
+
+def test_checksums_agree_with_each_other(spark):
+    rng = random.Random(5)
+    kinds = {"cpf": checksums.valid_cpf, "cnpj": checksums.valid_cnpj, "isbn": checksums.valid_isbn, "issn": checksums.valid_issn, "orcid": checksums.valid_orcid, "iban": checksums.valid_iban}
+    sizes = {"cpf": (11,), "cnpj": (14,), "isbn": (10, 13), "issn": (8,), "orcid": (16,), "iban": (22,)}
+    rows = []
+    for kind in kinds:
+        for _ in range(400):
+            digits = "".join(rng.choice("0123456789") for _ in range(rng.choice(sizes[kind])))
+            if kind == "isbn" and len(digits) == 13:
+                digits = "978" + digits[3:]
+            rows.append((kind, "GB" + digits[2:] if kind == "iban" else digits[:-1] + rng.choice("0123456789X") if kind in ("issn", "orcid") else digits))
+    df = spark.createDataFrame(rows, "kind string, s string")
+    for kind, f in kinds.items():
+        for r in df.filter(F.col("kind") == kind).select("s", f(F.col("s")).alias("ok")).collect():
+            assert r.ok == checksums.checks_out(kind, r.s), (kind, r.s)
+
+
+def test_detect_every_rule():
+    text_ = (
+        "cpf 529.982.247-25 cnpj 11.222.333/0001-81 doi 10.1000/ABC. arXiv:2101.00001v2 ISBN 0-306-40615-2 ISSN 0378-5955 0000-0002-1825-0097 CVE-2021-44228 "
+        "123e4567-e89b-12d3-a456-426614174000 v1.2.3 GB82WEST12345698765432 commit abcdef1 ISO/IEC 27001:2013 NBR ISO 9001:2015 NIST SP 800-53 Rev. 5 IEEE 802.11ac Regulation (EU) 2016/679 under lgpd in Brazil, SP. CEP 01310100 Avenida Paulista, 1578"
+    )
+    got = {(m[3], m[5]) for m in detect.analyse(text_)}
+    assert got >= {
+        ("cpf", "529.982.247-25"), ("cnpj", "11.222.333/0001-81"), ("doi", "10.1000/abc"), ("arxiv", "arXiv:2101.00001v2"), ("isbn", "ISBN 0306406152"), ("issn", "ISSN 0378-5955"), ("orcid", "ORCID 0000-0002-1825-0097"), ("cve", "CVE-2021-44228"),
+        ("uuid", "123e4567-e89b-12d3-a456-426614174000"), ("semver", "1.2.3"), ("iban", "GB82WEST12345698765432"), ("git_sha", "abcdef1"), ("iso", "ISO/IEC 27001:2013"), ("nbr", "ABNT NBR ISO 9001:2015"), ("nist", "NIST SP 800-53 Rev. 5"), ("ieee", "IEEE 802.11ac"),
+        ("eu_reg", "Regulation (EU) 2016/679"), ("regulator", "Lei nº 13.709/2018 (LGPD)"), ("country", "Brasil"), ("uf", "SP"), ("cep", "01310-100"), ("address", "Avenida Paulista, 1578"),
+    }
+    assert not any(m[3] == "isbn" for m in detect.analyse("isbn 0-306-40615-2"))
+    m = next(m for m in detect.analyse("1.234,5 km"))
+    assert m[5] == "1234.5 km" and '"value": 1234500.0' in m[7]
+    assert [x[8] for x in detect.analyse("529.982.247-24")] == [False]
+    assert detect.rewrite("“RFC 0793”: (`“keep”`)") == '"RFC 793": (`“keep”`)'
+
+
+def test_governance_helpers(spark):
+    from loomstone.operators import governance, sessions
+
+    defaults = {"weights": {"a": 0.5}, "gates": {"allow": False}}
+    assert governance.validate_policy({"weights": {"a": 1}}, defaults) == {"weights": {"a": 1}, "gates": {"allow": False}}
+    for bad in ({"weights": {"b": 1}}, {"weights": {"a": -1}}, {"gates": {"allow": 3}}, {"other": {}}):
+        with pytest.raises(ValueError):
+            governance.validate_policy(bad, defaults)
+    assert governance.validate_pipeline("weekly-run", [{"job": "index"}], {"index"}) == []
+    assert governance.validate_pipeline("Bad name", [], {"index"}) == ["name", "stages"]
+    assert governance.adopt_legacy_policy({"exclude_stale": True, "x": 1}) == {"allow_stale": False, "x": 1}
+    log = governance.run_pipeline([("a", lambda r: 1, "stop"), ("b", lambda r: r["missing"], "continue"), ("c", lambda r: r["a"], "stop"), ("d", lambda r: 1 / 0, "stop"), ("e", lambda r: 1, "stop")])
+    assert [(x["stage"], x["ok"]) for x in log] == [("a", True), ("b", False), ("c", True), ("d", False)]
+    diff = one(spark, governance.unified_diff(F.lit("a\nb"), F.lit("a\nc"), F.lit("p.md")))[0]
+    assert diff.split("\n") == ["--- a/p.md", "+++ b/p.md", "@@ -1,2 +1,2 @@", " a", "-b", "+c"]
+    delay = one(spark, sessions.retry_delay(F.lit(3), F.lit("job")))[0]
+    assert 20 <= delay < 21 and delay == one(spark, sessions.retry_delay(F.lit(3), F.lit("job")))[0]
+    p = spark.createDataFrame([("a", "x", None)], "page string, body string, superseded_by string").withColumn("invalid_at", F.lit(None).cast("string"))
+    with pytest.raises(ValueError):
+        governance.merge_pages(p, "a", "a", "2024")
+    with pytest.raises(ValueError):
+        governance.edit_page(p, "a", patch={"page": "b"})
+    with pytest.raises(ValueError):
+        governance.close_question(p, "a", "b", "2024", p.select("page"))
+
+
+def test_quotations_of_any_length(spark):
+    rng = random.Random(8)
+    words = ["alpha", "beta", "cat", "catalog", "dog", "he", "the", "then"]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 12)))) for i in range(60)]
+    items = [(i, " ".join(rng.choice(["alpha", "beta", "cat", "log", "dog", "he", "the", "en"]) for _ in range(rng.randint(1, 7)))) for i in range(40)] + [(99, "!!")]
+    got = {(r.doc_id, r.item_id) for r in quotes.quotations(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(d, i) for d, t in texts for i, q in items if q != "!!" and q in t}
+
+
+def test_graph_beyond_bounds(spark):
+    rng = random.Random(12)
+    edges = list({tuple(sorted((rng.randrange(30), rng.randrange(30)))) for _ in range(55)})
+    pairs = graph.undirected(spark.createDataFrame([(a, b, float(rng.randint(1, 4))) for a, b in edges if a != b], "src long, dst long, weight double"))
+    near = {r.node: r.betweenness for r in graph.betweenness(pairs).collect()}
+    far = {r.node: r.betweenness for r in graph.betweenness(pairs, nodes_bound=1).collect()}
+    assert near.keys() == far.keys() and all(abs(near[k] - far[k]) <= 2e-6 for k in near)
+    weighted = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("w").alias("weight"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(graph.persistence(weighted)) == rows(graph.persistence(weighted, rows_bound=1))
+
+
+def test_structural_gaps_without_all_pairs(spark):
+    rng = random.Random(13)
+    edges = spark.createDataFrame([(rng.randrange(120), rng.randrange(120), 1.0) for _ in range(200)], "src long, dst long, weight double").filter("src <> dst")
+    community = spark.range(120).select(F.col("id").alias("node"), (F.col("id") % 40).cast("int").alias("community"))
+    between = spark.range(120).select(F.col("id").alias("node"), F.lit(0.0).alias("betweenness"))
+    rows = lambda first: [tuple(r) for r in graph.structural_gaps(edges, community, between, first=first).collect()]
+    assert rows(2) == rows(64) and len(rows(2)) == 8
+
+
+def test_plans_of_one_person(spark):
+    rng = random.Random(14)
+    items = [(f"p{i}", rng.random(), float(rng.choice((0, 1, 3, 7, 20)))) for i in range(300)]
+    left, want = 60.0, []
+    for p, v, cost in sorted(items, key=lambda x: (-x[1] / max(x[2], 0.1), x[2], x[0])):
+        if cost == 0 or cost <= left:
+            left -= cost
+            want.append(p)
+    got = cognitive.fill_budget(spark.createDataFrame(items, "page string, value double, cost double"), 60.0, block=16).collect()
+    assert sorted(r.page for r in got) == sorted(want)
+    x = spark.createDataFrame([(i, f"b{rng.randrange(6)}") for i in range(80)], "n int, b string")
+    rounds, order = {}, []
+    for n, b in sorted((r.n, r.b) for r in x.collect()):
+        rounds.setdefault(b, []).append(n)
+    while any(rounds.values()):
+        order += [v.pop(0) for v in rounds.values() if v]
+    assert [r.n for r in cognitive.interleave(x, F.col("b"), "n").orderBy("position").collect()] == order
+
+
+def test_close_sketches_find_every_pair(spark):
+    rng = random.Random(15)
+    base = [rng.getrandbits(63) for _ in range(12)]
+    hs = []
+    for i in range(120):
+        h = rng.choice(base)
+        for _ in range(rng.randrange(12)):
+            h ^= 1 << rng.randrange(63)
+        hs.append((i, h))
+    got = {(r.a, r.b) for r in graph.close_sketches(spark.createDataFrame(hs, "id long, h long")).collect()}
+    near = {(i, j) for i, a in hs for j, b in hs if i < j and bin(a ^ b).count("1") <= 8}
+    equal = {(i, j) for i, j in near if hs[i][1] == hs[j][1]}
+    reps = {h: min(i for i, x in hs if x == h) for _, h in hs}
+    assert {p for p in near if reps[hs[p[0]][1]] == p[0] and reps[hs[p[1]][1]] == p[1]} <= got <= near and all((reps[hs[j][1]], j) in got for _, j in equal)
+
+
+def test_sketch_is_the_plain_one():
+    import hashlib
+
+    words_ = "the cat sat on the mat and the cat sat".split()
+    votes = [0] * 64
+    for i in range(len(words_) - 2):
+        h = int.from_bytes(hashlib.blake2b(" ".join(words_[i : i + 3]).encode(), digest_size=8).digest(), "big")
+        for b in range(64):
+            votes[b] += 1 if h >> b & 1 else -1
+    want = sum(1 << b for b in range(64) if votes[b] > 0)
+    assert text.sketch_of_words(words_) & (1 << 64) - 1 == want and text.sketch_of_words([]) == 0
