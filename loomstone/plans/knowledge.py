@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import checksums, scalars, text
 from ..functions.scalars import r6
-from ..operators import cognitive, consolidate, curation, detect, governance, graph, readmodels, retrieval, sessions, usage
+from ..operators import cognitive, consolidate, curation, detect, governance, graph, indexing, quotes, readmodels, retrieval, sessions, usage
 from ..sources import bundle
-from .registry import R6, query, t
+from .registry import ORACLE_SQL, QUERIES, R6, query, t
 
 
 def c(name: str):
@@ -879,3 +879,98 @@ def m10_projection(spark, sf):
 @query("SELECT p_partkey AS item, CASE p_size % 3 WHEN 0 THEN 'worked_example' WHEN 1 THEN 'hint' ELSE 'none' END AS support FROM part")
 def m05_support_level(spark, sf):
     return t(spark, sf, "part").select(c("p_partkey").alias("item"), cognitive.support_level(c("p_size") % 3).alias("support"))
+
+
+# ---- index and answers
+
+@query("""WITH x AS (SELECT 'notes/' || p_partkey || '.md' AS src, p_partkey, p_size FROM part)
+SELECT src, 'p/' || p_size || '.md' AS dst, 'markdown' AS kind, 'extracted' AS confidence, 'refines' AS rel FROM x UNION ALL SELECT src, 'notes/T' || (p_partkey % 7) || '.md', 'wikilink', 'ambiguous', NULL FROM x""")
+def b09_page_edges(spark, sf):
+    size = s(c("p_size"))
+    body = F.concat(F.lit("[a](/p/"), size, F.lit('.md "rel:refines") [b](../p/'), size, F.lit(".md) [out](https://x.example) [[T"), s(c("p_partkey") % 7), F.lit("]] [[T"), s(c("p_partkey") % 7), F.lit("|again]]"))
+    return indexing.page_edges(t(spark, sf, "part").select(F.concat(F.lit("notes/"), s(c("p_partkey")), F.lit(".md")).alias("page"), body.alias("body")))
+
+
+NEW_TERMS = "regexp_extract_all(lower(translate(x, 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY')), '[\\p{L}\\p{N}]+')"
+
+
+@query(f"""WITH n AS (SELECT doc_id AS page, CASE WHEN doc_id % 5 = 0 THEN text || ' changed' ELSE text END AS x FROM documents WHERE doc_id % 11 <> 0),
+w AS (SELECT page, len({NEW_TERMS}) AS len, unnest({NEW_TERMS}) AS term FROM n) SELECT page, term, count(*) AS tf, any_value(len)::INTEGER AS len FROM w GROUP BY page, term""")
+def k14_refresh(spark, sf):
+    new = t(spark, sf, "documents").select(c("doc_id").alias("page"), c("text").alias("body"))
+    old = new.filter("page % 7 <> 0")
+    new = new.filter("page % 11 <> 0").withColumn("body", F.when(c("page") % 5 == 0, F.concat("body", F.lit(" changed"))).otherwise(c("body")))
+    derive = lambda pages: retrieval.postings(pages, "page", "body").filter("term IS NOT NULL")
+    return indexing.refresh(derive(old), old, new, derive)
+
+
+@query("""WITH a AS (SELECT alias, max(p_name) AS canonical FROM (SELECT p_name, unnest([lower(p_name), lower(p_brand)]) AS alias FROM part WHERE p_size > 40) GROUP BY alias),
+r0 AS (SELECT c_name, unnest([lower(c_name), lower(c_mktsegment || (c_custkey % 40)), 'brand#' || (c_custkey % 30)]) AS alias FROM customer), r AS (SELECT alias, max(c_name) AS canonical FROM r0 WHERE c_name NOT IN (SELECT c_name FROM r0 WHERE alias IN (SELECT alias FROM a)) GROUP BY alias),
+k AS (SELECT alias, canonical, 'authority' AS origin FROM a UNION ALL SELECT alias, canonical, 'reference' FROM r),
+s AS (SELECT alias, max(n_name) AS canonical FROM (SELECT n_name, unnest([lower(n_name), 'brand#' || n_nationkey]) AS alias FROM nation) WHERE alias NOT IN (SELECT alias FROM k) GROUP BY alias) FROM k UNION ALL SELECT alias, canonical, 'seed' FROM s""")
+def c14_gazetteer_terms(spark, sf):
+    authority = t(spark, sf, "part").filter("p_size > 40").select(c("p_name").alias("canonical"), F.array("p_brand").alias("aliases"))
+    reference = t(spark, sf, "customer").select(c("c_name").alias("canonical"), F.array(F.concat("c_mktsegment", s(c("c_custkey") % 40)), F.concat(F.lit("Brand#"), s(c("c_custkey") % 30))).alias("aliases"))
+    seeds = t(spark, sf, "nation").select(c("n_name").alias("canonical"), F.array(F.concat(F.lit("Brand#"), s(c("n_nationkey")))).alias("aliases"))
+    return indexing.gazetteer_terms(authority, reference, seeds)
+
+
+@query("""WITH n AS (SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS q FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS b FROM documents)
+SELECT DISTINCT doc_id, item_id FROM d, n WHERE contains(b, q) AND NOT contains(' ' || b || ' ', CASE WHEN item_id % 2 = 0 THEN ' the ' ELSE ' cicero ' END)""")
+def e19_misattributed(spark, sf):
+    texts, quoted = t(spark, sf, "documents"), t(spark, sf, "benchmark")
+    authors = quoted.select("item_id", F.when(c("item_id") % 2 == 0, "Someone The").otherwise("M. Cicero").alias("author"))
+    return indexing.misattributed(quotes.quotations(texts, quoted), authors, texts)
+
+
+@query(f"""WITH f AS ({ORACLE_SQL['k06_fused_evidence']}), x AS (SELECT f.position, doc_id, substr(text, 1, 400) AS body FROM f JOIN documents USING (doc_id) WHERE f.position <= 5)
+SELECT string_agg(body || ' [' || position || ']', chr(10) || chr(10) ORDER BY position) || chr(10) || chr(10) || '# Citations' || chr(10) || string_agg('[' || position || '] ' || doc_id, chr(10) ORDER BY position) AS answer FROM x""")
+def k10_answer(spark, sf):
+    fused = QUERIES["k06_fused_evidence"](spark, sf).select("position", c("doc_id").alias("chunk_id"), c("doc_id").alias("page"))
+    return retrieval.extract_answer(fused, t(spark, sf, "documents").select(c("doc_id").alias("chunk_id"), c("text").alias("body")))
+
+
+@query(f"WITH f AS ({ORACLE_SQL['k06_fused_evidence']}), x AS (SELECT score / sum(score) OVER () AS p, count(*) OVER () AS n FROM f) SELECT floor(sum(-p * log2(p)) / log2(any_value(n)) * 1e4 + 0.5) / 1e4 AS uncertainty, (SELECT max(score) FROM f) < 0.01 AS abstain FROM x")
+def k06_uncertainty(spark, sf):
+    fused = QUERIES["k06_fused_evidence"](spark, sf)
+    u = retrieval.uncertainty(fused).select((F.floor(c("uncertainty") * 1e4 + 0.5) / 1e4).alias("uncertainty"))
+    return u.crossJoin(F.broadcast(readmodels.abstains(fused, 0.01)))  # both are one row
+
+
+@query("""SELECT p_partkey AS page, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand END AS title, [p_type, p_brand] AS tags, CASE p_partkey % 3 WHEN 0 THEN 'ambiguous' WHEN 1 THEN 'inferred' ELSE 'extracted' END AS confidence, CASE WHEN p_partkey % 5 = 0 THEN '2023' ELSE '2024' END AS valid_at FROM part""")
+def h04_merge_meta(spark, sf):
+    k, null = c("p_partkey"), F.lit(None).cast("string")
+    side = lambda title, tags, conf, valid: F.struct(title.alias("title"), null.alias("description"), tags.alias("tags"), F.array().cast("array<string>").alias("entities"), conf.alias("confidence"), F.lit(valid).alias("valid_at"))
+    target = side(F.when(k % 2 == 0, c("p_name")).otherwise(""), F.array("p_type"), F.when(k % 3 == 1, "inferred").otherwise("extracted"), "2024")
+    source = F.struct(c("p_brand").alias("title"), null.alias("description"), F.array("p_type", "p_brand").alias("tags"), F.array().cast("array<string>").alias("entities"), F.when(k % 3 == 0, "ambiguous").otherwise("extracted").alias("confidence"), F.when(k % 5 == 0, "2023").otherwise("2025").alias("valid_at"))
+    return t(spark, sf, "part").select(k.alias("page"), curation.merge_meta(target, source).alias("m")).select("page", "m.title", "m.tags", "m.confidence", "m.valid_at")
+
+
+@query("""SELECT 'index.orphan' AS rule, 'error' AS severity, l_partkey AS page FROM lineitem WHERE l_partkey % 9 = 0 GROUP BY l_partkey UNION ALL SELECT 'index.stale', 'error', p_partkey FROM part WHERE p_partkey % 9 <> 0 AND p_partkey % 5 = 2 UNION ALL SELECT 'index.superseded', 'warn', p_partkey FROM part WHERE p_partkey % 9 <> 0 AND p_partkey % 4 = 1 AND p_partkey % 8 <> 1""")
+def p11_diagnose(spark, sf):
+    p = t(spark, sf, "part").select(c("p_partkey").alias("page"), c("p_name").alias("sha"), F.when(c("p_partkey") % 4 == 1, "x").alias("superseded_by")).filter("page % 9 <> 0")
+    indexed = t(spark, sf, "lineitem").select(c("l_partkey").alias("page")).distinct()
+    known = p.select("page", F.when(c("page") % 5 == 2, "old").otherwise(c("sha")).alias("sha"), (c("page") % 8 == 1).alias("superseded"))
+    got = curation.findings([("error", "index.orphan", governance.index_orphans(indexed, p)), ("error", "index.stale", governance.stale_index(p.select("page", "sha"), known)), ("warn", "index.superseded", governance.unmarked_superseded(p, known))])
+    return got.select("rule", "severity", "page")
+
+
+@query("SELECT p_type AS type, arg_max('s' || p_partkey, 's' || p_partkey) AS page, ['title', arg_max(p_brand, 's' || p_partkey)] AS fields FROM part WHERE p_size > 25 GROUP BY p_type")
+def c14_type_schemas(spark, sf):
+    p = t(spark, sf, "part").select(F.concat(F.lit("s"), s(c("p_partkey"))).alias("page"), F.when(c("p_size") > 25, "collection_specification").otherwise("note").alias("type"), c("p_type").alias("applies_to"), F.array(F.lit("title"), "p_brand").alias("required_fields"))
+    return indexing.type_schemas(p)
+
+
+@query("SELECT c_custkey AS page, CASE WHEN c_custkey % 2 = 0 THEN 'd' || c_custkey ELSE 'p/x' || c_custkey || '.md' END AS l0, CASE WHEN c_custkey % 3 = 0 THEN 'One · Two' WHEN c_custkey % 2 = 0 THEN 'd' || c_custkey ELSE 'p/x' || c_custkey || '.md' END AS l1 FROM customer")
+def b07_page_levels(spark, sf):
+    k = s(c("c_custkey"))
+    p = t(spark, sf, "customer").select("c_custkey", F.concat(F.lit("p/x"), k, F.lit(".md")).alias("page"), F.when(c("c_custkey") % 2 == 0, F.concat(F.lit("d"), k)).alias("description"), F.lit("").alias("title"), F.when(c("c_custkey") % 3 == 0, "# One\ntext\n## Two\n").otherwise("none").alias("body"))
+    return indexing.page_levels(p).select(F.regexp_extract("page", "x(\\d+)", 1).cast("long").alias("page"), "l0", "l1")
+
+
+@query("SELECT l_orderkey AS page, max(l_linenumber) AS best, count(*) AS seen FROM lineitem GROUP BY 1 HAVING count(*) >= 2")
+def f04_usage_candidates(spark, sf):
+    x = t(spark, sf, "lineitem").groupBy(c("l_orderkey").alias("page")).agg(F.max("l_linenumber").alias("best"), F.count(F.lit(1)).alias("seen"))
+    scored = x.select(s(c("page")).alias("page"), F.lit(0.1).alias("score"), F.when(c("seen") >= 2, 100).otherwise(1).alias("idle_days"), F.lit("tentative").alias("status"))
+    kept = usage.usage_candidates(scored).select(c("page").cast("long").alias("page"))
+    return x.join(kept, "page")

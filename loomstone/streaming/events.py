@@ -46,6 +46,12 @@ def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
     return stream.sparkSession.table(name)
 
 
+def run_to_path(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs an append-only stream over what is there into a Parquet folder; a run that was cut off goes on from its checkpoint."""
+    stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path).awaitTermination()
+    return stream.sparkSession.read.parquet(path)
+
+
 def ladder(attempts: DataFrame) -> DataFrame:
     """(item, level, streak, attempts) after each batch, from (item, at, exercise, result)."""
 
