@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import checksums, scalars, text
 from ..functions.scalars import r6
-from ..operators import cognitive, consolidate, curation, detect, governance, graph, indexing, quotes, readmodels, retrieval, sessions, usage
+from ..operators import cognitive, consolidate, curation, detect, governance, graph, indexing, quotes, readmodels, retrieval, sessions, usage, workflows
 from ..sources import bundle
-from .registry import ORACLE_SQL, QUERIES, R6, query, t
+from .registry import BM25_SQL, ORACLE_SQL, QUERIES, QUESTION, R6, query, t
 
 
 def c(name: str):
@@ -974,3 +974,56 @@ def f04_usage_candidates(spark, sf):
     scored = x.select(s(c("page")).alias("page"), F.lit(0.1).alias("score"), F.when(c("seen") >= 2, 100).otherwise(1).alias("idle_days"), F.lit("tentative").alias("status"))
     kept = usage.usage_candidates(scored).select(c("page").cast("long").alias("page"))
     return x.join(kept, "page")
+
+
+# ---- workflows
+
+@query(BM25_SQL + f""", f AS (SELECT doc_id, row_number() OVER (ORDER BY {R6.format('score')}, doc_id) - 1 AS r FROM b QUALIFY r < 8), g AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents WHERE n_chars % 50 = 7 QUALIFY r < 20),
+u AS (SELECT doc_id, 'fts' AS s, 1.0 / (61 + r) AS x, 1 AS o, r FROM f UNION ALL SELECT doc_id, 'entity', 0.5 / (61 + r), 2, r FROM g), m AS (SELECT doc_id, sum(x) AS raw, min((o, r)) AS first, string_agg(s, ',' ORDER BY s) AS streams FROM u GROUP BY doc_id),
+w AS (SELECT *, raw * CASE WHEN doc_id % 5 = 0 THEN 1.15 WHEN doc_id % 5 = 1 THEN 0.8 ELSE 1.0 END AS score FROM m) SELECT doc_id, {R6.format('score')} AS score, streams, row_number() OVER (ORDER BY score DESC, first, doc_id)::INTEGER AS position FROM w QUALIFY position <= 12""")
+def k07_ask(spark, sf):
+    docs = t(spark, sf, "documents")
+    null = F.lit(None).cast("string")
+    chunks = docs.select(c("doc_id").alias("chunk_id"), c("doc_id").alias("page"), F.lit(0).alias("ord"), c("text").alias("body"), null.alias("valid_at"), null.alias("invalid_at"), F.lit(False).alias("superseded"))
+    overlay = docs.select(c("doc_id").alias("page"), F.when(c("doc_id") % 5 == 0, "preferred").when(c("doc_id") % 5 == 1, "low_yield").alias("status"))
+    mentions = docs.select(c("doc_id").alias("page"), (c("n_chars") % 50).alias("entity"), F.lit(1).alias("n"))
+    got = workflows.ask(chunks, QUESTION, mentions, mentions.filter("entity = 7").select("entity"), overlay, credits={"entity": 0.5}, limit=12)
+    return got.select(c("chunk_id").alias("doc_id"), r6(c("score")).alias("score"), "streams", "position")
+
+
+@query(f"""WITH RECURSIVE {PAIRS40}, d AS (SELECT a AS node, count(*) AS degree FROM e GROUP BY a), q AS (SELECT degree, row_number() OVER (ORDER BY degree, node) AS i, count(*) OVER () AS n FROM d), h AS MATERIALIZED (SELECT node FROM d WHERE degree > (SELECT greatest(degree, 8) FROM q WHERE i = floor(0.99 * (n - 1))::BIGINT + 1)),
+g AS MATERIALIZED (SELECT a, b FROM e WHERE a NOT IN (FROM h) AND b NOT IN (FROM h)), cc(node, label) USING KEY (node) AS (SELECT DISTINCT a, a FROM g UNION SELECT u.node, min(v.label) FROM recurring.cc u JOIN g ON g.a = u.node JOIN recurring.cc v ON v.node = g.b WHERE v.label < u.label GROUP BY u.node),
+l AS (SELECT a AS node, arg_max(label, (w, -label)) AS label FROM (SELECT e.a, cc.label, sum(w) AS w FROM e JOIN h ON h.node = e.a JOIN cc ON cc.node = e.b GROUP BY ALL) GROUP BY a), mm AS (FROM cc UNION ALL FROM l)
+SELECT node, (dense_rank() OVER (ORDER BY f) - 1)::INTEGER AS community FROM (SELECT node, min(node) OVER (PARTITION BY label) AS f FROM mm)""")
+def p10_community_job(spark, sf):
+    themes = spark.createDataFrame([("t0", 0)], "theme string, page long")
+    return workflows.community_job(_graph_pairs(spark, sf, "true"), t(spark, sf, "part").select(c("p_partkey").alias("node")), themes)["community"]
+
+
+@query("""WITH x AS (SELECT o_orderpriority AS section, o_orderkey::VARCHAR AS item FROM orders) SELECT section, '# ' || section || chr(10) || string_agg('* ' || item, chr(10) ORDER BY item) AS body FROM x GROUP BY section""")
+def s19_render_review(spark, sf):
+    return workflows.render_review(t(spark, sf, "orders").select(c("o_orderpriority").alias("section"), s(c("o_orderkey")).alias("item"), F.lit(1).alias("n")))
+
+
+@query("SELECT p_partkey, lower(regexp_replace(p_brand || ' ' || p_name, '[^A-Za-z0-9]+', '-', 'g')) AS slug, 'a/x' || p_size || '.md' AS dst FROM part")
+def q01_registered_functions(spark, sf):
+    workflows.register_functions(spark)
+    t(spark, sf, "part").createOrReplaceTempView("part_for_functions")
+    return spark.sql("SELECT p_partkey, slug(concat(p_brand, ' ', p_name)) AS slug, resolve_link(concat('x', p_size), 'a/b.md') AS dst FROM part_for_functions")
+
+
+@query("SELECT p_partkey AS page, CASE WHEN p_partkey % 3 = 0 THEN 'issn' ELSE 'other' END AS kind, CASE WHEN p_partkey % 3 = 0 THEN true END AS valid FROM part")
+def c05_checked(spark, sf):
+    p = t(spark, sf, "part").select(c("p_partkey").alias("page"), F.when(c("p_partkey") % 3 == 0, "issn").otherwise("other").alias("kind"), F.lit("0378-5955").alias("value"))
+    return workflows.checked(p).select("page", "kind", "valid")
+
+
+@query("SELECT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey % 5 <> 0")
+def s29_without_derived(spark, sf):
+    e = t(spark, sf, "lineitem").select(F.concat(F.when(c("l_partkey") % 5 == 0, "communities/").otherwise("notes/"), s(c("l_partkey"))).alias("src"), c("l_suppkey").alias("dst"))
+    return workflows.without_derived(e).select(F.substring_index("src", "/", -1).cast("long").alias("src"), "dst")
+
+
+@query("SELECT l_linenumber AS small_side, count(*) AS n FROM lineitem WHERE l_linenumber >= 2 GROUP BY 1")
+def s28_is_bridge(spark, sf):
+    return workflows.is_bridge(t(spark, sf, "lineitem").select(c("l_linenumber").alias("small_side"))).groupBy("small_side").agg(F.count(F.lit(1)).alias("n"))
