@@ -30,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="loomstone-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     sc.setCheckpointDir(made)

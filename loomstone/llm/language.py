@@ -31,7 +31,7 @@ RUN = re.compile(r"[^\W\d_]+")
 def words_of(text: str) -> list[str]:
     """Runs of letters, lower-cased. The pattern's runs may hold numerals that are no digits; those end a word."""
     found = RUN.findall(text.lower())
-    if text.isascii():
+    if text.isascii() or "".join(found).isalpha():
         return found
     out = []
     for run in found:
