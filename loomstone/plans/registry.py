@@ -331,7 +331,12 @@ def m01_priority(spark, sf):
     return cognitive.priority(_views(spark, sf), "1").select("page", F.floor(F.col("score") * 1e3 + 0.5).alias("score"))
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT p_partkey AS k, p_partkey::VARCHAR AS page, (p_partkey % 19 = 0 OR p_partkey = 1) AS own, p_partkey % 4 AS d, greatest(0.0::DOUBLE, (3 - p_partkey % 7) / 3.0::DOUBLE) AS gap, least(1.0::DOUBLE, (p_partkey % 9) / 6.0::DOUBLE) AS unlock, greatest(2.0::DOUBLE, round(p_size * 37 / 150.0::DOUBLE, 1)) AS cost, p_size / 50.0::DOUBLE AS heat FROM part
+WHERE NOT (p_partkey % 11 = 0 OR p_partkey % 13 = 0 OR p_partkey % 5 = 0 OR p_partkey % 4 > 2 AND p_partkey % 19 <> 0 AND p_partkey <> 1)),
+z AS (SELECT *, greatest(0.0::DOUBLE, 0.22 * CASE WHEN own THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1.0 - 0.3 * d) * 0.6::DOUBLE END + 0.18::DOUBLE / (1 + d) + 0.22::DOUBLE * gap + 0.12::DOUBLE * unlock + 0.12::DOUBLE * (k % 6 = 0)::INT + 0.04::DOUBLE * least(1.0, heat) + 0.06::DOUBLE * round(gap * unlock, 4) - 0.08::DOUBLE * least(1.0, cost / 30.0)) AS score FROM v),
+q AS (SELECT page, 'question' AS kind FROM z WHERE k % 10 = 3 ORDER BY score DESC, cost, page LIMIT 3), o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, cost, page) AS i FROM z WHERE k % 10 <> 3),
+r AS (SELECT 0::BIGINT AS i, 0.0::DOUBLE AS spent, 0 AS n, NULL::VARCHAR AS page UNION ALL SELECT o.i, CASE WHEN n < 7 AND (own OR spent + cost <= 90) THEN spent + cost ELSE spent END, CASE WHEN n < 7 AND (own OR spent + cost <= 90) THEN n + 1 ELSE n END, CASE WHEN n < 7 AND (own OR spent + cost <= 90) THEN o.page END FROM r JOIN o ON o.i = r.i + 1)
+SELECT page, 'item' AS kind FROM r WHERE page IS NOT NULL UNION ALL FROM q""")
 def g07_working_set(spark, sf):
     v = cognitive.gates(_views(spark, sf), "1").filter("eligible")
     scored = cognitive.priority(v, "1").withColumn("type", F.when(F.col("page").cast("int") % 10 == 3, "question").otherwise("concept"))
