@@ -466,3 +466,18 @@ def test_near_dedup_compares_rows_not_ids(spark):
     assert {(r.doc_id, r.class_id) for r in got} == {(5, 5), (7, 5), (8, 5), (9, 9), (None, None)}
     kept = near_dedup.one_of_each_class(df, classes)
     assert kept.columns == df.columns and sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("5", a), ("5", b), ("9", "x " * 40_000), ("None", a)])
+
+
+def test_extra_columns_and_repeated_ids_change_nothing(spark):
+    """op3, op7, op9 and op10 with columns named like their results, null and repeated ids, and a very long text."""
+    rows = [(1, "Released under the MIT License.", "a"), (1, "Released under the MIT License.", "a"), (None, "Released under the MIT License.", None), (2, "x " * 300_000, "a"), (3, None, "b"), (4, "", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS license_id", "2 AS unit", "3 AS n", "4 AS row", "5 AS digest", "6 AS size", "7 AS rate", "8 AS item", "9 AS block")
+    assert Counter((r.doc_id, r.license_id, r.unit, r.n) for r in licenses.scan_licenses(df).collect()) == Counter({(1, "MIT", "text", 1): 2, (1, "MIT", "line", 1): 2, (None, "MIT", "text", 1): 1, (None, "MIT", "line", 1): 1})
+    mixed = mixing.mix_sources(df).collect()
+    assert Counter(r.doc_id for r in mixed) == Counter(r[0] for r in rows) and {r.size for r in mixed if r.doc_id == 2} == {300_000}
+    talk = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", "b" * 500_000)], "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS fragment", "2 AS loss", "3 AS formatted")
+    (d,) = chat.digest_formatted(chat.format_chat(talk)).collect()
+    assert (d.n_turns, d.loss_chars) == (3, 500_000)
+    page = "<article><p>Words of some length stand here, as they do.</p></article>"
+    pages = spark.createDataFrame([(1, "u", page), (1, "u", page)], "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
+    assert [r.text for r in extract.extract_main_text(pages, extract.train_on_made_pages()).collect()] == ["Words of some length stand here, as they do."] * 2
