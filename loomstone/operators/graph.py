@@ -56,9 +56,53 @@ def co_mentions(mentions: DataFrame, low: int = 2, high: int = 30, weight: float
     return m.select("entity", F.col("page").alias("src")).join(m.select("entity", F.col("page").alias("dst")), "entity").filter("src < dst").select("src", "dst", F.lit(weight).alias("weight"))
 
 
-def pagerank(pairs: DataFrame, seeds: DataFrame, damping: float = 0.5, iterations: int = 20) -> DataFrame:
+#: Up to so many pairs (some tens of megabytes) a loop over a graph runs inside one task; beyond it, by joins. Results are the same.
+IN_ONE_TASK = 2_000_000
+
+
+def _interned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names in order, and the two ends as places in them."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    return names, ends[: len(a)], ends[len(a) :]
+
+
+def _gathered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
+    parts = [b for b in batches if len(b)]
+    return pd.concat(parts, ignore_index=True) if parts else None
+
+
+def _pagerank_in_one_task(pairs: DataFrame, seeds: DataFrame, damping: float, iterations: int) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = _gathered(batches)
+        if rows is None or not (rows["seed"] == 0).any():
+            return
+        edges, mass = rows[rows["seed"] == 0], rows[rows["seed"] == 1]
+        names, one, other = _interned(edges["a"].to_numpy(), edges["b"].to_numpy())
+        come, go = np.concatenate([one, other]), np.concatenate([other, one])
+        w = np.concatenate([edges["w"].to_numpy(np.float64)] * 2)
+        share = w / np.bincount(come, w, len(names))[come]
+        spot = np.minimum(np.searchsorted(names, mass["a"].to_numpy()), len(names) - 1)
+        inside = names[spot] == mass["a"].to_numpy()
+        s = np.bincount(spot[inside], mass["w"].to_numpy(np.float64)[inside], len(names))
+        if not s.sum():
+            return
+        s /= s.sum()
+        score = s
+        for _ in range(iterations):
+            score = damping * np.bincount(go, score[come] * share, len(names)) + (1 - damping) * s
+        yield pd.DataFrame({"node": names[score > 0], "score": score[score > 0]})
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    table = pairs.select(F.lit(0).alias("seed"), "a", "b", F.col("w").cast("double").alias("w")).unionByName(seeds.select(F.lit(1).alias("seed"), F.col("node").cast(kind).alias("a"), F.col("node").cast(kind).alias("b"), F.col("mass").cast("double").alias("w")))
+    return table.coalesce(1).mapInPandas(run, f"node {kind}, score double")
+
+
+def pagerank(pairs: DataFrame, seeds: DataFrame, damping: float = 0.5, iterations: int = 20, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """(node, score): personalised by seeds (node, mass) that are in the graph. A node without edges has no row in pairs,
     so no mass dangles; a fixed number of rounds, each one join and one sum on the same key."""
+    pairs = held(pairs.select("a", "b", "w"), "pairs")
+    if pairs.count() <= in_one_task:
+        return _pagerank_in_one_task(pairs, seeds, damping, iterations)
     edges = both_ways(pairs)
     out = edges.groupBy("a").agg(F.sum("w").alias("out"))
     step = held(edges.join(out, "a").select("a", "b", (F.col("w") / F.col("out")).alias("p")), "step")
@@ -85,9 +129,34 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def components(pairs: DataFrame) -> DataFrame:
+def _components_in_one_task(pairs: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = _gathered(batches)
+        if rows is None:
+            return
+        names, one, other = _interned(rows["a"].to_numpy(), rows["b"].to_numpy())
+        label = np.arange(len(names))
+        while True:
+            la, lb = label[one], label[other]
+            least, new = np.minimum(la, lb), label.copy()
+            np.minimum.at(new, la, least)
+            np.minimum.at(new, lb, least)
+            while (jump := new[new] != new).any():
+                new[jump] = new[new[jump]]
+            if (new == label).all():
+                break
+            label = new
+        yield pd.DataFrame({"node": names, "label": names[label]})
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return pairs.coalesce(1).mapInPandas(run, f"node {kind}, label {kind}")
+
+
+def components(pairs: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """(node, label): the least node of each component, by large-star and small-star steps until nothing changes."""
     pairs = held(pairs.select("a", "b"), "pairs")
+    if pairs.count() <= in_one_task:
+        return _components_in_one_task(pairs)
     edges = held(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges0")
     before, step = None, 0
     while True:
