@@ -327,9 +327,9 @@ def near_duplicate_classes(documents: DataFrame, threshold: float = 0.8, hashes:
                 crowded = F.col("size") > 2 * pivots
                 held = materialise(tagged.filter(crowded).select("id").distinct(), "held")
                 if many := held.count():
-                    # dealt evenly, so that the tasks that cut prefixes stay small however many documents share a passage
-                    theirs = materialise(sets.join(held, "id", "left_semi").repartition(-(-many // 256)), "held_slabs")
-                    prefixes = materialise(prefix_entries(theirs, threshold, frequent_slabs(theirs)), "prefixes")
+                    theirs = materialise(sets.join(held, "id", "left_semi"), "held_slabs")
+                    # dealt evenly, so that a task cuts the prefixes of 256 documents however many share a passage
+                    prefixes = materialise(prefix_entries(theirs.repartition(-(-many // 256)), threshold, frequent_slabs(theirs)), "prefixes")
                     discard(theirs)
                 discard(held)
                 tagged = tagged.filter(~crowded)
