@@ -1027,3 +1027,75 @@ def s29_without_derived(spark, sf):
 @query("SELECT l_linenumber AS small_side, count(*) AS n FROM lineitem WHERE l_linenumber >= 2 GROUP BY 1")
 def s28_is_bridge(spark, sf):
     return workflows.is_bridge(t(spark, sf, "lineitem").select(c("l_linenumber").alias("small_side"))).groupBy("small_side").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- bundles, rewriting and the rest
+
+@query("""SELECT p_partkey AS path, CASE WHEN p_partkey % 7 <> 0 THEN p_name END AS title, CASE WHEN p_partkey % 7 <> 0 THEN ['a b', p_brand] END AS tags, CASE WHEN p_partkey % 7 <> 0 THEN 'text ' || p_size || chr(10) END AS body, CASE WHEN p_partkey % 7 = 0 THEN 'no frontmatter' END AS error FROM part""")
+def a02_parse_pages(spark, sf):
+    raw = F.when(c("p_partkey") % 7 == 0, F.lit("no front matter")).otherwise(F.concat(F.lit("---\r\ntype: note\ntitle: '"), c("p_name"), F.lit("'\ntags:\n- a b\n- "), c("p_brand"), F.lit("\nextra: 1\n---\ntext "), s(c("p_size")), F.lit("\n")))
+    got = bundle.parse(t(spark, sf, "part").select(s(c("p_partkey")).alias("path"), raw.alias("raw")))
+    return got.select(c("path").cast("long").alias("path"), "meta.title", "meta.tags", "body", "error")
+
+
+@query("SELECT p_partkey AS path, p_type AS type, p_name AS title, [p_brand, 'x: y'] AS tags, p_name || chr(10) AS body FROM part")
+def a05_render_and_parse(spark, sf):
+    p = t(spark, sf, "part").select(s(c("p_partkey")).alias("path"), "p_type", "p_name", F.array("p_brand", F.lit("x: y")).alias("tags"), F.concat("p_name", F.lit("\n")).alias("body"))
+    raw = p.select("path", bundle.rendered("path", "p_type", "p_name", "tags", "body").alias("raw"))
+    return bundle.parse(raw).select(c("path").cast("long").alias("path"), "meta.type", "meta.title", "meta.tags", "body")
+
+
+@query("""WITH n AS (SELECT c_custkey AS k, lower(c_mktsegment) AS stem, CASE WHEN c_custkey % 9 = 0 THEN 'exe' ELSE 'md' END AS suffix, c_name FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY stem, suffix ORDER BY upper(stem) || '.' || suffix, c_name) + CASE WHEN stem = 'furniture' AND suffix = 'md' THEN 2 ELSE 0 END AS i FROM n)
+SELECT stem || CASE WHEN i > 1 THEN '-' || i ELSE '' END || '.' || suffix AS name, c_name AS content, CASE WHEN suffix = 'exe' THEN 'unsupported suffix' END AS error FROM r""")
+def a07_ingest(spark, sf):
+    existing = spark.createDataFrame([("furniture.md",), ("furniture-2.md",)], "name string")
+    incoming = t(spark, sf, "customer").select(F.concat("c_mktsegment", F.lit("."), F.when(c("c_custkey") % 9 == 0, "exe").otherwise("md")).alias("filename"), c("c_name").alias("content"), F.lit(False).alias("base64"))
+    return bundle.ingest(existing, incoming)
+
+
+@query(f"WITH {FACTS}, d AS (SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS d, 100 + o_orderkey % 900 AS r, 2 + o_orderkey % 90 AS q FROM orders) SELECT k AS page, 'On ' || d || ' and again ' || d || ' a box of ' || q || ' kg left under RFC ' || r || ' and ISO ' || (9000 + r) || ':2015, to Brazil, CEP 01310-' || r || ' by GDPR — Regulation (EU) 2016/679, see CVE-2024-' || (10000 + k) || ' or 10.1000/x' || k || ' in PostgreSQL; not`RFC 1` here' || chr(10) || '> nor 99 kg there' || chr(10) AS text FROM d")
+def b12_rewrite(spark, sf):
+    return _facts(spark, sf).select("page", detect.rewritten(c("text"), gazetteer={"postgres": "PostgreSQL"}).alias("text"))
+
+
+@query("SELECT p_partkey AS page, [0, length(p_name) + 4] AS starts, [length(p_name), length(p_name) + 4 + length(p_brand)] AS ends FROM part")
+def b16_grounded(spark, sf):
+    x = t(spark, sf, "part").select(c("p_partkey").alias("page"), detect.grounded(F.concat(F.upper("p_name"), F.lit(" x, "), c("p_brand"), F.lit(" y")), F.array("p_name", "p_brand", F.lit("absent"))).alias("g"))
+    return x.select("page", F.transform("g", lambda y: y["start"]).alias("starts"), F.transform("g", lambda y: y["end"]).alias("ends"))
+
+
+@query("SELECT l_partkey AS part, substr(sha256(string_agg(s, chr(10) ORDER BY s)), 1, 16) AS key FROM (SELECT DISTINCT l_partkey, l_suppkey::VARCHAR AS s FROM lineitem) GROUP BY l_partkey")
+def c33_pattern_key(spark, sf):
+    return t(spark, sf, "lineitem").groupBy(c("l_partkey").alias("part")).agg(F.collect_set(s(c("l_suppkey"))).alias("m")).select("part", scalars.member_id(c("m"), "", 16).alias("key"))
+
+
+@query("SELECT doc_id, lower(translate(text, '" + text.ACCENTED + "', '" + text.PLAIN + "')) AS folded FROM documents")
+def c42_fold(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", text.fold(c("text")).alias("folded"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_linenumber + 1000 AS b FROM lineitem WHERE l_linenumber = 1 + l_suppkey % 7), n AS (SELECT s_suppkey AS node FROM supplier UNION SELECT range + 1001 FROM range(9)), u AS (FROM e UNION SELECT b, a FROM e),
+r AS (SELECT node, node AS seen FROM n UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a), l AS (SELECT node, min(seen) AS label FROM r GROUP BY node) SELECT label, count(*) AS size FROM l GROUP BY label""")
+def j05_component_sizes(spark, sf):
+    e = t(spark, sf, "lineitem").filter("l_linenumber = 1 + l_suppkey % 7").select(c("l_suppkey").alias("a"), (c("l_linenumber") + 1000).cast("long").alias("b")).distinct()
+    nodes = t(spark, sf, "supplier").select(c("s_suppkey").alias("node")).unionByName(spark.range(1001, 1010).select(c("id").alias("node")))
+    return graph.component_sizes(e, nodes)
+
+
+@query("SELECT 'conceptual' AS dimension, 3 AS desired, 2 AS validated, 0.67::DOUBLE AS progress UNION ALL SELECT 'historical', 1, NULL, NULL UNION ALL SELECT 'transfer', 2, CASE WHEN (SELECT count(*) FROM events WHERE event_type = 'error') > 0 THEN 3 ELSE 0 END, 1.0")
+def m04_depth_progress(spark, sf):
+    done = t(spark, sf, "events").filter("event_type IN ('purchase', 'error')").select(F.when(c("event_type") == "purchase", "explain").otherwise("transfer").alias("exercise"), F.when(c("event_type") == "purchase", "explanation").otherwise("transfer").alias("level"))
+    return cognitive.depth_progress(done, {"conceptual": 3, "historical": 1, "transfer": 2, "practical": 0})
+
+
+@query("SELECT (event_id % 5 + 1)::INTEGER AS load, (user_id % 5 + 1)::INTEGER AS focus, 3 AS energy FROM events WHERE ts <= TIMESTAMP '2024-01-15' AND ts >= TIMESTAMP '2024-01-14 16:00:00' ORDER BY ts DESC, event_id DESC LIMIT 1")
+def m12_current_state(spark, sf):
+    e = t(spark, sf, "events").select(c("ts").alias("at"), c("event_id").alias("id"), (c("event_id") % 5 + 1).cast("int").alias("load"), (c("user_id") % 5 + 1).cast("int").alias("focus"), F.lit(3).alias("energy"))
+    return cognitive.current_state(e, "2024-01-15")
+
+
+@query("SELECT p_partkey AS page, list_sort(list_distinct([CASE WHEN p_partkey % 3 = 0 THEN 'stale' END, CASE WHEN p_size > 25 THEN 'long' END])) AS rules FROM part WHERE p_partkey % 3 = 0 OR p_size > 25")
+def p13_rules_by_page(spark, sf):
+    p = t(spark, sf, "part").select(c("p_partkey").alias("page"), "p_size")
+    found = curation.findings([("warn", "stale", p.filter("page % 3 = 0")), ("info", "long", p.filter("p_size > 25"))])
+    return found.groupBy("page").agg(F.array_sort(F.collect_set("rule")).alias("rules"))

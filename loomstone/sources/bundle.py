@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 META = "type string, title string, description string, resource string, tags array<string>, timestamp string, valid_at string, invalid_at string, superseded_by string, sensitive_data boolean, entities array<string>"
 KNOWN = [c.split()[0] for c in META.split(", ")]
@@ -136,3 +137,9 @@ def export(pages: DataFrame, types: list[str] | None = None, tag: str | None = N
     private = F.col("privacy") == "local_only"
     manifest = wanted.agg(F.count_if(~F.coalesce(private, F.lit(False)) | F.lit(include_local)).alias("pages"), F.count_if(F.coalesce(private, F.lit(False)) & ~F.lit(include_local)).alias("excluded_private"))
     return (wanted if include_local else wanted.filter(~F.coalesce(private, F.lit(False)))), manifest
+
+
+@F.pandas_udf(StringType())
+def rendered(path: pd.Series, kind: pd.Series, title: pd.Series, tags: pd.Series, body: pd.Series) -> pd.Series:
+    """Pages as text, from their commonest fields; parse gives the fields back."""
+    return pd.Series([render({"type": k, "title": t, "tags": None if g is None else list(g)}, b) for k, t, g, b in zip(kind, title, tags, body, strict=True)])
