@@ -792,7 +792,7 @@ def c18_shingles(spark, sf):
     return t(spark, sf, "benchmark").select("item_id", F.explode(text.shingles(c("text"))).alias("shingle"))
 
 
-@query(f"WITH x AS (SELECT doc_id, list_distinct([doc_id % 3, doc_id % 5, doc_id % 7]) AS a, list_distinct([doc_id % 2, doc_id % 4]) AS b FROM documents) SELECT doc_id, {R6.format('len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))')} AS j, bit_count(xor(doc_id, 21)) AS bits FROM x")
+@query(f"WITH x AS (SELECT doc_id, list_distinct([doc_id % 3, doc_id % 5, doc_id % 7]) AS a, list_distinct([doc_id % 2, doc_id % 4]) AS b FROM documents) SELECT doc_id, {R6.format('len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))')} AS j, bit_count(xor(doc_id, 21))::INTEGER AS bits FROM x")
 def c22_jaccard_hamming(spark, sf):
     k = c("doc_id")
     return t(spark, sf, "documents").select("doc_id", r6(scalars.jaccard(F.array(k % 3, k % 5, k % 7), F.array(k % 2, k % 4))).alias("j"), scalars.hamming(k, F.lit(21).cast("long")).cast("int").alias("bits"))
@@ -1058,7 +1058,7 @@ def b12_rewrite(spark, sf):
     return _facts(spark, sf).select("page", detect.rewritten(c("text"), gazetteer={"postgres": "PostgreSQL"}).alias("text"))
 
 
-@query("SELECT p_partkey AS page, [0, length(p_name) + 4] AS starts, [length(p_name), length(p_name) + 4 + length(p_brand)] AS ends FROM part")
+@query("SELECT p_partkey AS page, [0, length(p_name) + 4]::INTEGER[] AS starts, [length(p_name), length(p_name) + 4 + length(p_brand)]::INTEGER[] AS ends FROM part")
 def b16_grounded(spark, sf):
     x = t(spark, sf, "part").select(c("p_partkey").alias("page"), detect.grounded(F.concat(F.upper("p_name"), F.lit(" x, "), c("p_brand"), F.lit(" y")), F.array("p_name", "p_brand", F.lit("absent"))).alias("g"))
     return x.select("page", F.transform("g", lambda y: y["start"]).alias("starts"), F.transform("g", lambda y: y["end"]).alias("ends"))
