@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, map_arrow, materialise, mix, slices, table, text_bytes
@@ -255,8 +255,8 @@ def frequent_slabs(sets: DataFrame, share: int = 64, most: int = 500_000) -> np.
     return np.array([r.s for r in counts.toLocalIterator()], np.int32)[::-1]  # 2 MB at most
 
 
-def prefix_entries(sets: DataFrame, threshold: float, frequent: np.ndarray) -> DataFrame:
-    """(bk, id, n, at): a key for each slab of the prefix of each document (id, slabs), and its place from 1.
+def prefix_lists(sets: DataFrame, threshold: float, frequent: np.ndarray) -> DataFrame:
+    """(id, n, keys): the keys of the slabs of each document's (id, slabs) prefix, in order.
 
     The order: slabs that are not frequent, by a hash; then the frequent ones as given, the rarest first.
     """
@@ -267,21 +267,42 @@ def prefix_entries(sets: DataFrame, threshold: float, frequent: np.ndarray) -> D
         by = np.argsort(known, kind="stable")
         ranked = known[by]
         for batch in batches:
-            lists = batch.column(1)
-            for i in range(batch.num_rows):
-                s = lists[i].values.to_numpy(zero_copy_only=False)
-                n = len(s)
-                rank = np.full(n, -1)
+            sizes, out = [], []
+            for row in batch.column(1):
+                s = row.values.to_numpy(zero_copy_only=False)
+                rank = np.full(len(s), -1)
                 if len(ranked):
                     spot = np.minimum(np.searchsorted(ranked, s), len(ranked) - 1)
                     rank = np.where(ranked[spot] == s, by[spot], -1)
                 keys = mix(s.view(np.uint32).astype(np.uint64) * LANES[50])
-                first = np.lexsort((keys, rank))[: n - math.ceil(n * threshold - 1e-9) + 1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[first].view(np.int64)), pa.repeat(batch.column(0)[i], len(first)), pa.repeat(pa.scalar(n, pa.int64()), len(first)), pa.array(np.arange(1, len(first) + 1, dtype=np.int32))], names=["bk", "id", "n", "at"]
-                )
+                out.append(keys[np.lexsort((keys, rank))[: len(s) - math.ceil(len(s) * threshold - 1e-9) + 1]].view(np.int64))
+                sizes.append(len(s))
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out or [np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), lists], names=["id", "n", "keys"])
 
-    return map_arrow(sets.select("id", "slabs"), run, "bk long, id long, n long, at int")
+    return map_arrow(sets.select("id", "slabs"), run, "id long, n long, keys array<long>")
+
+
+def _open_buckets(lists: DataFrame, labels: DataFrame, done: int, placed: bool, name: str) -> DataFrame:
+    """(bk, id, n, at, label, size): the members of buckets of several components and more than ``done`` members.
+
+    lists: (id, n, keys). A document's label is joined before its keys become rows. at: the key's place from 1, 0 if places say nothing.
+    """
+    x = lists.join(labels, "id", "left").select("id", "n", F.coalesce("label", "id").alias("label"), F.posexplode("keys").alias("at", "bk"))
+    each = x.withColumn("at", F.col("at") + 1 if placed else F.lit(0))
+    spread = each.groupBy("bk").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("size")).filter((F.col("l0") < F.col("l1")) & (F.col("size") > done)).select("bk", "size")
+    return materialise(each.join(spread, "bk"), name)
+
+
+def _pivot_pairs(tagged: DataFrame, pivots: int, threshold: float) -> DataFrame:
+    """(a, b): members of a bucket beside its pivots of other components; in a bucket of at most 2 ``pivots`` members each is a pivot."""
+    salt = F.when(F.col("size") <= 2 * pivots, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(pivots)))
+    chosen = tagged.groupBy("bk", salt.alias("salt")).agg(F.min_by(F.struct("id", "label", "n", "at"), "id").alias("p")).select("bk", F.col("p.id").alias("a"), F.col("p.label").alias("la"), F.col("p.n").alias("na"), F.col("p.at").alias("aa"))
+    need = F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("na")) - F.lit(1e-6)
+    fits = (F.col("at") == 0) | (1 + F.least(F.col("n") - F.col("at"), F.col("na") - F.col("aa")) >= need)
+    met = tagged.join(chosen, "bk").filter((F.col("label") != F.col("la")) & (F.col("id") != F.col("a")) & fits)
+    return met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
 
 
 def near_duplicate_classes(documents: DataFrame, threshold: float = 0.8, hashes: int = 256, rows: int = 8, bands: int = 64, size: int = 5, pivots: int = 8, growth: int = 16, broadcast_ids: int = 1_000_000) -> DataFrame:
@@ -309,40 +330,9 @@ def near_duplicate_classes(documents: DataFrame, threshold: float = 0.8, hashes:
     discard(candidates)
 
     weights = members.select("id", "n").distinct()
-    labels: DataFrame | None = None
-    left = members.select("bk", "id", "n", "lo", F.lit(0).alias("at"))
-    prefixes: DataFrame | None = None
-    turn = 0
-    while True:
-        if labels is None:
-            pairs = left.filter(F.col("id") != F.col("lo")).select(F.col("lo").alias("a"), F.col("id").alias("b"))
-            done = left.select("bk", F.col("lo").alias("id")).distinct()
-        else:
-            tagged = left.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-            spread = tagged.groupBy("bk").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("size")).filter(F.col("l0") < F.col("l1")).select("bk", "size")
-            tagged = materialise(tagged.join(spread, "bk"), f"open_{turn}")
-            if tagged.isEmpty():
-                break
-            if turn == 1:
-                crowded = F.col("size") > 2 * pivots
-                held = materialise(tagged.filter(crowded).select("id").distinct(), "held")
-                if many := held.count():
-                    theirs = materialise(sets.join(held, "id", "left_semi"), "held_slabs")
-                    # dealt evenly, so that a task cuts the prefixes of 256 documents however many share a passage
-                    prefixes = materialise(prefix_entries(theirs.repartition(-(-many // 256)), threshold, frequent_slabs(theirs)), "prefixes")
-                    discard(theirs)
-                discard(held)
-                tagged = tagged.filter(~crowded)
-            left = tagged.select("bk", "id", "n", "at")
-            # in a bucket of few members each is a pivot, so this round ends it
-            salt = F.when(F.col("size") <= 2 * pivots, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(pivots)))
-            chosen = tagged.groupBy("bk", salt.alias("salt")).agg(F.min_by(F.struct("id", "label", "n", "at"), "id").alias("p")).select("bk", F.col("p.id").alias("a"), F.col("p.label").alias("la"), F.col("p.n").alias("na"), F.col("p.at").alias("aa"))
-            need = F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("na")) - F.lit(1e-6)
-            fits = (F.col("at") == 0) | (1 + F.least(F.col("n") - F.col("at"), F.col("na") - F.col("aa")) >= need)
-            met = tagged.join(chosen, "bk").filter((F.col("label") != F.col("la")) & (F.col("id") != F.col("a")) & fits)
-            pairs = met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-            done = chosen.select("bk", F.col("a").alias("id"))
-            pivots *= growth if turn > 1 else 1
+
+    def linked(labels: DataFrame | None, pairs: DataFrame, turn: int) -> DataFrame:
+        """labels after the pairs that are near duplicates have been joined."""
         pairs = pairs.select("a", "b").distinct()
         pairs = pairs.join(weights.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(weights.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
         pairs = pairs.filter(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")).select("a", "b")
@@ -350,10 +340,30 @@ def near_duplicate_classes(documents: DataFrame, threshold: float = 0.8, hashes:
         if labels is None or not found.isEmpty():
             labels = _merged(labels, found, str(turn))
         discard(found)
-        left = left.select("bk", "id", "n", "at").join(done, ["bk", "id"], "left_anti")
-        if turn == 1 and prefixes is not None:
-            left = left.unionByName(prefixes)
-        turn += 1
+        return labels
+
+    labels = linked(None, members.filter(F.col("id") != F.col("lo")).select(F.col("lo").alias("a"), F.col("id").alias("b")), 0)
+    # buckets of two are done; the others compare each member with each, or are replaced by prefixes if they are crowded
+    lists = materialise(members.groupBy("id", "n").agg(F.collect_list("bk").alias("keys")), "band_lists")
+    tagged = _open_buckets(lists, labels, 2, False, "open_1")
+    discard(lists)
+    crowded = F.col("size") > 2 * pivots
+    held = materialise(tagged.filter(crowded).select("id").distinct(), "held")
+    labels = linked(labels, _pivot_pairs(tagged.filter(~crowded), pivots, threshold), 1)
+    discard(tagged)
+    if many := held.count():
+        theirs = materialise(sets.join(held, "id", "left_semi"), "held_slabs")
+        # dealt evenly, so that a task cuts the prefixes of 256 documents however many share a passage
+        prefixes = materialise(prefix_lists(theirs.repartition(-(-many // 256)), threshold, frequent_slabs(theirs)), "prefixes")
+        discard(theirs)
+        turn, done = 2, 1
+        while not (tagged := _open_buckets(prefixes, labels, done, True, f"open_{turn}")).isEmpty():
+            labels = linked(labels, _pivot_pairs(tagged, pivots, threshold), turn)
+            discard(tagged)
+            # every pair of a bucket of at most 2 pivots members has been compared
+            turn, done, pivots = turn + 1, 2 * pivots, pivots * growth
+        discard(prefixes)
+    discard(held)
     discard(sets)
     named = labels.join(exact.select("id", "rep"), "id")
     classes = labels.join(named.groupBy("label").agg(F.min("rep").alias("class_id")), "label")

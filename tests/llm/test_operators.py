@@ -329,8 +329,8 @@ def test_near_dedup_matches_brute_force(spark):
 
 
 def test_near_dedup_crowded_buckets_match_brute_force(spark, monkeypatch):
-    rng, crowds, plain = random.Random(11), [], near_dedup.prefix_entries
-    monkeypatch.setattr(near_dedup, "prefix_entries", lambda held, *rest: crowds.append(held.count()) or plain(held, *rest))
+    rng, crowds, plain = random.Random(11), [], near_dedup.prefix_lists
+    monkeypatch.setattr(near_dedup, "prefix_lists", lambda held, *rest: crowds.append(held.count()) or plain(held, *rest))
     passage = prose(rng, 80, 5000)
     texts = [f"{passage} {prose(rng, n, 5000)}" for n in (20, 25, 30, 35) * 8]
     texts += [t.replace(t.split()[-9], "other") for t in texts[::5]]
