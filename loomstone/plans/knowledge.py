@@ -26,9 +26,9 @@ def s(x):
 
 # ---- index and links
 
-@query("SELECT s_suppkey AS entity, count(DISTINCT l_partkey) AS pages FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_quantity > 45 GROUP BY 1 ORDER BY pages DESC, entity LIMIT 500")
+@query("SELECT s_suppkey AS entity, count(DISTINCT l_partkey) AS pages FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1 ORDER BY pages DESC, entity LIMIT 500")
 def e05_entity_page_counts(spark, sf):
-    m = t(spark, sf, "lineitem").filter("l_quantity > 45").select(c("l_suppkey").alias("entity"), c("l_partkey").alias("page"))
+    m = t(spark, sf, "lineitem").select(c("l_suppkey").alias("entity"), c("l_partkey").alias("page"))
     return readmodels.entity_page_counts(t(spark, sf, "supplier").select(c("s_suppkey").alias("entity")), m)
 
 
@@ -178,22 +178,11 @@ def f29_inbox_status(spark, sf):
     return readmodels.inbox_status(raw, done)
 
 
-def _graph_pairs(spark, sf, cut: str = "l_quantity > 40") -> DataFrame:
-    m = t(spark, sf, "lineitem").filter(cut).select(c("l_partkey").alias("page"), c("l_orderkey").alias("entity"))
+def _graph_pairs(spark, sf) -> DataFrame:
+    m = t(spark, sf, "lineitem").select(c("l_partkey").alias("page"), c("l_orderkey").alias("entity"))
     return graph.undirected(graph.co_mentions(m))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT a.l_suppkey AS a, b.l_partkey % 40 AS b FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_linenumber = 1 AND b.l_linenumber = 7 AND a.l_suppkey <> b.l_partkey % 40), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-n AS (SELECT range AS node FROM range(60)), r AS (SELECT node, node AS seen FROM n UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a), l AS (SELECT node, min(seen) AS label FROM r GROUP BY node), z AS (SELECT label, count(*) AS size FROM l GROUP BY label), q AS (SELECT sum(size) AS nodes, count(*) AS components, max(size) AS largest FROM z),
-v AS (SELECT q.*, CASE WHEN components < 2 THEN 0.0 ELSE (SELECT sum(-(size / nodes) * log2(size / nodes)) FROM z) / log2(components) END AS ev, (SELECT count(*) FROM n WHERE node NOT IN (SELECT a FROM u)) AS orphans FROM q)
-SELECT nodes::BIGINT AS nodes, orphans, components, largest, floor(ev * 1e6 + 0.5) / 1e6 AS evenness, CASE WHEN nodes < 10 THEN 'incipient' WHEN largest * 2 < nodes THEN 'dispersed' WHEN ev >= 0.5 THEN 'diverse' ELSE 'focused' END AS kind FROM v""")
-def f06_structure(spark, sf):
-    li = t(spark, sf, "lineitem")
-    a, b = li.filter("l_linenumber = 1").select("l_orderkey", c("l_suppkey").alias("a")), li.filter("l_linenumber = 7").select("l_orderkey", (c("l_partkey") % 40).alias("b"))
-    pairs = a.join(b, "l_orderkey").filter("a <> b").select("a", "b").distinct()
-    return readmodels.structure(spark.range(60).select(c("id").alias("node")), pairs, graph.components(pairs))
-
-
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, event_id, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id)::INTEGER AS position FROM events")
 def a16_log_positions(spark, sf):
     return governance.log_positions(t(spark, sf, "events").select("event_id", "ts", "event_type"), "ts", "event_id").select(s(c("day")).alias("day"), "event_type", "event_id", "position")
@@ -347,13 +336,13 @@ PAIRS40 = "m AS (SELECT DISTINCT l_partkey AS page, l_orderkey AS entity FROM li
 @query(f"WITH {PAIRS40}, k AS (SELECT a AS node, sum(w)::DOUBLE AS strength FROM e GROUP BY a) SELECT (p_partkey % 12)::INTEGER AS community, row_number() OVER (PARTITION BY p_partkey % 12 ORDER BY coalesce(strength, 0) DESC, p_partkey)::INTEGER AS rank, p_partkey AS node, coalesce(strength, 0)::DOUBLE AS strength FROM part LEFT JOIN k ON node = p_partkey QUALIFY rank <= 8")
 def g10_community_summaries(spark, sf):
     community = t(spark, sf, "part").select(c("p_partkey").alias("node"), (c("p_partkey") % 12).cast("int").alias("community"))
-    return readmodels.community_summaries(_graph_pairs(spark, sf, "true"), community)
+    return readmodels.community_summaries(_graph_pairs(spark, sf), community)
 
 
 @query(f"WITH {PAIRS40}, h AS (SELECT p_partkey AS node FROM part ORDER BY p_size DESC, p_retailprice DESC, p_partkey LIMIT 60) SELECT a, b, w::DOUBLE AS w FROM p WHERE a IN (FROM h) AND b IN (FROM h)")
 def j09_hottest_subgraph(spark, sf):
     nodes = t(spark, sf, "part").select(c("p_partkey").alias("node"), c("p_size").alias("heat"), c("p_retailprice").alias("degree"))
-    return readmodels.hottest_subgraph(nodes, _graph_pairs(spark, sf, "true"), 60)[1].select("a", "b", "w")
+    return readmodels.hottest_subgraph(nodes, _graph_pairs(spark, sf), 60)[1].select("a", "b", "w")
 
 
 @query("SELECT o_orderpriority AS name, arg_max(o_orderdate, (o_orderdate, o_orderstatus, o_orderkey)) AS started_at, arg_max(o_orderstatus, (o_orderdate, o_orderstatus, o_orderkey)) AS status, arg_max(o_orderkey, (o_orderdate, o_orderstatus, o_orderkey)) AS run FROM orders GROUP BY 1")
@@ -682,13 +671,13 @@ def f13_goal_progress(spark, sf):
     return readmodels.goal_progress(a, t(spark, sf, "events").filter("user_id % 3 = 0").select(c("user_id").alias("page")))
 
 
-@query("""SELECT p_partkey AS page, (p_partkey % 3)::INTEGER AS distance, p_partkey % 17 = 0 AS low_yield, CASE WHEN p_partkey % 2 = 0 THEN p_size / 50.0 ELSE 0 END::DOUBLE AS heat, CASE WHEN p_partkey % 5 = 0 THEN 'recall' ELSE 'none' END AS level, coalesce(n, 0) AS degree, p_partkey % 6 = 0 AS review_due FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_quantity > 40 GROUP BY 1) ON l_partkey = p_partkey WHERE p_partkey % 4 < 3""")
+@query("""SELECT p_partkey AS page, (p_partkey % 3)::INTEGER AS distance, p_partkey % 17 = 0 AS low_yield, CASE WHEN p_partkey % 2 = 0 THEN p_size / 50.0 ELSE 0 END::DOUBLE AS heat, CASE WHEN p_partkey % 5 = 0 THEN 'recall' ELSE 'none' END AS level, coalesce(n, 0) AS degree, p_partkey % 6 = 0 AS review_due FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey WHERE p_partkey % 4 < 3""")
 def m09_candidate_views(spark, sf):
     p, k = t(spark, sf, "part"), c("p_partkey")
     no = F.lit(False)
     pages = p.select(k.alias("page"), no.alias("superseded"), no.alias("invalid"), no.alias("sensitive"), no.alias("stale"), (c("p_size") * 37).alias("words"))
     distance = p.filter("p_partkey % 4 < 3").select(k.alias("page"), (k % 3).cast("int").alias("distance"))
-    degrees = t(spark, sf, "lineitem").filter("l_quantity > 40").groupBy(c("l_partkey").alias("page")).agg(F.count(F.lit(1)).alias("degree"))
+    degrees = t(spark, sf, "lineitem").groupBy(c("l_partkey").alias("page")).agg(F.count(F.lit(1)).alias("degree"))
     got = readmodels.candidate_views(pages, distance, p.filter("p_partkey % 17 = 0").select(k.alias("page"), F.lit("low_yield").alias("status")), p.filter("p_partkey % 2 = 0").select(k.alias("page"), (c("p_size") / 50.0).alias("score")), p.filter("p_partkey % 5 = 0").select(k.alias("item"), F.lit("recall").alias("level")), degrees, p.filter("p_partkey % 6 = 0").select(k.alias("item")))
     return got.select("page", "distance", "low_yield", c("heat").cast("double").alias("heat"), "level", "degree", "review_due")
 
@@ -997,7 +986,7 @@ l AS (SELECT a AS node, arg_max(label, (w, -label)) AS label FROM (SELECT e.a, c
 SELECT node, (dense_rank() OVER (ORDER BY f) - 1)::INTEGER AS community FROM (SELECT node, min(node) OVER (PARTITION BY label) AS f FROM mm)""")
 def p10_community_job(spark, sf):
     themes = spark.createDataFrame([("t0", 0)], "theme string, page long")
-    return workflows.community_job(_graph_pairs(spark, sf, "true"), t(spark, sf, "part").select(c("p_partkey").alias("node")), themes)["community"]
+    return workflows.community_job(_graph_pairs(spark, sf), t(spark, sf, "part").select(c("p_partkey").alias("node")), themes)["community"]
 
 
 @query("""WITH x AS (SELECT o_orderpriority AS section, o_orderkey::VARCHAR AS item FROM orders) SELECT section, '# ' || section || chr(10) || string_agg('* ' || item, chr(10) ORDER BY item) AS body FROM x GROUP BY section""")
@@ -1074,12 +1063,17 @@ def c42_fold(spark, sf):
     return t(spark, sf, "documents").select("doc_id", text.fold(c("text")).alias("folded"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_linenumber + 1000 AS b FROM lineitem WHERE l_linenumber = 1 + l_suppkey % 7), n AS (SELECT s_suppkey AS node FROM supplier UNION SELECT range + 1001 FROM range(9)), u AS (FROM e UNION SELECT b, a FROM e),
-r AS (SELECT node, node AS seen FROM n UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a), l AS (SELECT node, min(seen) AS label FROM r GROUP BY node) SELECT label, count(*) AS size FROM l GROUP BY label""")
+@query(f"""WITH RECURSIVE {PAIRS40}, g AS MATERIALIZED (SELECT a, b FROM e), cc(node, label) USING KEY (node) AS (SELECT DISTINCT a, a FROM g UNION SELECT u.node, min(v.label) FROM recurring.cc u JOIN g ON g.a = u.node JOIN recurring.cc v ON v.node = g.b WHERE v.label < u.label GROUP BY u.node), l AS (SELECT p_partkey AS node, coalesce(label, p_partkey) AS label FROM part LEFT JOIN cc ON node = p_partkey), z AS (SELECT label, count(*) AS size FROM l GROUP BY label), q AS (SELECT sum(size) AS nodes, count(*) AS components, max(size) AS largest FROM z),
+v AS (SELECT q.*, CASE WHEN components < 2 THEN 0.0 ELSE (SELECT sum(-(size / nodes) * log2(size / nodes)) FROM z) / log2(components) END AS ev, (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT a FROM g)) AS orphans FROM q)
+SELECT nodes::BIGINT AS nodes, orphans, components, largest, floor(ev * 1e6 + 0.5) / 1e6 AS evenness, CASE WHEN nodes < 10 THEN 'incipient' WHEN largest * 2 < nodes THEN 'dispersed' WHEN ev >= 0.5 THEN 'diverse' ELSE 'focused' END AS kind FROM v""")
+def f06_structure(spark, sf):
+    pairs = _graph_pairs(spark, sf)
+    return readmodels.structure(t(spark, sf, "part").select(c("p_partkey").alias("node")), pairs, graph.components(pairs))
+
+
+@query(f"""WITH RECURSIVE {PAIRS40}, g AS MATERIALIZED (SELECT a, b FROM e), cc(node, label) USING KEY (node) AS (SELECT DISTINCT a, a FROM g UNION SELECT u.node, min(v.label) FROM recurring.cc u JOIN g ON g.a = u.node JOIN recurring.cc v ON v.node = g.b WHERE v.label < u.label GROUP BY u.node) SELECT coalesce(label, p_partkey) AS label, count(*) AS size FROM part LEFT JOIN cc ON node = p_partkey GROUP BY 1""")
 def j05_component_sizes(spark, sf):
-    e = t(spark, sf, "lineitem").filter("l_linenumber = 1 + l_suppkey % 7").select(c("l_suppkey").alias("a"), (c("l_linenumber") + 1000).cast("long").alias("b")).distinct()
-    nodes = t(spark, sf, "supplier").select(c("s_suppkey").alias("node")).unionByName(spark.range(1001, 1010).select(c("id").alias("node")))
-    return graph.component_sizes(e, nodes)
+    return graph.component_sizes(_graph_pairs(spark, sf), t(spark, sf, "part").select(c("p_partkey").alias("node")))
 
 
 @query("SELECT 'conceptual' AS dimension, 3 AS desired, 2 AS validated, 0.67::DOUBLE AS progress UNION ALL SELECT 'historical', 1, NULL, NULL UNION ALL SELECT 'transfer', 2, CASE WHEN (SELECT count(*) FROM events WHERE event_type = 'error') > 0 THEN 3 ELSE 0 END, 1.0")
