@@ -1,9 +1,10 @@
 """The subpackage's queries and the SQL of those that SQL can express."""
 
-from . import chat, licenses, line_dedup
+from . import chat, fim, licenses, line_dedup
 from .chat import op7_chat_format
 from .decontaminate import op5_decontaminate
 from .extract import op10_html_extract
+from .fim import op13_fill_in_middle
 from .fingerprint import op4_fingerprint
 from .language import op2_language_id
 from .licenses import op3_license_scan
@@ -21,6 +22,6 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_language_id, op3_license_scan, op4_fingerprint, op5_decontaminate, op6_line_dedup, op7_chat_format, op8_near_dedup, op9_mixing, op10_html_extract, pipeline)
+    for f in (op1_toxicity, op2_language_id, op3_license_scan, op4_fingerprint, op5_decontaminate, op6_line_dedup, op7_chat_format, op8_near_dedup, op9_mixing, op10_html_extract, op13_fill_in_middle, pipeline)
 }
-ORACLE_SQL = {"op3_license_scan": licenses.oracle(), "op6_line_dedup": line_dedup.ORACLE, "op7_chat_format": chat.ORACLE}
+ORACLE_SQL = {"op3_license_scan": licenses.oracle(), "op6_line_dedup": line_dedup.ORACLE, "op7_chat_format": chat.ORACLE, "op13_fill_in_middle": fim.ORACLE}
