@@ -1,8 +1,9 @@
 """The subpackage's queries and the SQL of those that SQL can express."""
 
-from . import chat, fim, licenses, line_dedup
+from . import chat, divergence, fim, licenses, line_dedup
 from .chat import op7_chat_format
 from .decontaminate import op5_decontaminate
+from .divergence import op12_source_divergence
 from .extract import op10_html_extract
 from .fim import op13_fill_in_middle
 from .fingerprint import op4_fingerprint
@@ -22,6 +23,6 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_language_id, op3_license_scan, op4_fingerprint, op5_decontaminate, op6_line_dedup, op7_chat_format, op8_near_dedup, op9_mixing, op10_html_extract, op13_fill_in_middle, pipeline)
+    for f in (op1_toxicity, op2_language_id, op3_license_scan, op4_fingerprint, op5_decontaminate, op6_line_dedup, op7_chat_format, op8_near_dedup, op9_mixing, op10_html_extract, op12_source_divergence, op13_fill_in_middle, pipeline)
 }
-ORACLE_SQL = {"op3_license_scan": licenses.oracle(), "op6_line_dedup": line_dedup.ORACLE, "op7_chat_format": chat.ORACLE, "op13_fill_in_middle": fim.ORACLE}
+ORACLE_SQL = {"op3_license_scan": licenses.oracle(), "op6_line_dedup": line_dedup.ORACLE, "op7_chat_format": chat.ORACLE, "op12_source_divergence": divergence.ORACLE, "op13_fill_in_middle": fim.ORACLE}
