@@ -7,7 +7,7 @@ A term is a run of ASCII letters and other code points above 0x7F, A-Z lower-cas
    255 (or at ``min_docs``, if that is more), so a stopped cell is beyond ``min_docs`` and sums reach it if and only if the true sums do. The
    sketches of all tasks are summed block by block; only one bit a cell (``depth * width / 8`` bytes, whatever the input) reaches the driver.
 2. A second scan drops terms with a cell below ``min_docs``, which can't be frequent enough since a cell never underestimates, and
-   counts the others by (lang, source, term) before anything is shuffled.
+   counts only the others, by (lang, source, term) before anything is shuffled.
 3. Exact document frequencies of the survivors decide what is kept. Shares are exact integers.
 4. Two sources differ by a sum over all kept terms. Where at most one of them has the term, the summand depends on that one's count
    alone, so it is summed over the histogram of its counts; only terms that both have are joined, term by term.
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_arrow, materialise, slices, table, text_bytes
+from .common import map_arrow, materialise, mix, slices, table, text_bytes
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 BLOCK = 1 << 12
@@ -45,19 +45,26 @@ def terms_of(batch: pa.RecordBatch, column: int) -> Iterator[list[bytes]]:
 
 
 def cells_of(lang: str, terms: list[bytes], depth: int, width: int) -> np.ndarray:
-    """The cells, one a sketch row, of each term of a language."""
-    key = hashlib.blake2b(lang.encode(), digest_size=16).digest()
-    digests = b"".join([hashlib.blake2b(t, digest_size=16, key=key).digest() for t in terms])
-    h = np.frombuffer(digests, "<u8").reshape(-1, 2)
+    """The cells, one a sketch row, of each term of a language: polynomials of the bytes, of all terms at once, then mixed."""
+    if not terms:
+        return np.zeros((0, depth), np.int64)
+    sizes = np.fromiter(map(len, terms), np.int64, len(terms))
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    powers = np.cumprod(np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64))
+    h = np.add.reduceat((np.frombuffer(b"".join(terms), np.uint8) + np.uint64(1)) * powers[place], first)
+    seed = np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
+    one = mix(h ^ seed)
+    two = mix(one + np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     rows = np.arange(depth, dtype=np.uint64)
-    return ((h[:, :1] + rows * (h[:, 1:] | np.uint64(1))) >> np.uint64(20)) % np.uint64(width) + rows * np.uint64(width)
+    return (((one[:, None] + rows * two[:, None]) >> np.uint64(20)) % np.uint64(width) + rows * np.uint64(width)).astype(np.int64)
 
 
 def _named(documents: DataFrame) -> DataFrame:
     return documents.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
 
-def sketch(documents: DataFrame, min_docs: int, depth: int = 3, width: int = 1 << 21, held: int = 200_000) -> np.ndarray:
+def sketch(documents: DataFrame, min_docs: int, depth: int = 3, width: int = 1 << 21, held: int = 400_000) -> np.ndarray:
     """One bool a cell: whether documents may hold a term of that cell min_docs times."""
     limit = max(255, min_docs)
     kind = np.uint8 if limit == 255 else np.uint32
@@ -70,7 +77,7 @@ def sketch(documents: DataFrame, min_docs: int, depth: int = 3, width: int = 1 <
             for lang, counts in seen.items():
                 at, by = cells_of(lang, list(counts), depth, width), np.minimum(np.fromiter(counts.values(), np.int64, len(counts)), limit)
                 for r in range(depth):
-                    where, row = np.unique(at[:, r].astype(np.int64), return_inverse=True)
+                    where, row = np.unique(at[:, r], return_inverse=True)
                     total = np.bincount(row, by).astype(np.int64) + cells[where]
                     cells[where] = np.minimum(total, limit)
             seen.clear()
@@ -103,7 +110,7 @@ def sketch(documents: DataFrame, min_docs: int, depth: int = 3, width: int = 1 <
     return may.ravel()
 
 
-def surviving_counts(documents: DataFrame, may: np.ndarray, depth: int = 3, width: int = 1 << 21, held: int = 200_000) -> DataFrame:
+def surviving_counts(documents: DataFrame, may: np.ndarray, depth: int = 3, width: int = 1 << 21, held: int = 400_000) -> DataFrame:
     """(lang, source, term, n, docs) of the terms that pass the sketch, exact; also a row of null term a group, for groups without any."""
     shipped = documents.sparkSession.sparkContext.broadcast(np.packbits(may).tobytes())
 
@@ -112,27 +119,37 @@ def surviving_counts(documents: DataFrame, may: np.ndarray, depth: int = 3, widt
         n: dict[tuple[str, str], Counter] = {}
         docs: dict[tuple[str, str], Counter] = {}
 
+        good: dict[str, set] = {}
+        bad: dict[str, set] = {}
+
+        def judge(lang: str, terms: set) -> set:
+            yes, no = good.setdefault(lang, set()), bad.setdefault(lang, set())
+            if len(yes) + len(no) > held:
+                yes.clear()
+                no.clear()
+            if new := list(terms - yes - no):
+                passed = bits[cells_of(lang, new, depth, width)].all(1)
+                for into, want in ((yes, True), (no, False)):
+                    into.update([t for t, ok in zip(new, passed.tolist(), strict=True) if ok is want])
+            return yes
+
         def flush() -> Iterator[pa.RecordBatch]:
-            by_lang: dict[str, set] = {}
-            for (lang, _), c in n.items():
-                by_lang.setdefault(lang, set()).update(c)
-            kept = {}
-            for lang, terms in by_lang.items():
-                listed = list(terms)
-                passed = bits[cells_of(lang, listed, depth, width).astype(np.int64)].all(1) if listed else []
-                kept[lang] = {t for t, ok in zip(listed, passed, strict=True) if ok}
             for (lang, source), c in n.items():
-                rows = [(t.decode(), k, docs[lang, source][t]) for t, k in c.items() if t in kept[lang]] + [(None, 0, 0)]
-                for i in range(0, len(rows), 20_000):
-                    part = rows[i : i + 20_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array([r[0] for r in part], pa.string()), *[pa.array([r[k] for r in part], pa.int64()) for k in (1, 2)]], names=["lang", "source", "term", "n", "docs"])
+                terms, of = [*c, None], docs[lang, source]
+                for i in range(0, len(terms), 20_000):
+                    part = terms[i : i + 20_000]
+                    made = [pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array(part, pa.binary()).cast(pa.string())]
+                    yield pa.RecordBatch.from_arrays([*made, *[pa.array([x.get(t, 0) for t in part], pa.int64()) for x in (c, of)]], names=["lang", "source", "term", "n", "docs"])
             n.clear()
             docs.clear()
 
         for batch in slices(batches, "text", 1 << 20):
-            for lang, source, terms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), terms_of(batch, 2), strict=True):
-                n.setdefault((lang, source), Counter()).update(terms)
-                docs.setdefault((lang, source), Counter()).update(set(terms))
+            whole = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), terms_of(batch, 2), strict=True))
+            yes = {lang: judge(lang, set().union(*[t for x, _, t in whole if x == lang])) for lang in {x for x, _, _ in whole}}
+            for lang, source, terms in whole:
+                kept = list(filter(yes[lang].__contains__, terms))
+                n.setdefault((lang, source), Counter()).update(kept)
+                docs.setdefault((lang, source), Counter()).update(set(kept))
             if sum(map(len, n.values())) > held:
                 yield from flush()
         yield from flush()
