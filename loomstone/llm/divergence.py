@@ -110,47 +110,86 @@ def sketch(documents: DataFrame, min_docs: int, depth: int = 3, width: int = 1 <
     return may.ravel()
 
 
-def surviving_counts(documents: DataFrame, may: np.ndarray, depth: int = 3, width: int = 1 << 21, held: int = 400_000) -> DataFrame:
-    """(lang, source, term, n, docs) of the terms that pass the sketch, exact; also a row of null term a group, for groups without any."""
+class Tally:
+    """Occurrences and documents by (group, term), as sorted arrays: keys are a group's number times 2^32 plus a term's."""
+
+    def __init__(self):
+        self.keys, self.n, self.docs = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, group_of_doc: np.ndarray, doc: np.ndarray, term: np.ndarray) -> None:
+        """Term numbers and the document of each, of documents that are whole in this call."""
+        seen, n = np.unique(doc << 32 | term, return_counts=True)
+        self.parts.append((group_of_doc[seen >> 32] << 32 | (seen & 0xFFFFFFFF), n))
+        self.waiting += len(seen)
+        if self.waiting > 500_000:
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.parts:
+            return
+        keys = np.concatenate([self.keys, *[k for k, _ in self.parts]])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        total = lambda old, new: np.add.reduceat(np.concatenate([old, *new])[order], first) if len(first) else old
+        self.n, self.docs = total(self.n, [n for _, n in self.parts]), total(self.docs, [np.ones(len(k), np.int64) for k, _ in self.parts])
+        self.keys, self.parts, self.waiting = keys[first], [], 0
+
+
+def surviving_counts(documents: DataFrame, may: np.ndarray, depth: int = 3, width: int = 1 << 21, held: int = 600_000) -> DataFrame:
+    """(lang, source, term, n, docs) of the terms that pass the sketch, exact; also a row of null term a group, for groups without any.
+
+    held: terms known, or sums kept, at most about so many before they are given out.
+    """
     shipped = documents.sparkSession.sparkContext.broadcast(np.packbits(may).tobytes())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(shipped.value, np.uint8)).view(bool)
-        n: dict[tuple[str, str], Counter] = {}
-        docs: dict[tuple[str, str], Counter] = {}
-
-        good: dict[str, set] = {}
-        bad: dict[str, set] = {}
-
-        def judge(lang: str, terms: set) -> set:
-            yes, no = good.setdefault(lang, set()), bad.setdefault(lang, set())
-            if len(yes) + len(no) > held:
-                yes.clear()
-                no.clear()
-            if new := list(terms - yes - no):
-                passed = bits[cells_of(lang, new, depth, width)].all(1)
-                for into, want in ((yes, True), (no, False)):
-                    into.update([t for t, ok in zip(new, passed.tolist(), strict=True) if ok is want])
-            return yes
+        number: dict[str, dict[bytes, int]] = {}  # of each term of a language; -1: can't be frequent enough
+        names: dict[str, list[bytes]] = {}
+        groups: dict[tuple[str, str], int] = {}
+        tally = Tally()
+
+        def judge(lang: str, new: list[bytes]) -> None:
+            passed = bits[cells_of(lang, new, depth, width)].all(1).tolist()
+            of, listed = number[lang], names[lang]
+            for term, ok in zip(new, passed, strict=True):
+                of[term] = len(listed) if ok else -1
+                if ok:
+                    listed.append(term)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, source), c in n.items():
-                terms, of = [*c, None], docs[lang, source]
-                for i in range(0, len(terms), 20_000):
-                    part = terms[i : i + 20_000]
-                    made = [pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array(part, pa.binary()).cast(pa.string())]
-                    yield pa.RecordBatch.from_arrays([*made, *[pa.array([x.get(t, 0) for t in part], pa.int64()) for x in (c, of)]], names=["lang", "source", "term", "n", "docs"])
-            n.clear()
-            docs.clear()
+            tally.settle()
+            bounds = np.searchsorted(tally.keys, np.arange(len(groups) + 1) << 32)
+            for (lang, source), g in groups.items():
+                a, b = bounds[g], bounds[g + 1]
+                words = pa.array(names[lang], pa.binary()).take(pa.array(tally.keys[a:b] & 0xFFFFFFFF)).cast(pa.string())
+                whole = [pa.concat_arrays([words, pa.nulls(1, pa.string())]), *[pa.array(np.append(x[a:b], 0)) for x in (tally.n, tally.docs)]]
+                for i in range(0, b - a + 1, 20_000):
+                    part = [x.slice(i, 20_000) for x in whole]
+                    yield pa.RecordBatch.from_arrays([*[pa.array([x] * len(part[0]), pa.string()) for x in (lang, source)], *part], names=["lang", "source", "term", "n", "docs"])
+            for x in (number, names, groups):
+                x.clear()
+            tally.__init__()
 
         for batch in slices(batches, "text", 1 << 20):
-            whole = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), terms_of(batch, 2), strict=True))
-            yes = {lang: judge(lang, set().union(*[t for x, _, t in whole if x == lang])) for lang in {x for x, _, _ in whole}}
-            for lang, source, terms in whole:
-                kept = list(filter(yes[lang].__contains__, terms))
-                n.setdefault((lang, source), Counter()).update(kept)
-                docs.setdefault((lang, source), Counter()).update(set(kept))
-            if sum(map(len, n.values())) > held:
+            langs, sources, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), list(terms_of(batch, 2))
+            of_doc = np.array([groups.setdefault(g, len(groups)) for g in zip(langs, sources, strict=True)])
+            doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+            found = []
+            for lang, terms in zip(langs, texts, strict=True):
+                of = number.setdefault(lang, {})
+                names.setdefault(lang, [])
+                ids = list(map(of.get, terms))
+                if None in ids:
+                    judge(lang, list({t for t, i in zip(terms, ids, strict=True) if i is None}))
+                    ids = list(map(of.__getitem__, terms))
+                found.append(np.array(ids, np.int64))
+            term = np.concatenate(found)
+            tally.add(of_doc, doc[term >= 0], term[term >= 0])
+            if len(tally.keys) > held or sum(map(len, number.values())) > held:
                 yield from flush()
         yield from flush()
 
