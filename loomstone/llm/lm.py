@@ -18,6 +18,7 @@ without a training corpus scores by an untrained model; a very long text is scor
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -48,7 +49,8 @@ def tokens_of(batch: pa.RecordBatch, column: int) -> Iterator[list[bytes]]:
 
 
 def class_of(word: bytes, classes: int) -> int:
-    return zlib.crc32(word.decode()[-TAIL:].encode()) % classes
+    tail = word[-TAIL:]
+    return zlib.crc32(tail if tail.isascii() else word.decode()[-TAIL:].encode()) % classes
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -75,21 +77,6 @@ def count_words(texts: DataFrame) -> DataFrame:
     return map_arrow(texts.select("text"), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Lookup(dict):
-    """word to index: known words have theirs, any other the index of its class behind them."""
-
-    def __init__(self, known: dict[bytes, int], classes: int):
-        super().__init__(known)
-        self.known, self.classes = known, classes
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > len(self.known) + CACHE:
-            self.clear()
-            self.update(self.known)
-        index = self[word] = len(self.known) + class_of(word, self.classes)
-        return index
-
-
 class Vocabulary:
     """Frequent words with counts, most frequent first, and totals of all others by class."""
 
@@ -113,9 +100,11 @@ class Vocabulary:
     def outcomes(self) -> int:
         return 1 + len(self.short) + self.classes
 
-    def short_lookup(self) -> Lookup:
-        """Outcomes by word; a class comes behind the short words as it does in the lookup."""
-        return Lookup({w: i for i, w in enumerate(self.short)}, self.classes)
+    def index(self) -> tuple[dict[bytes, int], np.ndarray]:
+        """Places of the frequent words, from 1, as the end is 0; the outcome of every place, behind them the classes of all other words."""
+        short = len(self.short)
+        rest = [1 + short + class_of(w, self.classes) for w in self.frequent[short:]]
+        return {w: i for i, w in enumerate(self.frequent, 1)}, np.concatenate([np.arange(1 + short), np.array(rest, np.int64), 1 + short + np.arange(self.classes)])
 
 
 def make_vocabulary(counts: DataFrame, words: int, classes: int, frequent: int) -> tuple[Vocabulary, DataFrame]:
@@ -184,36 +173,36 @@ class Trainer:
         self.model, self.rate, self.noise, self.batch = model, rate, noise, batch
         self.rows = model.rows.copy()
         self.used = np.zeros((len(self.rows), 3))
-        self.squares = np.full((len(self.rows), 4), 1e-4, np.float32)
+        self.squares = np.full((len(self.rows), 3), 1e-4, np.float32)
         self.rng = np.random.default_rng(seed)
         self.cdf = np.cumsum(np.exp(model.log_noise.astype(np.float64)))
         self.offset = model.log_noise + np.float32(math.log(noise))
 
     def _climb(self, k: int, part: np.ndarray, ids: np.ndarray, gradient: np.ndarray) -> None:
         """Adds gradients, summed by id, to the rows of a part of the parameters, at Adagrad's rate for the row."""
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids.astype(np.int16) if len(part) < 1 << 15 else ids, kind="stable")
         listed = ids[order]
         first = np.flatnonzero(np.concatenate([[True], listed[1:] != listed[:-1]]))
         rows, total = listed[first], np.add.reduceat(gradient[order], first, axis=0)
-        self.squares[rows, k] += (total * total).mean(1) if total.ndim > 1 else total * total
-        step = self.rate / np.sqrt(self.squares[rows, k])
-        part[rows] += step[:, None] * total if total.ndim > 1 else step * total
-        if k < 3:
-            self.used[rows, k] += np.diff(np.append(first, len(ids)))
+        self.squares[rows, k] += np.einsum("ij,ij->i", total, total) / total.shape[1]
+        part[rows] += (self.rate / np.sqrt(self.squares[rows, k]))[:, None] * total
+        self.used[rows, k] += np.diff(np.append(first, len(ids)))
 
     def step(self, last: np.ndarray, before: np.ndarray, outcome: np.ndarray) -> None:
         a, b, q, bias = self.model.split(self.rows)
         noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(self.noise) * self.cdf[-1]), self.model.outcomes - 1)
         context, target, false = a[last] + b[before], q[outcome], q[noise]
         up = 1 / (1 + np.exp(np.minimum(np.einsum("ij,ij->i", context, target) + bias[outcome] - self.offset[outcome], 60)))
-        down = 1 / (1 + np.exp(np.minimum(-(context @ false.T + (bias[noise] - self.offset[noise])), 60)))
+        down = context @ false.T + (bias[noise] - self.offset[noise])
+        np.minimum(np.negative(down, out=down), 60, out=down)
+        np.reciprocal(np.add(np.exp(down, out=down), 1, out=down), out=down)
         pull = up[:, None] * target - down @ false
-        ids = np.concatenate([outcome, noise])
-        gradient = np.concatenate([up[:, None] * context, -(down.T @ context)])
+        push = np.empty((len(outcome) + len(noise), self.model.dim + 1), np.float32)  # of Q and b
+        push[: len(outcome), :-1], push[: len(outcome), -1] = up[:, None] * context, up
+        push[len(outcome) :, :-1], push[len(outcome) :, -1] = -(down.T @ context), -down.sum(0)
         self._climb(0, a, last, pull)
         self._climb(1, b, before, pull)
-        self._climb(2, q, ids, gradient)
-        self._climb(3, bias, ids, np.concatenate([up, -down.sum(0)]))
+        self._climb(2, self.rows[:, 2 * self.model.dim :], np.concatenate([outcome, noise]), push)
 
     def feed(self, last: np.ndarray, before: np.ndarray, outcome: np.ndarray) -> None:
         """Trains on tokens in a shuffled order."""
@@ -234,26 +223,30 @@ def contexts(outcome: np.ndarray, ends: np.ndarray, start: int) -> tuple[np.ndar
     return last, before
 
 
-def outcomes_of(batch: pa.RecordBatch, column: int, lookup: Lookup) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Indices into the lookup, plus one, 0 for an end, of a batch's texts on end; where each text ends; the words."""
+def places_of(batch: pa.RecordBatch, column: int, known: dict[bytes, int], classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """The places of a batch's tokens, texts on end; where each text ends; where the words are that aren't known, and those words."""
     texts = list(tokens_of(batch, column))
     ends = np.cumsum([len(t) + 1 for t in texts])
-    flat = np.zeros(int(ends[-1]), np.int64)
-    inner = np.ones(len(flat), bool)
+    words = list(itertools.chain.from_iterable(texts))
+    found = np.fromiter(map(known.get, words, itertools.repeat(-1)), np.int64, len(words))
+    rare = np.flatnonzero(found < 0)
+    listed = [words[i] for i in rare.tolist()]
+    found[rare] = np.fromiter((class_of(w, classes) for w in listed), np.int64, len(listed)) + len(known) + 1
+    inner = np.ones(len(words) + len(texts), bool)
     inner[ends - 1] = False
-    get = lookup.__getitem__
-    flat[inner] = np.fromiter((get(w) for t in texts for w in t), np.int64, len(flat) - len(texts)) + 1
-    return flat, ends, texts
+    places = np.zeros(len(inner), np.int64)
+    places[inner] = found
+    return places, ends, np.flatnonzero(inner)[rare], listed
 
 
-def train_model(texts: DataFrame, vocabulary: Vocabulary, dim: int = 32, noise: int = 64, rounds: int = 4, rate: float = 0.15, trainer_tokens: int = 16_000_000, buffer: int = 1 << 17) -> LogBilinear:
+def train_model(texts: DataFrame, vocabulary: Vocabulary, dim: int = 32, noise: int = 64, rounds: int = 4, rate: float = 0.05, trainer_tokens: int = 16_000_000, buffer: int = 1 << 17) -> LogBilinear:
     """One pass over the column text. A round has a task for each core, or more, so that a task's share of all rounds is about ``trainer_tokens``."""
     spark = texts.sparkSession
     sc = spark.sparkContext
     model = LogBilinear.fresh(vocabulary.outcome_counts, dim)
     cores = max(1, sc.defaultParallelism)
     tasks = cores * math.ceil(max(1, vocabulary.tokens) / (trainer_tokens * cores))
-    words = sc.broadcast(vocabulary.short_lookup().known)
+    words = sc.broadcast(vocabulary.index())
     classes, width = vocabulary.classes, 3 * dim + 1
     turn = F.pmod(F.xxhash64("text", F.lit(0x11)), F.lit(rounds))
     for r in range(rounds):
@@ -261,7 +254,7 @@ def train_model(texts: DataFrame, vocabulary: Vocabulary, dim: int = 32, noise:
 
         def train(batches: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
             part = TaskContext.get().partitionId()
-            trainer, lookup = Trainer(LogBilinear(shared.value), rate / (1 + r), noise, part * rounds + r), Lookup(words.value, classes)
+            trainer, (known, outcome) = Trainer(LogBilinear(shared.value), rate / (1 + r), noise, part * rounds + r), words.value
             start, held, size = trainer.model.outcomes, [], 0
 
             def flush() -> None:
@@ -271,9 +264,10 @@ def train_model(texts: DataFrame, vocabulary: Vocabulary, dim: int = 32, noise:
                 held, size = [], 0
 
             for batch in slices(batches, "text", 1 << 20):
-                flat, ends, _ = outcomes_of(batch, 0, lookup)
-                held.append((*contexts(flat, ends, start), flat))
-                size += len(flat)
+                places, ends, _, _ = places_of(batch, 0, known, classes)
+                ids = outcome[places]
+                held.append((*contexts(ids, ends, start), ids))
+                size += len(ids)
                 if size >= buffer:
                     flush()
             flush()
@@ -308,33 +302,27 @@ def train_model(texts: DataFrame, vocabulary: Vocabulary, dim: int = 32, noise:
 def score_texts(documents: DataFrame, vocabulary: Vocabulary, rare: DataFrame, model: LogBilinear) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row. rare: the counts of the words that the vocabulary doesn't hold."""
     sc = documents.sparkSession.sparkContext
-    known = len(vocabulary.frequent)
     short, classes = len(vocabulary.short), vocabulary.classes
-    by_class = np.array([class_of(w, classes) for w in vocabulary.frequent[short:]], np.int64)
-    # by index of the lookup plus one: the outcome, log10(c + 0.1) where known, and the log10 of what a word is within its outcome
-    outcome = np.concatenate([[0], 1 + np.arange(short), 1 + short + by_class, 1 + short + np.arange(classes)])
+    places, outcome = vocabulary.index()
+    # by place: the outcome, log10(c + 0.1) where it is known here, and the log10 of what a word is within its outcome
     frequency = np.concatenate([[math.log10(vocabulary.ends + PRIOR)], np.log10(vocabulary.counts + PRIOR), np.zeros(classes)])
-    inside = np.concatenate([np.zeros(1 + short), frequency[1 + short : 1 + known] - vocabulary.class_log[by_class], -vocabulary.class_log])
-    shipped = sc.broadcast((model.state, {w: i for i, w in enumerate(vocabulary.frequent)}, outcome, frequency, inside))
+    inside = np.where(outcome > short, frequency - vocabulary.class_log[np.maximum(outcome - 1 - short, 0)], 0.0)
+    shipped = sc.broadcast((model.state, places, outcome, frequency, inside))
     ends_known, base_log = int(vocabulary.ends > 0), vocabulary.base_log
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, listed, outcome, frequency, inside = shipped.value
-        model, lookup, part, row = LogBilinear(state), Lookup(listed, classes), TaskContext.get().partitionId(), 0
+        state, known, outcome, frequency, inside = shipped.value
+        model, part, row = LogBilinear(state), TaskContext.get().partitionId(), 0
         for batch in slices(batches, "text", 1 << 19):
-            flat, ends, texts = outcomes_of(batch, 1, lookup)
-            n = np.diff(ends, prepend=0)
+            places, ends, rare_at, rare_words = places_of(batch, 1, known, classes)
+            n, ids = np.diff(ends, prepend=0), outcome[places]
             doc = np.repeat(np.arange(len(n)), n)
             total = lambda x, doc=doc, n=n: np.bincount(doc, x, len(n))
-            ids = outcome[flat]
-            values = model.log10(*contexts(ids, ends, model.outcomes), ids) + inside[flat]
-            tail = flat > known
-            at = np.flatnonzero(tail)
-            words = [w for t in texts for w in (*t, b"")] if len(at) else []
-            rare_words = pa.array([words[i] for i in at.tolist()], pa.binary()).cast(pa.string())
-            cuts = np.concatenate([[0], np.cumsum(total(tail))]).astype(np.int32)
+            values = model.log10(*contexts(ids, ends, model.outcomes), ids) + inside[places]
+            cuts = np.searchsorted(rare_at, np.concatenate([[0], ends])).astype(np.int32)
+            rare_list = pa.ListArray.from_arrays(pa.array(cuts), pa.array(rare_words, pa.binary()).cast(pa.string()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array((part << 40) + row + np.arange(len(n))), batch.column(0), pa.array(n), pa.array((n - np.diff(cuts) - (1 - ends_known)).astype(np.int64)), pa.array(total(frequency[flat]) - n * base_log), pa.array(total(values)), pa.ListArray.from_arrays(pa.array(cuts), rare_words)],
+                [pa.array((part << 40) + row + np.arange(len(n))), batch.column(0), pa.array(n), pa.array((n - np.diff(cuts) - (1 - ends_known)).astype(np.int64)), pa.array(total(frequency[places]) - n * base_log), pa.array(total(values)), rare_list],
                 names=["_row", "doc_id", "n_tokens", "n_known", "base_score", "score", "_rare"],
             )
             row += len(n)
