@@ -136,7 +136,7 @@ class LogBilinear:
         self.outcomes = len(self.log_noise)
 
     @classmethod
-    def fresh(cls, outcome_counts: np.ndarray, dim: int = 32, seed: int = 11) -> LogBilinear:
+    def fresh(cls, outcome_counts: np.ndarray, dim: int = 16, seed: int = 11) -> LogBilinear:
         noise = outcome_counts + 0.5
         log_noise = np.log(noise / noise.sum()).astype(np.float32)
         rows = (np.random.default_rng(seed).standard_normal((len(noise) + 1, 3 * dim + 1)) * 0.1).astype(np.float32)
@@ -169,11 +169,11 @@ class LogBilinear:
 class Trainer:
     """Minibatch NCE from shared parameters; keeps how often each row of A, B and Q was used."""
 
-    def __init__(self, model: LogBilinear, rate: float, noise: int, seed: int, batch: int = 1024):
+    def __init__(self, model: LogBilinear, rate: float, noise: int, seed: int, batch: int = 512):
         self.model, self.rate, self.noise, self.batch = model, rate, noise, batch
         self.rows = model.rows.copy()
         self.used = np.zeros((len(self.rows), 3))
-        self.squares = np.full((len(self.rows), 3), 1e-4, np.float32)
+        self.squares = np.full((len(self.rows), 3), 10, np.float32)  # so that first steps are no leaps
         self.rng = np.random.default_rng(seed)
         self.cdf = np.cumsum(np.exp(model.log_noise.astype(np.float64)))
         self.offset = model.log_noise + np.float32(math.log(noise))
@@ -239,7 +239,7 @@ def places_of(batch: pa.RecordBatch, column: int, known: dict[bytes, int], class
     return places, ends, np.flatnonzero(inner)[rare], listed
 
 
-def train_model(texts: DataFrame, vocabulary: Vocabulary, dim: int = 32, noise: int = 64, rounds: int = 4, rate: float = 0.05, trainer_tokens: int = 16_000_000, buffer: int = 1 << 17) -> LogBilinear:
+def train_model(texts: DataFrame, vocabulary: Vocabulary, dim: int = 16, noise: int = 64, rounds: int = 4, rate: float = 0.2, trainer_tokens: int = 16_000_000, buffer: int = 1 << 17) -> LogBilinear:
     """One pass over the column text. A round has a task for each core, or more, so that a task's share of all rounds is about ``trainer_tokens``."""
     spark = texts.sparkSession
     sc = spark.sparkContext

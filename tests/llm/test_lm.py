@@ -90,7 +90,7 @@ def test_training_climbs_the_nce_objective():
     outcome[1:] = np.where(rng.random(3999) < 0.7, (last[1:] + 1) % 5, outcome[1:])  # what follows depends on the last
     last = np.roll(outcome, 1)
     start = v.log10(last, before, outcome).mean()
-    t = lm.Trainer(v, 0.2, 20, 1, batch=100)
+    t = lm.Trainer(v, 0.1, 20, 1, batch=100)
     for _ in range(5):
         t.feed(last, before, outcome)
     assert v.moved(t.rows).log10(last, before, outcome).mean() > start + 0.1
