@@ -36,7 +36,17 @@ def held(df: DataFrame, name: str) -> DataFrame:
     """Ends the lineage in a table in the shared folder: loops over it stay linear and it survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/graph/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``held`` wrote and that no plan needs any more."""
+    for df in tables:
+        if df is not None and (path := getattr(df, "stored_at", None)):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -56,65 +66,38 @@ def co_mentions(mentions: DataFrame, low: int = 2, high: int = 30, weight: float
     return m.select("entity", F.col("page").alias("src")).join(m.select("entity", F.col("page").alias("dst")), "entity").filter("src < dst").select("src", "dst", F.lit(weight).alias("weight"))
 
 
-#: Up to so many pairs (some tens of megabytes) a loop over a graph runs inside one task; beyond it, by joins. Results are the same.
-IN_ONE_TASK = 2_000_000
-
-
-def _interned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names in order, and the two ends as places in them."""
-    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    return names, ends[: len(a)], ends[len(a) :]
-
-
-def _gathered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
-    parts = [b for b in batches if len(b)]
-    return pd.concat(parts, ignore_index=True) if parts else None
+def pagerank(pairs: DataFrame, seeds: DataFrame, damping: float = 0.5, iterations: int = 20, tolerance: float = 1e-6, held_every: int = 5) -> DataFrame:
+    """(node, score), summing to 1: personalised by seeds (node, mass above 0).
 
-
-def _pagerank_in_one_task(pairs: DataFrame, seeds: DataFrame, damping: float, iterations: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = _gathered(batches)
-        if rows is None or not (rows["seed"] == 0).any():
-            return
-        edges, mass = rows[rows["seed"] == 0], rows[rows["seed"] == 1]
-        names, one, other = _interned(edges["a"].to_numpy(), edges["b"].to_numpy())
-        come, go = np.concatenate([one, other]), np.concatenate([other, one])
-        w = np.concatenate([edges["w"].to_numpy(np.float64)] * 2)
-        share = w / np.bincount(come, w, len(names))[come]
-        spot = np.minimum(np.searchsorted(names, mass["a"].to_numpy()), len(names) - 1)
-        inside = names[spot] == mass["a"].to_numpy()
-        s = np.bincount(spot[inside], mass["w"].to_numpy(np.float64)[inside], len(names))
-        if not s.sum():
-            return
-        s /= s.sum()
-        score = s
-        for _ in range(iterations):
-            score = damping * np.bincount(go, score[come] * share, len(names)) + (1 - damping) * s
-        yield pd.DataFrame({"node": names[score > 0], "score": score[score > 0]})
-
-    kind = pairs.schema["a"].dataType.simpleString()
-    table = pairs.select(F.lit(0).alias("seed"), "a", "b", F.col("w").cast("double").alias("w")).unionByName(seeds.select(F.lit(1).alias("seed"), F.col("node").cast(kind).alias("a"), F.col("node").cast(kind).alias("b"), F.col("mass").cast("double").alias("w")))
-    return table.coalesce(1).mapInPandas(run, f"node {kind}, score double")
-
-
-def pagerank(pairs: DataFrame, seeds: DataFrame, damping: float = 0.5, iterations: int = 20, in_one_task: int = IN_ONE_TASK) -> DataFrame:
-    """(node, score): personalised by seeds (node, mass) that are in the graph. A node without edges has no row in pairs,
-    so no mass dangles; a fixed number of rounds, each one join and one sum on the same key."""
-    pairs = held(pairs.select("a", "b", "w"), "pairs")
-    if pairs.count() <= in_one_task:
-        return _pagerank_in_one_task(pairs, seeds, damping, iterations)
-    edges = both_ways(pairs)
-    out = edges.groupBy("a").agg(F.sum("w").alias("out"))
-    step = held(edges.join(out, "a").select("a", "b", (F.col("w") / F.col("out")).alias("p")), "step")
-    inside = seeds.join(out.select(F.col("a").alias("node")), "node", "left_semi")
-    total = inside.agg(F.sum("mass").alias("total"))
-    s = inside.crossJoin(F.broadcast(total)).select("node", (F.col("mass") / F.col("total")).alias("s"))
-    rank = s.select("node", F.col("s").alias("score"))
-    for i in range(iterations):
-        flow = rank.join(step, rank.node == step.a).groupBy(F.col("b").alias("node")).agg((F.sum(F.col("score") * F.col("p")) * damping).alias("score"))
-        rank = flow.unionByName(s.select("node", (F.col("s") * (1 - damping)).alias("score"))).groupBy("node").agg(F.sum("score").alias("score"))
-        if i % 4 == 3:
-            rank = held(rank, f"rank{i}")
+    A seed outside the graph keeps its mass, which it has nowhere to pass on: it goes back to all seeds. As nothing flows to such seeds, their
+    part is one number a round. Each round is one join and one sum on the same key; every few rounds the scores are written to the shared folder, and
+    the rounds end where the last changed less than ``tolerance`` in all.
+    """
+    edges = both_ways(pairs.filter("a <> b"))
+    step = edges.join(edges.groupBy("a").agg(F.sum("w").alias("out")), "a").select("a", "b", (F.col("w") / F.col("out")).alias("p"))
+    step = held(step.repartition("a"), "step")
+    kind = pairs.schema["a"].dataType
+    mass = held(seeds.filter("mass > 0").groupBy(F.col("node").cast(kind).alias("node")).agg(F.sum("mass").alias("mass")), "seeds")
+    total = mass.agg(F.sum("mass")).collect()[0][0]
+    if not total:
+        return mass.select("node", F.col("mass").cast("double").alias("score"))
+    s = mass.select("node", (F.col("mass") / total).alias("s"))
+    outside = mass.join(step.select(F.col("a").alias("node")).distinct(), "node", "left_anti").agg(F.coalesce(F.sum("mass") / total, F.lit(0.0))).collect()[0][0]
+    rank, last, still = s.select("node", F.col("s").alias("score")), None, outside
+    for i in range(1, iterations + 1):
+        flow = rank.join(step, rank["node"] == step["a"]).select(F.col("b").alias("node"), (F.col("score") * F.col("p") * damping).alias("score"))
+        back = (1 - damping) + damping * still
+        still = outside * back
+        rank = flow.unionByName(s.select("node", (F.col("s") * back).alias("score"))).groupBy("node").agg(F.sum("score").alias("score"))
+        if i % held_every == held_every - 1 and i + 1 < iterations:
+            last = rank = held(rank, f"rank{i}")
+        elif i % held_every == 0 and i < iterations:
+            new = held(rank, f"rank{i}")
+            moved = new.select("node", "score").unionByName(last.select("node", (-F.col("score")).alias("score"))).groupBy("node").agg(F.abs(F.sum("score")).alias("d")).agg(F.sum("d")).collect()[0][0]
+            discard(last)
+            rank = new
+            if moved < tolerance:
+                break
     return rank
 
 
@@ -129,42 +112,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def _components_in_one_task(pairs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = _gathered(batches)
-        if rows is None:
-            return
-        names, one, other = _interned(rows["a"].to_numpy(), rows["b"].to_numpy())
-        label = np.arange(len(names))
-        while True:
-            la, lb = label[one], label[other]
-            least, new = np.minimum(la, lb), label.copy()
-            np.minimum.at(new, la, least)
-            np.minimum.at(new, lb, least)
-            while (jump := new[new] != new).any():
-                new[jump] = new[new[jump]]
-            if (new == label).all():
-                break
-            label = new
-        yield pd.DataFrame({"node": names, "label": names[label]})
-
-    kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.coalesce(1).mapInPandas(run, f"node {kind}, label {kind}")
-
-
-def components(pairs: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """(node, label): the least node of each component, by large-star and small-star steps until nothing changes."""
     pairs = held(pairs.select("a", "b"), "pairs")
-    if pairs.count() <= in_one_task:
-        return _components_in_one_task(pairs)
     edges = held(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges0")
     before, step = None, 0
     while True:
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).collect()[0])
         if now == before or not now[0]:
             break
-        before, step = now, step + 1
-        edges = held(_star(held(_star(edges, large=True), f"large{step}"), large=False), f"edges{step}")
+        before, step, old = now, step + 1, edges
+        edges = held(_star(_star(edges, large=True), large=False), f"edges{step}")
+        discard(old)
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     return nodes.join(edges.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
@@ -175,18 +134,20 @@ def component_sizes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return label.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
 
 
-def betweenness(pairs: DataFrame, nodes_bound: int = 50_000) -> DataFrame:
+def betweenness(pairs: DataFrame, adjacency_bound: int = 64 << 20) -> DataFrame:
     """(node, betweenness): unweighted shortest paths, scaled by (n - 1)(n - 2), six decimals.
 
-    Sources are spread over tasks; each task holds the adjacency, whose size is checked: beyond ``nodes_bound`` nodes the same sums are
-    made by joins, block by block of sources, so nothing but the tables grows. The cost is nodes times edges either way.
+    Sources are spread over tasks, which share the adjacency as a broadcast if it takes at most ``adjacency_bound`` bytes; beyond that the
+    same sums are made by joins, block by block of sources, so nothing but the tables grows. The cost is nodes times edges either way.
     """
     spark = pairs.sparkSession
-    nodes = both_ways(pairs).select(F.col("a").alias("node")).distinct()
-    n = nodes.count()
-    if n > nodes_bound:
-        return _betweenness_by_joins(pairs, held(nodes, "nodes"), n)
-    found = pairs.select("a", "b").distinct().toPandas()
+    links = held(pairs.select("a", "b").distinct(), "links")
+    nodes = held(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct(), "nodes")
+    name = F.octet_length(F.col("node").cast("string"))
+    n, bytes_ = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum(name + 16), F.lit(0))).collect()[0]
+    if bytes_ + 8 * links.count() > adjacency_bound:
+        return _betweenness_by_joins(links, nodes, n)
+    found = links.toPandas()  # at most adjacency_bound
     names, ends = np.unique(np.concatenate([found["a"].to_numpy(), found["b"].to_numpy()]), return_inverse=True)
     one, other = ends[: len(found)].astype(np.int32), ends[len(found) :].astype(np.int32)
     come, go = np.concatenate([one, other]), np.concatenate([other, one])
@@ -226,7 +187,7 @@ def betweenness(pairs: DataFrame, nodes_bound: int = 50_000) -> DataFrame:
 
 def _betweenness_by_joins(pairs: DataFrame, nodes: DataFrame, n: int, sources: int = 1_000) -> DataFrame:
     """betweenness with tables (source, node) for ``sources`` sources at a time: paths are counted level by level, shares come back."""
-    edges = held(both_ways(pairs).select("a", "b").distinct(), "both")
+    edges = held(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
     blocks = -(-n // sources)
     total = None
     for block in range(blocks):
@@ -273,47 +234,67 @@ def heaviest_forest(edges: DataFrame) -> DataFrame:
     return edges.limit(0).select("src", "dst", "weight") if forest is None else forest
 
 
-def persistence(edges: DataFrame, rows_bound: int = 5_000_000) -> DataFrame:
+def _ranked(forest: DataFrame) -> DataFrame:
+    """The edges with their place (rank, from 0) in the order from heavy to light, ties by (src, dst): a range sort and the sizes of its partitions."""
+    keyed = forest.select("src", "dst", F.col("weight").cast("double").alias("weight")).withColumn("light", -F.col("weight"))
+    sorted_ = held(keyed.repartitionByRange("light", "src", "dst").sortWithinPartitions("light", "src", "dst").select("src", "dst", "weight", F.monotonically_increasing_id().alias("at")), "sorted")
+    part = F.shiftright("at", 33)
+    sizes = sorted_.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # a row a partition
+    ahead = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
+    return sorted_.withColumn("part", part).join(F.broadcast(ahead), "part").select("src", "dst", "weight", (F.col("ahead") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
+
+
+def persistence(edges: DataFrame, leaf: int = 4096) -> DataFrame:
     """(src, dst, weight, small_side, large_side): merges of a sweep from heavy to light edges, ties by (src, dst).
 
-    The merges are the edges of the heaviest spanning forest; beyond ``rows_bound`` edges it is found first by joins, so the sweep, which is
-    sequential, sees fewer edges than there are nodes and keeps two numbers a node.
+    The merges are the edges of the heaviest spanning forest, which is found by joins. In the order of the sweep they are halved again and again: of
+    each run of edges the heavier half is contracted to its components, for all runs at once, and the lighter half goes on between
+    those, which carry their sizes. Runs of at most ``leaf`` edges, each with the sizes of its ends, are then swept side by side.
     """
-    if edges.count() > rows_bound:
-        edges = heaviest_forest(edges.groupBy("src", "dst").agg(F.max("weight").alias("weight")))
-
-    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)
-        if not parts:
-            return
-        pdf = pd.concat(parts)
+    state = held(_ranked(heaviest_forest(edges.groupBy("src", "dst").agg(F.max("weight").alias("weight")))).select("rank", "src", "dst", "weight", F.col("src").alias("u"), F.lit(1).cast("long").alias("su"), F.col("dst").alias("v"), F.lit(1).cast("long").alias("sv")), "ranked")
+    shift = max(0, (state.count() - 1).bit_length())
+    while 1 << shift > leaf:
+        run, lighter = F.shiftright("rank", shift).alias("run"), F.shiftright("rank", shift - 1).bitwiseAND(F.lit(1)) == 1
+        heavy = state.filter(~lighter).select(run, "u", "su", "v", "sv")
+        node = lambda side: F.struct("run", F.col(side).alias("node"))
+        label = held(components(heavy.select(node("u").alias("a"), node("v").alias("b"))), f"halves{shift}")
+        sizes = heavy.select(node("u").alias("node"), F.col("su").alias("size")).unionByName(heavy.select(node("v").alias("node"), F.col("sv").alias("size"))).distinct()
+        whole = label.join(sizes, "node").groupBy("label").agg(F.sum("size").alias("size"))
+        into = held(label.join(whole, "label").select(F.col("node.run").alias("run"), F.col("node.node").alias("old"), F.col("label.node").alias("new"), "size"), f"into{shift}")
+        light = state.filter(lighter).withColumn("run", run)
+        for side in "uv":
+            to = into.select("run", F.col("old").alias(side), F.col("new").alias("new" + side), F.col("size").alias("size" + side))
+            light = light.join(to, ["run", side], "left").withColumn(side, F.coalesce("new" + side, side)).withColumn("s" + side, F.coalesce("size" + side, "s" + side))
+        following = held(state.filter(~lighter).unionByName(light.select(*state.columns)), f"state{shift}")
+        discard(state, label, into)
+        state, shift = following, shift - 1
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A run of edges whose ends are components of all heavier ones."""
         up: dict = {}
         size: dict = {}
 
-        def top(x):
-            up.setdefault(x, x)
-            size.setdefault(x, 1)
+        def top(x, known):
+            if x not in up:
+                up[x], size[x] = x, known
             while up[x] != x:
                 up[x] = up[up[x]]
                 x = up[x]
             return x
 
         out = []
-        for src, dst, w in pdf.sort_values(["weight", "src", "dst"], ascending=[False, True, True])[["src", "dst", "weight"]].itertuples(index=False):
-            a, b = top(src), top(dst)
-            if a != b:
-                lo, hi = sorted((a, b), key=lambda x: size[x])
-                out.append((src, dst, w, size[lo], size[hi]))
-                up[lo] = hi
-                size[hi] += size[lo]
-        yield pd.DataFrame(out, columns=["src", "dst", "weight", "small_side", "large_side"])
+        for row in pdf.sort_values("rank").itertuples(index=False):
+            lo, hi = sorted((top(row.u, row.su), top(row.v, row.sv)), key=size.get)
+            out.append((row.src, row.dst, row.weight, size[lo], size[hi]))
+            up[lo], size[hi] = hi, size[hi] + size[lo]
+        return pd.DataFrame(out, columns=["src", "dst", "weight", "small_side", "large_side"])
 
-    kind = edges.schema["src"].dataType.simpleString()
-    return edges.select("src", "dst", "weight").repartition(1).mapInPandas(sweep, f"src {kind}, dst {kind}, weight double, small_side long, large_side long")
+    return state.groupBy(F.shiftright("rank", shift)).applyInPandas(sweep, f"src {kind}, dst {kind}, weight double, small_side long, large_side long")
 
 
-def fragile_bridges(edges: DataFrame, limit: int = 10, rows_bound: int = 5_000_000) -> DataFrame:
-    return persistence(edges, rows_bound).filter("small_side >= 2").orderBy("weight", "src", "dst").limit(limit)
+def fragile_bridges(edges: DataFrame, limit: int = 10, leaf: int = 4096) -> DataFrame:
+    return persistence(edges, leaf).filter("small_side >= 2").orderBy("weight", "src", "dst").limit(limit)
 
 
 def structural_gaps(edges: DataFrame, community: DataFrame, articulation: DataFrame, limit: int = 8, min_size: int = 2, first: int = 64) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checksums, scalars, text
 from ..functions.scalars import r6
-from ..operators import cognitive, consolidate, curation, detect, governance, graph, indexing, quotes, readmodels, retrieval, sessions, usage, workflows
+from ..operators import cognitive, communities, consolidate, curation, detect, governance, graph, indexing, quotes, readmodels, retrieval, sessions, usage, workflows
 from ..sources import bundle
 from .registry import BM25_SQL, ORACLE_SQL, QUERIES, QUESTION, R6, query, t
 
@@ -986,6 +986,17 @@ l AS (SELECT a AS node, arg_max(label, (w, -label)) AS label FROM (SELECT e.a, c
 SELECT node, (dense_rank() OVER (ORDER BY f) - 1)::INTEGER AS community FROM (SELECT node, min(node) OVER (PARTITION BY label) AS f FROM mm)""")
 def p10_community_job(spark, sf):
     themes = spark.createDataFrame([("t0", 0)], "theme string, page long")
+    return workflows.community_job(_graph_pairs(spark, sf), t(spark, sf, "part").select(c("p_partkey").alias("node")), themes, "components")["community"]
+
+
+@query()
+def j07_communities(spark, sf):
+    return communities.communities(_graph_pairs(spark, sf))
+
+
+@query()
+def p10_modularity_job(spark, sf):
+    themes = t(spark, sf, "part").select(c("p_brand").alias("theme"), c("p_partkey").alias("page"))
     return workflows.community_job(_graph_pairs(spark, sf), t(spark, sf, "part").select(c("p_partkey").alias("node")), themes)["community"]
 
 

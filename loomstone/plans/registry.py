@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars, text
 from ..functions.scalars import r6
-from ..operators import cognitive, curation, graph, quotes, readmodels, retrieval, usage
+from ..operators import cognitive, communities, curation, graph, quotes, readmodels, retrieval, usage
 from ..sources import bundle
 from ..streaming import events as stream
 
@@ -195,6 +195,14 @@ def e14_structural_gaps(spark, sf):
     return graph.structural_gaps(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("w").alias("weight")), community, top)
 
 
+@query()
+def s01_theme_gaps(spark, sf):
+    """Gaps between communities by modularity, represented by their most central pages."""
+    pairs = graph.held(graph.undirected(_links(spark, sf)), "pairs")
+    found = graph.canonical_labels(communities.communities(pairs))
+    return graph.structural_gaps(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("w").alias("weight")), found, graph.betweenness(pairs))
+
+
 @query(f"""WITH o AS (SELECT DISTINCT l_suppkey AS theme, l_partkey AS page FROM lineitem WHERE l_linenumber <= 5), n AS (SELECT DISTINCT l_suppkey AS community, l_partkey AS page FROM lineitem WHERE l_linenumber >= 2),
 a AS (SELECT theme, count(*) AS na FROM o GROUP BY theme), b AS (SELECT community, count(*) AS nb FROM n GROUP BY community), s AS (SELECT theme, community, count(*) AS s FROM o JOIN n USING (page) GROUP BY ALL)
 SELECT theme, community, {R6.format('s / (na + nb - s)')} AS jaccard FROM s JOIN a USING (theme) JOIN b USING (community) WHERE s / (na + nb - s) >= 1.0 / 3""")
@@ -442,15 +450,16 @@ def b01_chunks(spark, sf):
 
 
 def _rounds(n: int) -> str:
-    step = "r{i} AS MATERIALIZED (SELECT node, sum(x) AS x FROM (SELECT b AS node, 0.5 * x * p AS x FROM r{j} JOIN st ON node = a UNION ALL SELECT node, 0.5 * s FROM s) GROUP BY node)"
+    back = "0.5 + 0.5 * (SELECT coalesce(sum(x), 0) FROM r{j} WHERE node NOT IN (SELECT a FROM o))"
+    step = "r{i} AS MATERIALIZED (SELECT node, sum(x) AS x FROM (SELECT b AS node, 0.5 * x * p AS x FROM r{j} JOIN st ON node = a UNION ALL SELECT node, s * (" + back + ") FROM s) GROUP BY node)"
     return ", ".join(["r0 AS MATERIALIZED (SELECT node, s AS x FROM s)", *[step.format(i=i, j=i - 1) for i in range(1, n + 1)]])
 
 
 @query(f"""WITH {PAIRS}, o AS (SELECT a, sum(w) AS out FROM e GROUP BY a), st AS MATERIALIZED (SELECT e.a, e.b, w / out AS p FROM e JOIN o USING (a)),
-s AS MATERIALIZED (SELECT a AS node, 1.0::DOUBLE / count(*) OVER () AS s FROM o WHERE a <= 3), {_rounds(20)} SELECT node, {R6.format('x')} AS score FROM r20""")
+s AS MATERIALIZED (SELECT p_partkey - 1 AS node, 1.0::DOUBLE / count(*) OVER () AS s FROM part WHERE p_partkey <= 4), {_rounds(20)} SELECT node, {R6.format('x')} AS score FROM r20""")
 def j02_pagerank(spark, sf):
-    seeds = t(spark, sf, "part").filter("p_partkey <= 3").select(F.col("p_partkey").alias("node"), F.lit(1.0).alias("mass"))
-    return graph.pagerank(graph.undirected(_links(spark, sf)), seeds).select("node", r6(F.col("score")).alias("score"))
+    seeds = t(spark, sf, "part").filter("p_partkey <= 4").select((F.col("p_partkey") - 1).alias("node"), F.lit(1.0).alias("mass"))  # 0 is outside the graph
+    return graph.pagerank(graph.undirected(_links(spark, sf)), seeds, tolerance=0.0).select("node", r6(F.col("score")).alias("score"))
 
 
 @query(f"""WITH RECURSIVE {PAIRS}, g AS MATERIALIZED (SELECT a, b FROM e), cc(node, label) USING KEY (node) AS (SELECT DISTINCT a, a FROM g UNION SELECT u.node, min(v.label) FROM recurring.cc u JOIN g ON g.a = u.node JOIN recurring.cc v ON v.node = g.b WHERE v.label < u.label GROUP BY u.node) SELECT node, label FROM cc""")
