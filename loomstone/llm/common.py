@@ -119,10 +119,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def in_sample(key: str, bound: int, rows: int):
-    """About ``bound`` of ``rows`` rows (all if there are fewer), by the hash of a key: the same rows in every run."""
+def in_sample(keys: str | tuple[str, ...], bound: int, rows: int):
+    """About ``bound`` of ``rows`` rows (all if there are fewer), by the hash of their keys: the same rows in every run.
+
+    Rows alike in all keys are in or out together, so the bound is one of distinct rows.
+    """
     cut = min((1 << 63) - 1, int(min(1.0, bound / max(1, rows)) * (1 << 63)))
-    return F.shiftrightunsigned(F.xxhash64(F.col(key)), 1) <= F.lit(cut)
+    return F.shiftrightunsigned(F.xxhash64(*([keys] if isinstance(keys, str) else keys)), 1) <= F.lit(cut)
+
+
+def count_floor(counts: DataFrame, column: str, bound: int) -> int:
+    """The least c, a power of two, such that at most ``bound`` rows have a count of c or more; 1 if all may stay."""
+    room, floor = bound, 1 << 62
+    for row in sorted(counts.groupBy(F.floor(F.log2(column)).alias("power")).agg(F.count(F.lit(1)).alias("rows")).collect(), key=lambda r: -r.power):  # 63 rows
+        room -= row.rows
+        if room < 0:
+            return floor
+        floor = 1 << row.power
+    return 1
 
 
 def keep_rows(documents: DataFrame, test) -> DataFrame:

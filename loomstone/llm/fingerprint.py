@@ -86,7 +86,7 @@ def with_likeness(df: DataFrame, one: str, other: str, out: str) -> DataFrame:
 
 def with_buckets(documents: DataFrame, per_bucket: int = 1_000, segments: int = 100) -> tuple[DataFrame, int]:
     """Adds ord, h (hash of text), seg, bucket and part: ranges of doc_id in ascending order of about per_bucket rows, and ranges
-    of h for the rows of one doc_id (or none) that are more. Also gives the number of buckets to expect.
+    of h for the rows of one doc_id (or none) that are more, marked by a column cells. Also gives the number of buckets to expect.
 
     Quantiles cut the ids into segments, each cut evenly once more, so neither dense nor clustered ids fill one bucket.
     """
@@ -109,7 +109,7 @@ def with_buckets(documents: DataFrame, per_bucket: int = 1_000, segments: int =
     cells = often.select("ord", F.ceil(F.col("many") / per_bucket).alias("cells"))
     ordered = ordered.join(F.broadcast(cells) if cells.count() <= 100_000 else cells, "ord", "left")
     part = F.floor(F.col("h") / F.lit(float(1 << 62)) * F.col("cells")).cast("long")  # h is below 2^62; rises with it
-    return ordered.withColumn("part", F.coalesce(part, F.lit(0).cast("long"))).drop("cells"), found.n // per_bucket + 1
+    return ordered.withColumn("part", F.coalesce(part, F.lit(0).cast("long"))), found.n // per_bucket + 1
 
 
 def in_order():
@@ -117,8 +117,17 @@ def in_order():
 
 
 def with_next_text(documents: DataFrame, task_bytes: int = 24 << 20, per_bucket: int = 1_000) -> DataFrame:
-    """(bucket, part, ord, h, real, doc_id, text, next): rows with their successor; real = 1 marks the successor of a bucket's last row."""
+    """(bucket, part, ord, h, real, doc_id, text, copies, next): rows with their successor; real = 1 marks the successor of a bucket's last row.
+
+    Of the rows of a doc_id (or none) that are more than ``per_bucket``, those alike in text are one row here, with their number as copies.
+    """
     docs, buckets = with_buckets(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), per_bucket)
+    if "cells" in docs.columns:
+        own = ["seg", "bucket", "part", "ord", "h", "doc_id", "text"]
+        alike = docs.filter(F.col("cells").isNotNull()).groupBy(*own).agg(F.count(F.lit(1)).alias("copies"))
+        docs = materialise(docs.filter(F.col("cells").isNull()).select(*own, F.lit(1).cast("long").alias("copies")).unionByName(alike), "alike")
+    else:
+        docs = docs.withColumn("copies", F.lit(1).cast("long"))
     firsts = materialise(docs.groupBy("seg", "bucket", "part").agg(F.min(F.struct("ord", "h")).alias("x")).select("seg", F.struct("bucket", "part").alias("b"), "x.ord", "x.h"), "firsts")
     ends = sorted((r.seg, r.last.bucket, r.last.part) for r in firsts.groupBy("seg").agg(F.max("b").alias("last")).collect())  # a row a segment
     before = F.lit(None).cast(firsts.schema["b"].dataType)
@@ -127,7 +136,7 @@ def with_next_text(documents: DataFrame, task_bytes: int = 24 << 20, per_bucket:
     into = firsts.select("ord", "h", F.coalesce(F.lag("b").over(Window.partitionBy("seg").orderBy("b")), before).alias("into"))
     few = firsts.count() <= 500_000
     heads = docs.select("ord", "h", "doc_id", "text").join(F.broadcast(into) if few else into, ["ord", "h"]).groupBy("into", "ord", "h", "doc_id").agg(F.min("text").alias("text"))
-    rows = docs.select("bucket", "part", "ord", "h", F.lit(0).alias("real"), "doc_id", "text").unionByName(heads.select("into.bucket", "into.part", "ord", "h", F.lit(1).alias("real"), "doc_id", "text"))
+    rows = docs.select("bucket", "part", "ord", "h", F.lit(0).alias("real"), "doc_id", "text", "copies").unionByName(heads.select("into.bucket", "into.part", "ord", "h", F.lit(1).alias("real"), "doc_id", "text", F.lit(1).cast("long").alias("copies")))
     total = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     rows = rows.repartition(int(max(1, min(buckets, -(-total // task_bytes)))), "bucket", "part")
     return rows.withColumn("next", F.lead("text").over(in_order()))
@@ -137,10 +146,16 @@ def fingerprints_of_edits(documents: DataFrame, per_bucket: int = 1_000) -> Data
     """(doc_id, text, next, edited, fp, efp, near_edited, near_next): every text beside its edited one, whose last quarter is the next text's first."""
     rows = with_fingerprint(with_next_text(documents, per_bucket=per_bucket), "text", "fp")
     rows = rows.withColumn("after", F.lead("fp").over(in_order())).filter(F.col("real") == 0)
+    # of n copies all but the last have themselves as their next
+    last = F.struct(F.lit(1).cast("long").alias("many"), F.col("next").alias("next"), F.col("after").alias("after"))
+    others = F.struct((F.col("copies") - 1).alias("many"), F.col("text").alias("next"), F.col("fp").alias("after"))
+    turn = F.explode(F.when(F.col("copies") == 1, F.array(last)).otherwise(F.array(others, last)))
+    rows = rows.select("doc_id", "text", "fp", turn.alias("turn")).select("doc_id", "text", "fp", "turn.many", "turn.next", "turn.after")
     quarter = F.floor(F.char_length("text") / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.char_length("text") - quarter), F.substring(F.col("next"), F.lit(1), quarter)))
     rows = with_fingerprint(rows, "edited", "efp")
-    return with_likeness(with_likeness(rows, "fp", "efp", "near_edited"), "fp", "after", "near_next")
+    rows = with_likeness(with_likeness(rows, "fp", "efp", "near_edited"), "fp", "after", "near_next")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("many")))).drop("_copy", "many")
 
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_sample, keep_rows, map_arrow, slices, table
+from .common import count_floor, discard, in_sample, keep_rows, map_arrow, materialise, slices, table
 
 RUN = re.compile(r"[^\W\d_]+")
 
@@ -130,11 +130,15 @@ class LanguageModel:
         return self.languages[best], float(min(1.0, max(0.0, share[best])))
 
 
-def fit_language_model(documents: DataFrame, max_rows: int = 6_000, max_n: int = 4, min_count: int = 2) -> LanguageModel:
-    """Fits on text and lang of at most about ``max_rows`` rows, drawn by the hash of doc_id; their whole texts are read."""
+def fit_language_model(documents: DataFrame, max_rows: int = 6_000, max_n: int = 4, min_count: int = 2, max_words: int = 2_000_000) -> LanguageModel:
+    """Fits on text and lang of at most about ``max_rows`` distinct rows, drawn by the hash of (doc_id, text); their whole texts are read.
+
+    At most ``max_words`` words and languages reach the driver, the most frequent ones: if there are more, the count that a word needs
+    is raised from ``min_count`` to the least power of two that leaves so many.
+    """
     labelled = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = labelled.select("lang").count()
-    sample = labelled.filter(in_sample("doc_id", max_rows, n)).select("lang", "text")
+    sample = labelled.filter(in_sample(("doc_id", "text"), max_rows, n)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[str, Counter] = {}
@@ -148,7 +152,9 @@ def fit_language_model(documents: DataFrame, max_rows: int = 6_000, max_n: int =
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([w for w, _ in part]), pa.array([k for _, k in part], pa.int64())], names=["lang", "word", "n"])
 
     counts = map_arrow(sample, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rows = [(r.lang, r.word, r.n) for r in counts.filter(F.col("n") >= min_count).toLocalIterator()]
+    counts = materialise(counts.filter(F.col("n") >= min_count), "language_words")
+    rows = [(r.lang, r.word, r.n) for r in counts.filter(F.col("n") >= count_floor(counts, "n", max_words)).toLocalIterator()]
+    discard(counts)
     return LanguageModel.fit(sorted(rows), max_n, min_count)
 
 

@@ -111,6 +111,15 @@ def _without(lines: Column, gone: Column, min_chars: int) -> Column:
     return F.transform(F.array(F.struct(dealt.alias("cells"), hashed.alias("lines"))), lambda s: F.transform(stay(s), lambda x: x["line"]))[0]
 
 
+def _with_any(hashes: DataFrame, repeated: DataFrame, broadcast_keys: int = 500_000, cells: int = 64) -> DataFrame:
+    """The rows of hashes whose key is repeated. Up to ``broadcast_keys`` keys (16 bytes each) go to every task; more are joined, each key
+    dealt to ``cells`` cells, so that a line of every document is no single group."""
+    if repeated.count() <= broadcast_keys:
+        return hashes.join(F.broadcast(repeated), ["h1", "h2"], "left_semi")
+    dealt = repeated.select("h1", "h2", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
+    return hashes.withColumn("cell", F.pmod("k2", F.lit(cells)).cast("int")).join(dealt, ["h1", "h2", "cell"], "left_semi").drop("cell")
+
+
 def drop_repeated_lines(documents: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 2, store: LineRuns | None = None) -> DataFrame:
     """The input's columns with text replaced by kept text, plus n_lines and n_dropped (columns of those names are replaced).
 
@@ -126,7 +135,7 @@ def drop_repeated_lines(documents: DataFrame, min_docs: int = 10, min_chars: int
     for b in range(batches):
         runs.add(hashes.filter(F.pmod(F.col("k1"), F.lit(batches)) == b).select("h1", "h2"))
     repeated = materialise(runs.repeated(), "repeated")
-    dropped = hashes.join(repeated, ["h1", "h2"], "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+    dropped = _with_any(hashes, repeated).groupBy("k1", "k2").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
     rows = documents.select(*mine, F.col("text").alias("whole"), F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != "text"]).alias("row"))
     joined = rows.join(dropped, ["k1", "k2"], "left").select("row", "gone", lines_of(F.col("whole")).alias("lines"))
     kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(_without(F.col("lines"), F.col("gone"), min_chars))

@@ -481,3 +481,22 @@ def test_extra_columns_and_repeated_ids_change_nothing(spark):
     page = "<article><p>Words of some length stand here, as they do.</p></article>"
     pages = spark.createDataFrame([(1, "u", page), (1, "u", page)], "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
     assert [r.text for r in extract.extract_main_text(pages, extract.train_on_made_pages()).collect()] == ["Words of some length stand here, as they do."] * 2
+
+
+def test_hot_ids_of_language_fingerprints_and_lines(spark):
+    many = spark.range(100_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "concat('der mann ', id) AS text", "'de' AS lang")
+    some = spark.range(2_000).selectExpr("id AS doc_id", "concat('the man ', id) AS text", "'en' AS lang")
+    labelled = many.unionByName(some)
+    drawn = labelled.filter(language.in_sample(("doc_id", "text"), 6_000, 102_000)).groupBy("lang").count().collect()
+    assert 4_000 < sum(r["count"] for r in drawn) < 8_000 and len(drawn) == 2
+    model = language.fit_language_model(labelled)
+    assert model.predict("der mann")[0] == "de" and model.predict("the man")[0] == "en"
+    assert len(language.fit_language_model(labelled, max_words=3).words) <= 3
+    copies = [(None, "b c d e f " * 4)] * 60 + [(None, "x y z " * 5)] * 3 + [(4, "p q r s")] + [(None, None)] * 5 + [(7, "same words here")] * 40
+    df = spark.createDataFrame(copies, "doc_id long, text string").repartition(4)
+    pick = lambda per: Counter((r.doc_id, r.text, r.next, r.edited, str(r.fp), str(r.efp), r.near_edited, r.near_next) for r in fingerprint.fingerprints_of_edits(df, per).collect())
+    assert pick(8) == pick(1_000) and sum(pick(8).values()) == len(copies)
+    keys = spark.range(500).selectExpr("id AS k1", "id * 7 AS k2", "id % 3 AS h1", "0L AS h2")
+    repeated = spark.createDataFrame([(0, 0), (2, 0)], "h1 long, h2 long")
+    rows = lambda most: sorted(map(tuple, line_dedup._with_any(keys, repeated, most).select("k1", "k2", "h1", "h2").collect()))
+    assert rows(10) == rows(0) and len(rows(0)) == 333
