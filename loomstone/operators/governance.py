@@ -123,20 +123,42 @@ def contradictions(pages: DataFrame) -> DataFrame:
     return by.filter("blocks >= 2").select("identifier", "page", "blocks")
 
 
-def derivation_states(checkpoints: DataFrame, sources: DataFrame, current: DataFrame, most: int = 64) -> DataFrame:
-    """(derivation, state): absent without a checkpoint, stale if its input changed, stale_upstream if something it is made from is stale or
-    absent, else fresh. checkpoints: (derivation, input_state); sources: (derivation, source); current: (derivation, input_state)."""
+def _tainted(sources: DataFrame, bad: DataFrame, nodes: int) -> tuple[DataFrame, DataFrame]:
+    """(derivation) that some chain of sources leads from to a bad one; and (derivation) whose chains never end, being on or behind a cycle.
+
+    Chains double: round k knows for each derivation what is 2^k steps up, and whether anything nearer is bad. So a chain of any depth takes as
+    many rounds as its length has binary digits, and chains longer than there are nodes are cycles.
+    """
+    jump = graph.held(sources.select("derivation", "source").distinct(), "jump0")
+    tainted, turn = graph.held(bad.select("derivation"), "tainted0"), 0
+    while not jump.isEmpty() and 1 << turn <= 2 * nodes:
+        turn += 1
+        reached = jump.join(tainted.withColumnRenamed("derivation", "source"), "source", "left_semi").select("derivation")
+        grown = graph.held(tainted.unionByName(reached).distinct(), f"tainted{turn}")
+        upper = jump.select(F.col("derivation").alias("middle"), F.col("source").alias("top"))
+        longer = graph.held(jump.join(upper, jump["source"] == upper["middle"]).select("derivation", F.col("top").alias("source")).distinct(), f"jump{turn}")
+        graph.discard(jump, tainted)
+        jump, tainted = longer, grown
+    return tainted, jump.select("derivation").distinct()
+
+
+def derivation_states(checkpoints: DataFrame, sources: DataFrame, current: DataFrame) -> DataFrame:
+    """(derivation, state): absent without a checkpoint, stale if its input changed, stale_upstream if anything it is made from, however far up, is
+    stale, else fresh. checkpoints: (derivation, input_state); sources: (derivation, source); current: (derivation, input_state).
+
+    What was never made is no defect and taints nothing, but what is stale taints through it.
+    """
     own = current.select("derivation", F.col("input_state").alias("now")).join(checkpoints, "derivation", "left")
     state = F.when(F.col("input_state").isNull(), "absent").when(F.col("input_state") != F.col("now"), "stale").otherwise("fresh")
     out = graph.held(own.select("derivation", state.alias("state")), "states")
-    for _ in range(most):
-        bad = out.filter("state <> 'fresh'").select(F.col("derivation").alias("source"))
-        hit = sources.join(bad, "source", "left_semi").select("derivation").distinct().withColumn("up", F.lit(True))
-        new = graph.held(out.join(hit, "derivation", "left").select("derivation", F.when((F.col("state") == "fresh") & F.col("up"), "stale_upstream").otherwise(F.col("state")).alias("state"), "up"), "states")
-        if new.join(out.withColumnRenamed("state", "was"), "derivation").filter("state <> was").isEmpty():
-            return new.select("derivation", "state")
-        out = new.select("derivation", "state")
-    raise ValueError(f"derivations are nested deeper than {most}")
+    tainted, _ = _tainted(sources, out.filter("state = 'stale'"), sources.select(F.explode(F.array("derivation", "source"))).distinct().count())
+    return out.join(tainted.withColumn("up", F.lit(True)), "derivation", "left").select("derivation", F.when((F.col("state") == "fresh") & F.col("up"), "stale_upstream").otherwise(F.col("state")).alias("state"))
+
+
+def endless_derivations(sources: DataFrame) -> DataFrame:
+    """(derivation) that are on a cycle of sources, or made from one that is."""
+    nodes = sources.select(F.explode(F.array("derivation", "source"))).distinct().count()
+    return _tainted(sources, sources.select("derivation").limit(0), nodes)[1]
 
 
 # ---- acts

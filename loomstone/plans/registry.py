@@ -6,12 +6,14 @@ Doubles leave through r6 in both engines.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
 from ..functions.scalars import r6
-from ..operators import cognitive, communities, curation, graph, quotes, readmodels, retrieval, usage
+from ..operators import cognitive, communities, curation, graph, quotes, readmodels, retrieval, textindex, usage
 from ..sources import bundle
 from ..streaming import events as stream
 
@@ -119,6 +121,41 @@ def k14_inverted_index(spark, sf):
     return p.groupBy(F.col("term").alias("word")).agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df")).filter("df >= 5")
 
 
+PHRASES = [["of", "the"], ["moron"], ["pathetic", "fool"], ["en", "the", "of"]]
+
+
+def _phrase_sql(i: int, phrase: list[str]) -> str:
+    test = " AND ".join(f"ts[j + {k}] = '{w}'" for k, w in enumerate(phrase))
+    return f"len([j FOR j IN range(1, len(ts) + 1) IF {test}])::DOUBLE AS f{i}"
+
+
+PHRASE_SQL = f"""
+WITH d AS (SELECT doc_id, {TERMS} AS ts FROM documents), c AS (SELECT doc_id, len(ts)::DOUBLE AS l, {', '.join(_phrase_sql(i, p) for i, p in enumerate(PHRASES))} FROM d),
+s AS (SELECT count(*)::DOUBLE AS n, avg(l) AS a, {', '.join(f'count(*) FILTER (WHERE f{i} > 0)::DOUBLE AS n{i}' for i in range(len(PHRASES)))} FROM c),
+b AS (SELECT doc_id, {' + '.join(f'(-(CASE WHEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n{i} + 0.5) / (n{i} + 0.5)) END) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * l / a)))' for i in range(len(PHRASES)))} AS score
+  FROM c, s WHERE {' OR '.join(f'f{i} > 0' for i in range(len(PHRASES)))})
+SELECT doc_id, {R6.format('score')} AS score, row_number() OVER (ORDER BY score, doc_id)::INTEGER AS rank FROM b QUALIFY rank <= 8"""
+
+
+@query(PHRASE_SQL)
+def k14_phrase_search(spark, sf):
+    """The best 8 documents for any of some phrases, by an index of all documents with positions."""
+    index = textindex.TextIndex(spark, f"{graph.shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    index.add(t(spark, sf, "documents"), "doc_id", "text")
+    return index.search_phrases(PHRASES, 8).select(F.col("key").alias("doc_id"), r6(F.col("score")).alias("score"), "rank")
+
+
+@query(BM25_SQL + f"SELECT doc_id, {R6.format('score')} AS score, row_number() OVER (ORDER BY score, doc_id)::INTEGER AS rank FROM b QUALIFY rank <= 20")
+def k14_updated_index(spark, sf):
+    """The best 20 documents by an index that first held other texts of a third of the documents, and then was brought up to date."""
+    docs = t(spark, sf, "documents")
+    before = docs.filter("doc_id % 3 < 2").select("doc_id", F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("moron pathetic "), F.substring("text", 1, 300))).otherwise(F.col("text")).alias("text"))
+    index = textindex.TextIndex(spark, f"{graph.shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    index.add(before, "doc_id", "text")
+    index.add(docs.filter("doc_id % 3 > 0"), "doc_id", "text", before.filter("doc_id % 3 = 1"))
+    return index.search(QUESTION, 20).select(F.col("key").alias("doc_id"), r6(F.col("score")).alias("score"), "rank")
+
+
 @query("SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents")
 def c27_plain_key(spark, sf):
     return t(spark, sf, "documents").select("doc_id", scalars.plain_key(F.col("text")).alias("key"))
