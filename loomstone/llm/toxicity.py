@@ -1,7 +1,8 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick after folding disguises.
 
 Folding: lower case; compatibility forms (NFKC); look-alike letters of other scripts to Latin; digits to the letters they stand
-for; @ $ ! | between letters likewise. An entry of the lexicon is a word stem that matches at the start of a word.
+for; @ $ ! | between letters and before a word likewise. A 1 is read as i and as l. In a text with at most three marked letters those
+are also read without their marks; where marks are usual they tell words apart. An entry of the lexicon is a word stem that matches at the start of a word.
 A match inside an exception phrase doesn't count. The weights of a document's matches are summed and normalised
 by its length; a logistic curve fitted on training rows turns sum and density into a score.
 
@@ -42,19 +43,43 @@ INVISIBLE = {0x200B: None, 0x200C: None, 0x200D: None, 0x2060: None, 0xFEFF: Non
 EXCEPTIONS = ("trash can", "trash bag", "trash bin", "trash collection", "clown fish", "clown car", "pond scum", "soap scum", "sore loser", "stupid question")
 
 FOLD = {ord(k): v for k, v in (LOOKALIKES | DIGITS).items()} | INVISIBLE
-SIGN = re.compile(r"(?<=[^\W_])[@$!|](?=[^\W_])")
+SIGN = re.compile(r"(?<=[^\W_])[@$!|](?=[^\W_])|(?<![^\s(\[\"'])[@$!|](?=[^\W\d_])")
+MARKED = re.compile(r"[\u00c0-\u024f\u1e00-\u1eff]")
+ONE = re.compile(r"1(?=[^\W\d_])|(?<=[^\W\d_])1")
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def fold(text: str | None) -> str:
+class _Plain(dict):
+    """Letters with marks to the letters alone, made as they are asked for."""
+
+    def __missing__(self, code: int) -> int:
+        bare = unicodedata.normalize("NFD", chr(code))[0]
+        self[code] = ord(bare) if code > 127 and bare.isascii() and bare.isalpha() else code
+        return self[code]
+
+
+PLAIN = _Plain()
+
+
+def readings(text: str | None) -> list[str]:
+    """The folded text, and other readings of one length: a 1 beside a letter as an l; the few marked letters of a text that has at most three as plain."""
     if not text:
-        return ""
+        return [""]
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
     text = text.lower()
     if any(s in text for s in SIGNS):
         text = SIGN.sub(lambda m: SIGNS[m[0]], text)
-    return text.translate(FOLD)
+    out = [text.translate(FOLD)]
+    if ONE.search(text):
+        out.append(ONE.sub("l", text).translate(FOLD))
+    if 0 < len(MARKED.findall(text)) <= 3:
+        out.append(text.translate(PLAIN).translate(FOLD))
+    return out
+
+
+def fold(text: str | None) -> str:
+    return readings(text)[0]
 
 
 class ToxicLexicon:
@@ -77,12 +102,7 @@ class ToxicLexicon:
             self._automaton = a
         return self._automaton
 
-    def mass(self, text: str | None) -> tuple[float, int]:
-        """Sum of the weights of matches outside exceptions, and the number of words."""
-        folded = fold(text)
-        words = len(folded.split())
-        if not self.weights or not words:
-            return 0.0, words
+    def _matches(self, folded: str) -> tuple[list[tuple[int, int, float]], list[tuple[int, int]]]:
         found, spared = [], []
         for end, (n, w) in self.automaton().iter(folded):
             start = end - n + 1
@@ -93,6 +113,19 @@ class ToxicLexicon:
                     spared.append((start, end))
             else:
                 found.append((start, end, w))
+        return found, spared
+
+    def mass(self, text: str | None) -> tuple[float, int]:
+        """Sum of the weights of matches outside exceptions, and the number of words."""
+        both = readings(text)
+        folded = both[0]
+        words = len(folded.split())
+        if not self.weights or not words:
+            return 0.0, words
+        found, spared = self._matches(folded)
+        for reading in both[1:]:
+            other, also = self._matches(reading)
+            found, spared = list({*found, *other}), list({*spared, *also})
         if spared:
             # both in order of start; the spans that began so far reach to the greatest of their ends
             found.sort()
@@ -167,7 +200,7 @@ def _near_key(words: list[str]) -> int:
 def fit_lexicon(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000, min_stem: int = 4, max_stem: int = 16) -> ToxicLexicon:
     """Learns from (doc_id, text) and (doc_id, toxic); the caller passes training rows only."""
     spark = documents.sparkSession
-    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # of two labels the greater
     n = known.count()
     known = known.filter(in_sample("doc_id", max_rows, n))
     rows = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most about max_rows ids
@@ -183,7 +216,7 @@ def fit_lexicon(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000,
 
     kind = labels.schema["toxic"].dataType.simpleString()
     each = map_arrow(rows, words, f"doc_id long, toxic {kind}, k long, words array<string>")
-    once = each.groupBy("k").agg(F.min_by(F.struct("toxic", "words"), "doc_id").alias("r")).select("r.toxic", "r.words")
+    once = each.groupBy("k").agg(F.min(F.struct("doc_id", "toxic", "words")).alias("r")).select("r.toxic", "r.words")
 
     def stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())

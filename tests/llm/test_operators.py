@@ -500,3 +500,14 @@ def test_hot_ids_of_language_fingerprints_and_lines(spark):
     repeated = spark.createDataFrame([(0, 0), (2, 0)], "h1 long, h2 long")
     rows = lambda most: sorted(map(tuple, line_dedup._with_any(keys, repeated, most).select("k1", "k2", "h1", "h2").collect()))
     assert rows(10) == rows(0) and len(rows(0)) == 333
+
+
+def test_disguises_and_two_labels(spark):
+    lex = toxicity.ToxicLexicon({"scum": 2.0, "stupid": 3.0, "loser": 1.5, "eté": 9.0})
+    mass = lambda t: lex.mass(t)[0]
+    assert [mass(t) for t in ("$cum", "stúpid", "ştupid", "1oser", "stup1d", "(@loser)", "you $cum!", "s¢um", "xscum", "a 1 b $5")] == [2, 3, 3, 1.5, 3, 0, 2, 0, 0, 0]
+    assert mass("été là où ça stúpid") == 0  # marks are usual here
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 0)], "doc_id long, toxic int")
+    texts = docs(spark, ["x", "bad gralk words here", "plain words here"])
+    runs = [toxicity.fit_lexicon(texts, labels.repartition(n)).curve for n in (1, 3)]
+    assert runs[0] == runs[1] is not None
