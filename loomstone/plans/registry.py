@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars, text
 from ..functions.scalars import r6
-from ..operators import cognitive, communities, curation, graph, quotes, readmodels, retrieval, textindex, usage
+from ..operators import cognitive, communities, curation, graph, quotes, readmodels, retrieval, textindex, usage, vectors
 from ..sources import bundle
 from ..streaming import events as stream
 
@@ -443,6 +443,25 @@ def n01_event_counts(spark, sf):
     return stream.run_to_table(stream.counts(e), "complete")
 
 
+@query(f"""WITH q AS (SELECT vec_id AS question, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),
+x AS (SELECT question, vec_id AS key, list_cosine_similarity(embedding::DOUBLE[], v) AS score FROM q, embeddings),
+r AS (SELECT question, key, score, row_number() OVER (PARTITION BY question ORDER BY score DESC, key)::INTEGER AS rank FROM x) SELECT question, key, {R6.format('score')} AS score, rank FROM r WHERE rank <= 8""")
+def k02_vector_search(spark, sf):
+    """The 8 nearest of all vectors for every hundredth one, exactly."""
+    e = t(spark, sf, "embeddings")
+    index = vectors.VectorIndex.build(e, "vec_id", "embedding")
+    ask = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("question"), F.col("embedding").alias("vector"))
+    return index.search(ask, exact=True).select("question", "key", r6(F.col("score")).alias("score"), "rank")
+
+
+@query()
+def k02_vector_index(spark, sf):
+    """The same from the cells that the index looks into."""
+    e = t(spark, sf, "embeddings")
+    index = vectors.VectorIndex.build(e, "vec_id", "embedding")
+    return index.search(e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("question"), F.col("embedding").alias("vector")))
+
+
 # ---- queries whose SQL is made of several parts
 
 @query(f"""WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0)
