@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checksums, scalars, text
 from ..functions.scalars import r6
-from ..operators import cognitive, communities, consolidate, curation, detect, governance, graph, indexing, quotes, readmodels, reconciling, retrieval, sessions, textindex, usage, workflows
+from ..operators import asking, cognitive, communities, consolidate, curation, detect, governance, graph, indexing, quotes, readmodels, reconciling, retrieval, sessions, textindex, usage, workflows
 from ..sources import bundle
 from .registry import BM25_SQL, ORACLE_SQL, QUERIES, QUESTION, R6, query, t
 
@@ -1007,6 +1007,22 @@ def k07_ask(spark, sf):
     return got.select(c("chunk_id").alias("doc_id"), r6(c("score")).alias("score"), "streams", "position")
 
 
+@query(BM25_SQL + f""", f AS (SELECT doc_id, row_number() OVER (ORDER BY score, doc_id) - 1 AS r FROM b QUALIFY r < 8), g AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents WHERE n_chars % 50 = 7 QUALIFY r < 20),
+u AS (SELECT doc_id, 'fts' AS s, 1.0 / (61 + r) AS x, 1 AS o, r FROM f UNION ALL SELECT doc_id, 'entity', 0.5 / (61 + r), 3, r FROM g), m AS (SELECT doc_id, sum(x) AS raw, min((o, r)) AS first, string_agg(s, ',' ORDER BY s) AS streams FROM u GROUP BY doc_id),
+w AS (SELECT *, raw * CASE WHEN doc_id % 5 = 0 THEN 1.15 WHEN doc_id % 5 = 1 THEN 0.8 ELSE 1.0 END AS score FROM m) SELECT doc_id, {R6.format('score')} AS score, streams, row_number() OVER (ORDER BY score DESC, first, doc_id)::INTEGER AS position FROM w QUALIFY position <= 8""")
+def k07_whole_question(spark, sf):
+    """A question through a stored index, with its strategy, limits and profile: the evidence that it is answered from."""
+    docs, null = t(spark, sf, "documents"), F.lit(None).cast("string")
+    chunks = docs.select(c("doc_id").alias("chunk_id"), c("doc_id").alias("page"), F.lit(0).alias("ord"), c("text").alias("body"), null.alias("valid_at"), null.alias("invalid_at"), F.lit(False).alias("stale"), F.lit(False).alias("superseded"))
+    overlay = docs.select(c("doc_id").alias("page"), F.when(c("doc_id") % 5 == 0, "preferred").when(c("doc_id") % 5 == 1, "low_yield").alias("status"))
+    mentions = docs.select(c("doc_id").alias("page"), (c("n_chars") % 50).alias("entity"), F.lit(1).alias("n"))
+    index = textindex.TextIndex(spark, f"{graph.shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    index.add(chunks, "chunk_id", "body")
+    memory = asking.Memory(chunks, index, mentions, overlay, stream_weights={"entity": 0.5})
+    got = asking.ask(memory, asking.Question("ask", QUESTION, {7: ["moron"]}))
+    return got.evidence.select(c("chunk_id").alias("doc_id"), r6(c("score")).alias("score"), "streams", "position")
+
+
 @query(f"""WITH RECURSIVE {PAIRS40}, d AS (SELECT a AS node, count(*) AS degree FROM e GROUP BY a), q AS (SELECT degree, row_number() OVER (ORDER BY degree, node) AS i, count(*) OVER () AS n FROM d), h AS MATERIALIZED (SELECT node FROM d WHERE degree > (SELECT greatest(degree, 8) FROM q WHERE i = floor(0.99 * (n - 1))::BIGINT + 1)),
 g AS MATERIALIZED (SELECT a, b FROM e WHERE a NOT IN (FROM h) AND b NOT IN (FROM h)), cc(node, label) USING KEY (node) AS (SELECT DISTINCT a, a FROM g UNION SELECT u.node, min(v.label) FROM recurring.cc u JOIN g ON g.a = u.node JOIN recurring.cc v ON v.node = g.b WHERE v.label < u.label GROUP BY u.node),
 l AS (SELECT a AS node, arg_max(label, (w, -label)) AS label FROM (SELECT e.a, cc.label, sum(w) AS w FROM e JOIN h ON h.node = e.a JOIN cc ON cc.node = e.b GROUP BY ALL) GROUP BY a), mm AS (FROM cc UNION ALL FROM l)
