@@ -30,7 +30,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     edges = materialise(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}_0")
     state, step = None, 0
     while True:
-        found = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))).alias("h")).collect()[0]
+        found = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).collect()[0]
         if (now := (found.n, found.h)) == state or not found.n:
             break
         state, step, before = now, step + 1, edges
