@@ -53,26 +53,28 @@ def priority(views: DataFrame, root: str, goal_priority: int = 3, mean_depth: fl
     unlock = F.least(F.lit(1.0), F.col("degree") / 6.0)
     parts = {
         "user_focus": F.when(own, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - 0.3 * F.col("distance")) * (goal_priority / 5.0)),
-        "goal_alignment": 1.0 / (1.0 + F.col("distance")),
+        "goal_alignment": 1.0 / (1.0 + F.col("distance")),  # weighted below
         "knowledge_gap": gap,
         "dependency_unlock": unlock,
         "review_urgency": F.when(F.col("review_due"), 1.0).otherwise(0.0),
         "accessibility_heat": F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("heat"))),
         "expected_information_gain": F.round(gap * unlock, 4),
     }
-    score = sum((F.lit(weights[k]) * v for k, v in parts.items()), F.lit(0.0)) - F.lit(weights["cost_penalty"]) * F.least(F.lit(1.0), cost / 30.0)
+    # a share of a weight is one division: the product with a rounded reciprocal differs from it in the last bits, and by them in rank
+    weighted = {k: F.lit(weights[k]) * v for k, v in parts.items()} | {"goal_alignment": F.lit(weights["goal_alignment"]) / (1.0 + F.col("distance"))}
+    score = sum(weighted.values(), F.lit(0.0)) - F.lit(weights["cost_penalty"]) * F.least(F.lit(1.0), cost / 30.0)
     return views.withColumn("cost_min", cost).withColumn("score", F.greatest(F.lit(0.0), score))
 
 
 def working_set(scored: DataFrame, root: str, budgets: dict = BUDGETS) -> DataFrame:
-    """(page, kind) of what enters: questions by their own quota, items in order by count and cost.
+    """(page, kind) of what enters: questions by their own quota, items in order by count and cost; scores of items that agree to nine decimals are equal.
 
     Each turn takes the next item that fits, one row of a sorted top, so at most max_items small queries see all candidates.
     scored: (page, type, score, cost_min, pinned).
     """
     order = [F.desc("score"), "cost_min", "page"]
     questions = scored.filter("type = 'question'").orderBy(*order).limit(budgets["max_questions"]).select("page", F.lit("question").alias("kind"))
-    rank = F.struct((-F.col("score")).alias("s"), F.col("cost_min").alias("c"), F.col("page").alias("p"))
+    rank = F.struct((-F.round("score", 9)).alias("s"), F.col("cost_min").alias("c"), F.col("page").alias("p"))
     left = scored.filter("type <> 'question'").select("page", F.col("cost_min").cast("double").alias("cost"), F.coalesce(F.col("pinned"), F.lit(False)).alias("pinned"), rank.alias("rank"))
     taken, spent, last = [], 0.0, None
     while len(taken) < budgets["max_items"]:
