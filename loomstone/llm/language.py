@@ -48,6 +48,7 @@ class LanguageModel:
         self.max_n, self.cache_size = max_n, cache
         self.cache: dict[str, np.ndarray] = {}
         self._known: np.ndarray | None = None
+        self._backed_off: np.ndarray | None = None
 
     @classmethod
     def fit(cls, counts: list[tuple[str, str, int]], max_n: int = 4, min_count: int = 2, alpha: float = 0.5) -> LanguageModel:
@@ -85,14 +86,17 @@ class LanguageModel:
 
     def unseen(self, word: str) -> np.ndarray:
         """Mean over positions of the longest known n-gram, centred so that languages are comparable."""
-        marked, rows = f"^{word[:64]}$", []
-        for i in range(len(marked) - 1):
-            for size in range(min(self.max_n, len(marked) - i), 0, -1):
-                k = self.grams.get(marked[i : i + size])
+        if self._backed_off is None:  # an n-gram's cost of backing off is its length's, so it is charged once
+            self._backed_off = self.gram_scores * np.array([0.4 ** (self.max_n - len(g)) for g in self.grams], np.float64).reshape(-1, 1)
+        marked, found, get = f"^{word[:64]}$", [], self.grams.get
+        last = len(marked)
+        for i in range(last - 1):
+            for end in range(min(i + self.max_n, last), i, -1):
+                k = get(marked[i:end])
                 if k is not None:
-                    rows.append(self.gram_scores[k] * 0.4 ** (self.max_n - size))
+                    found.append(k)
                     break
-        return np.mean(rows, 0) if rows else np.zeros(len(self.languages))
+        return np.add.reduce(self._backed_off.take(found, 0), 0) / len(found) if found else np.zeros(len(self.languages))
 
     @staticmethod
     def _softmax(scores: np.ndarray) -> np.ndarray:
@@ -104,13 +108,15 @@ class LanguageModel:
             self._known = self._softmax(self.word_scores)
         return self._known
 
-    def posterior(self, word: str) -> np.ndarray:
-        got = self.cache.get(word)
-        if got is None:
-            if len(self.cache) >= self.cache_size:
+    def posteriors(self, words: list[str]) -> np.ndarray:
+        """One row for each of distinct words; those that are new are softened together."""
+        new = [w for w in words if w not in self.cache]
+        if new:
+            if len(self.cache) + len(new) > self.cache_size:
                 self.cache.clear()
-            got = self.cache[word] = self._softmax(self.unseen(word))
-        return got
+                new = words
+            self.cache.update(zip(new, self._softmax(np.array([self.unseen(w) for w in new])), strict=True))
+        return np.array([self.cache[w] for w in words])
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.languages:
@@ -123,8 +129,9 @@ class LanguageModel:
         known = at[at >= 0]
         share = self.known_posteriors()[known].sum(0) if len(known) else np.zeros(len(self.languages))
         if len(known) < len(words):
-            for w, c in Counter(words[i] for i in np.flatnonzero(at < 0).tolist()).items():
-                share = share + c * self.posterior(w)
+            times = Counter(words[i] for i in np.flatnonzero(at < 0).tolist())
+            parts = np.array(list(times.values()), np.float64).reshape(-1, 1) * self.posteriors(list(times))
+            share = np.add.reduce(np.concatenate([share.reshape(1, -1), parts]), 0)
         share = share / len(words)
         best = int(np.argmax(share))
         return self.languages[best], float(min(1.0, max(0.0, share[best])))
