@@ -29,3 +29,16 @@ def test_pairs_without_ranks_are_not_shuffled(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "LeftAnti" not in plan and "data#" in plan
     assert got.count() == 30 * 29 - 2
+
+
+def test_dense_sets_travel_as_bits(spark):
+    """Cells get blocks of bits, not the rows of sets, and blocks are not more than 48 as long as they may grow."""
+    draw = random.Random(3)
+    sets = {i: draw.sample(range(11), draw.randint(1, 6)) for i in range(400)}
+    frame = spark.createDataFrame(list(sets.items()), "id long, codes array<int>")
+    got = graph.dense_overlaps(frame, 11, lambda s, na, nb: s / (na + nb - s) >= 0.5, 2)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "codes" not in plan and "data#" in plan and " 47" in plan
+    want = {(a, b, s, len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b and (s := len({*sets[a]} & {*sets[b]})) / len({*sets[a]} | {*sets[b]}) >= 0.5}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
